@@ -45,8 +45,9 @@ def blended_score(
     stretched = F.when(remaining == 0, current.cast("double")).otherwise(
         F.try_divide(current.cast("double"), done)
     )
-    held = F.greatest(
-        F.least(stretched, F.lit(float(HIGHEST_SCORE))), F.lit(float(LOWEST_SCORE))
+    lowest, highest = F.lit(float(LOWEST_SCORE)), F.lit(float(HIGHEST_SCORE))
+    held = F.when(done == 0, lowest).otherwise(
+        F.greatest(F.least(stretched, highest), lowest)
     )
     if method == "simple":
         return (held + pregame) / 2

@@ -80,9 +80,13 @@ def games(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
+    return keyed_lines(table(spark, folder, "lineitem"))
+
+
+def keyed_lines(lineitem: DataFrame) -> DataFrame:
     """One row per order and line number: the largest value of each field."""
     return (
-        table(spark, folder, "lineitem")
+        lineitem
         .groupBy(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").cast("long").alias("play_id"))
         .agg(
             F.max("l_partkey").alias("part"),
@@ -142,11 +146,10 @@ def game_ends(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def plays(spark: SparkSession, folder: str, both: bool = True) -> DataFrame:
-    """Landed plays. Even games come in the feed with running totals
+def plays_of_lines(rows: DataFrame, both: bool = True) -> DataFrame:
+    """Lines as plays. Even games come in the feed with running totals
     (``order_number``), odd ones in the other (``action_id``); with ``both``
     false all games come in the other."""
-    rows = lines(spark, folder)
     key, part, supp, qty = (F.col(c) for c in ("game_id", "part", "supp", "qty"))
     home, away = line_scores()
     running = (key % 2 == 0) if both else F.lit(False)
@@ -157,7 +160,7 @@ def plays(spark: SparkSession, folder: str, both: bool = True) -> DataFrame:
         .when(F.col("play_id") % 2 == 1, team_code(home_index(key)))
         .otherwise(team_code(away_index(key)))
     )
-    from_lines = rows.select(
+    return rows.select(
         "game_id",
         F.when(running, F.col("play_id")).alias("order_number"),
         F.when(~running, F.col("play_id")).alias("action_id"),
@@ -175,6 +178,11 @@ def plays(spark: SparkSession, folder: str, both: bool = True) -> DataFrame:
         F.when(running & (supp % 7 != 0), (qty % 40).cast("int")).alias("points_total"),
         F.lit("made").alias("sub_type"),
     )
+
+
+def plays(spark: SparkSession, folder: str, both: bool = True) -> DataFrame:
+    """Landed plays of lines and the closing plays of finished games."""
+    from_lines = plays_of_lines(lines(spark, folder), both)
     ends = game_ends(spark, folder)
     end_running = (F.col("game_id") % 2 == 0) if both else F.lit(False)
     from_ends = ends.select(
