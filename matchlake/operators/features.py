@@ -11,8 +11,6 @@ from matchlake.operators.history import (
     TEAM,
     attach_sides,
     counted,
-    earlier_today,
-    sums_per_day,
     sums_per_start,
     team_rows,
 )
@@ -83,52 +81,55 @@ def team_form(games: DataFrame, finals: DataFrame) -> DataFrame:
     sums = {x: F.when(used, c) for x, c in one.items()}
     sums |= {f"home_{x}": F.when(used & F.col("at_home"), c) for x, c in one.items()}
 
-    starts = sums_per_start(rows, sums)
+    # Three windows over one sort: by start, then twice by day.
+    by_start = Window.partitionBy(*TEAM).orderBy("day_no", "start")
     by_day = Window.partitionBy(*TEAM).orderBy("day_no")
-    past = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_start.rowsBetween(Window.unboundedPreceding, -1)
+    before_day = by_day.rangeBetween(Window.unboundedPreceding, -1)
     rate = math.log(2) / HALF_LIFE_DAYS
-    days = (
-        sums_per_day(starts, _SUMS)
-        .withColumn("day_no", F.unix_date("day"))
-        .withColumn("weight", F.exp(rate * (F.col("day_no") - F.first("day_no").over(by_day))))
-        .withColumn("played", F.when(F.col("n") > 0, F.col("day_no")))
+    starts = sums_per_start(rows, sums).withColumn("day_no", F.unix_date(F.to_date("start")))
+    starts = starts.withColumn(
+        "weight", F.exp(rate * (F.col("day_no") - F.first("day_no").over(by_start)))
     )
-    days = days.select(
+    played = F.when(F.col("n") > 0, F.col("day_no"))
+    seen = starts.select(
         *TEAM,
-        "day",
+        "start",
         "day_no",
-        "weight",
-        *[F.coalesce(F.sum(x).over(past), F.lit(0)).alias(f"past_{x}") for x in _SUMS],
+        played.alias("played"),
+        *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"sum_{x}") for x in _SUMS],
         *[
-            F.coalesce(F.sum(F.col("weight") * F.col(x)).over(past), F.lit(0.0)).alias(
-                f"decayed_past_{x}"
+            F.coalesce(F.sum(F.col("weight") * F.col(x)).over(before), F.lit(0.0)).alias(
+                f"decayed_{x}"
             )
             for x in _DECAYED
         ],
-        F.max("played").over(past).alias("last_day"),
-        F.min("played").over(past).alias("first_day"),
+        F.min(played).over(before).alias("first_day"),
+        F.max(played).over(before).alias("latest_day"),
+    )
+    # A day counts once, at the first start at which the team played on it.
+    new_day = F.col("played").isNotNull() & ~F.coalesce(
+        F.col("latest_day") == F.col("day_no"), F.lit(False)
+    )
+    dated = seen.withColumn("new_day", new_day.cast("int")).select(
+        "*",
+        F.max("played").over(before_day).alias("last_day"),
         *[
-            F.count("played").over(by_day.rangeBetween(-k, -1)).alias(f"played_{k}")
+            F.coalesce(F.sum("new_day").over(by_day.rangeBetween(-k, -1)), F.lit(0)).alias(
+                f"played_{k}"
+            )
             for k in DENSITY_DAYS
         ],
     )
-    both = earlier_today(starts, _SUMS).join(days, [*TEAM, "day"])
-    season_day = F.col("day_no") - F.coalesce(
-        F.col("first_day"), F.when(F.col("today_n") > 0, F.col("day_no"))
-    )
+    season_day = F.col("day_no") - F.col("first_day")
     density = sum(
         2 * F.col(f"played_{k}") - F.least(F.lit(k), season_day) for k in DENSITY_DAYS
     ) / len(DENSITY_DAYS)
-    return both.select(
+    return dated.select(
         *TEAM,
         "start",
-        *[(F.col(f"past_{x}") + F.col(f"today_{x}")).alias(x) for x in _SUMS],
-        *[
-            (F.col(f"decayed_past_{x}") + F.col("weight") * F.col(f"today_{x}")).alias(
-                f"decayed_{x}"
-            )
-            for x in _DECAYED
-        ],
+        *[F.col(f"sum_{x}").alias(x) for x in _SUMS],
+        *[f"decayed_{x}" for x in _DECAYED],
         F.coalesce(F.col("day_no") - F.col("last_day"), F.lit(0)).alias("rest"),
         season_day.alias("season_day"),
         density.alias("density"),

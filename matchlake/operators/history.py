@@ -1,11 +1,10 @@
 """What each team had done strictly before a start time.
 
-Every measure is a prefix of sums or extremes along (season, team, start), so
-no game is ever paired with its earlier games. Rows are summed per start before
-the first shuffle; one window then runs over the days of a season (at most 366
-rows per team) and one over the distinct starts of a day. Schedules carry whole
-seconds, so that is at most 86,400 rows, whatever share of the games one team
-or one day holds.
+Every measure is a prefix of sums along (season, team, start), so no game is
+ever paired with its earlier games. Rows are summed per start before the first
+shuffle, and one window runs over the distinct starts of a team's season. Their
+number is bounded by the calendar, not by the data: schedules carry whole
+seconds, and in practice a team has a few hundred.
 """
 
 from __future__ import annotations
@@ -35,55 +34,22 @@ def team_rows(games: DataFrame, *columns: str) -> DataFrame:
 
 
 def sums_per_start(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    return rows.groupBy(*TEAM, F.to_date("start").alias("day"), "start").agg(
+    return rows.groupBy(*TEAM, "start").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()]
     )
 
 
-def sums_per_day(starts: DataFrame, names: list[str]) -> DataFrame:
-    return starts.groupBy(*TEAM, "day").agg(*[F.sum(n).alias(n) for n in names])
-
-
-def earlier_today(starts: DataFrame, names: list[str]) -> DataFrame:
-    window = (
-        Window.partitionBy(*TEAM, "day")
+def totals_before(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """(season, team, start) → each sum over the rows with an earlier start."""
+    earlier = (
+        Window.partitionBy(*TEAM)
         .orderBy("start")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return starts.select(
+    return sums_per_start(rows, sums).select(
         *TEAM,
-        "day",
         "start",
-        *[F.coalesce(F.sum(n).over(window), F.lit(0)).alias(f"today_{n}") for n in names],
-    )
-
-
-def earlier_days(days: DataFrame, names: list[str]) -> DataFrame:
-    window = (
-        Window.partitionBy(*TEAM)
-        .orderBy("day")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return days.select(
-        *TEAM,
-        "day",
-        *[F.coalesce(F.sum(n).over(window), F.lit(0)).alias(f"past_{n}") for n in names],
-    )
-
-
-def totals_before(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """(season, team, start) → each sum over the rows with an earlier start."""
-    names = list(sums)
-    starts = sums_per_start(rows, sums)
-    past = earlier_days(sums_per_day(starts, names), names)
-    return (
-        earlier_today(starts, names)
-        .join(past, [*TEAM, "day"])
-        .select(
-            *TEAM,
-            "start",
-            *[(F.col(f"past_{n}") + F.col(f"today_{n}")).alias(n) for n in names],
-        )
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums],
     )
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -127,6 +127,8 @@ def train_ridge(
     deviation 1, while the scaler here divides by the sample deviation.
     """
     names = feature_columns(train)
+    prepare = Pipeline(stages=_prepared(names)).fit(train)
+    ready = prepare.transform(train)
     n = train.count()
     best = None
     for alpha in alphas:
@@ -141,7 +143,7 @@ def train_ridge(
                 standardization=False,
                 solver="normal",
             )
-            sides[side] = Pipeline(stages=[*_prepared(names), line]).fit(train)
+            sides[side] = PipelineModel([*prepare.stages, line.fit(ready)])
         model = ScoreModel(sides, names, {}, {"alpha": alpha})
         model.measured = _measure(model, test)
         if best is None or model.measured["avg_score_mae"] < best.measured["avg_score_mae"]:

@@ -72,21 +72,21 @@ def live_predictions(inputs: DataFrame) -> DataFrame:
     """Final games take their score, running ones the blend, others stay as stored."""
     has_state = F.col("period").isNotNull()
     final = has_state & F.coalesce("is_final_state", F.lit(False))
-    remaining = 1 - fraction_done(F.col("period"), F.col("clock"))
-    left = minutes_left(F.col("period"), F.col("clock"))
+    at = (F.col("period"), F.col("clock"))
+    timed = inputs.withColumns({"__left": minutes_left(*at), "__rest": 1 - fraction_done(*at)})
 
     def score(side: str) -> Column:
         stored, now = F.col(f"pred_{side}_score"), F.col(f"{side}_score")
         return (
             F.when(final, now.cast("double"))
-            .when(has_state, blended_score(stored, now, remaining))
+            .when(has_state, blended_score(stored, now, F.col("__rest")))
             .otherwise(stored)
         )
 
-    scored = inputs.withColumns({"__home": score("home"), "__away": score("away")})
+    scored = timed.withColumns({"__home": score("home"), "__away": score("away")})
     chance = (
         F.when(final, (F.col("home_score") > F.col("away_score")).cast("double"))
-        .when(has_state, home_win_probability(F.col("__home"), F.col("__away"), left))
+        .when(has_state, home_win_probability(F.col("__home"), F.col("__away"), F.col("__left")))
         .otherwise(F.col("pred_home_win_pct"))
     )
     return scored.select(

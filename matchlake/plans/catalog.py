@@ -629,7 +629,7 @@ def _(t):
 
 @query("src_box_stats_teams")
 def _(t):
-    return teams.points_allowed(payloads.team_stats(_boxes(t, False)))
+    return payloads.team_stats(_boxes(t, False))
 
 
 @query("src_box_live")
@@ -639,7 +639,7 @@ def _(t):
 
 @query("src_box_live_teams")
 def _(t):
-    return teams.points_allowed(payloads.team_stats(_boxes(t, True), live=True))
+    return payloads.team_stats(_boxes(t, True), live=True)
 
 
 @query("src_rowset")

@@ -113,22 +113,41 @@ def flatten_schedule(payloads: DataFrame) -> DataFrame:
 
 
 def _sides(payloads: DataFrame, body: str) -> DataFrame:
-    return payloads.filter(F.col(body).isNotNull()).select(
-        "game_id", F.inline(F.array(f"{body}.homeTeam", f"{body}.awayTeam"))
+    """One row per team with the other team next to it.
+
+    Unreadable payloads drop out by their null team after the generator, so the
+    text is parsed once and not a second time for a filter below it.
+    """
+    home, away = F.col(f"{body}.homeTeam"), F.col(f"{body}.awayTeam")
+    pairs = F.array(
+        F.struct(home.alias("team"), away.alias("other")),
+        F.struct(away.alias("team"), home.alias("other")),
     )
+    return payloads.select("game_id", F.inline(pairs)).filter(F.col("team.teamId").isNotNull())
 
 
 def _stats(names: dict[str, str]) -> list[Column]:
-    return [F.col(f"statistics.{s}").alias(c) for c, s in names.items()]
+    return [F.col(f"team.statistics.{s}").alias(c) for c, s in names.items()]
 
 
 def team_stats(payloads: DataFrame, live: bool = False) -> DataFrame:
-    """One row per team; the in-progress format carries points as ``score``."""
-    points = F.coalesce("score", F.lit(0)) if live else F.col("statistics.points")
+    """One row per team; the in-progress format carries points as ``score``.
+
+    Points allowed are the other team's, null when the payload has one team.
+    """
+
+    def points(team: str) -> Column:
+        if not live:
+            return F.col(f"{team}.statistics.points")
+        return F.when(
+            F.col(f"{team}.teamId").isNotNull(), F.coalesce(f"{team}.score", F.lit(0))
+        )
+
     return _sides(payloads, "game" if live else "boxScoreTraditional").select(
-        F.col("teamId").cast("string").alias("team_id"),
+        F.col("team.teamId").cast("string").alias("team_id"),
         "game_id",
-        points.alias("pts"),
+        points("team").alias("pts"),
+        points("other").alias("pts_allowed"),
         *_stats(TEAM_STATS),
     )
 
@@ -146,8 +165,9 @@ def player_stats(payloads: DataFrame, live: bool = False) -> DataFrame:
         )
         position = F.col("position")
     rows = _sides(payloads, "game" if live else "boxScoreTraditional").select(
-        "game_id", F.col("teamId").cast("string").alias("team_id"), F.inline("players")
+        "game_id", F.col("team.teamId").cast("string").alias("team_id"), F.inline("team.players")
     )
+    stats = TEAM_STATS | PLAYER_ONLY_STATS
     return rows.select(
         F.col("personId").alias("player_id"),
         "game_id",
@@ -156,7 +176,7 @@ def player_stats(payloads: DataFrame, live: bool = False) -> DataFrame:
         position.alias("position"),
         played_minutes(F.col("statistics.minutes")).alias("min"),
         F.col("statistics.points").alias("pts"),
-        *_stats(TEAM_STATS | PLAYER_ONLY_STATS),
+        *[F.col(f"statistics.{s}").alias(c) for c, s in stats.items()],
     )
 
 
