@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from matchlake.operators.history import attach_sides, counted, team_rows, totals_before
 from matchlake.operators.quality import FEWEST_PLAYS, MOST_PLAYS
 from matchlake.operators.scan import ordered_scan
+from matchlake.sources.shared import materialized
 
 Tables = dict[str, DataFrame]
 LARGEST_JUMP = 10
@@ -317,7 +318,8 @@ def validation_report(
 ) -> DataFrame:
     """One row per rule that found something: true count and a few samples.
 
-    Rules of unknown categories are ignored. Samples are the first rows by their
+    Rules of unknown categories are ignored. The offending rows are written to
+    the shared folder once and read for both. Samples are the first rows by their
     text; the window keeps at most ``sample`` rows per rule before its shuffle.
     """
     chosen = {
@@ -330,6 +332,7 @@ def validation_report(
             for i, r in chosen.items()
         ],
     )
+    found = materialized(found, "audit")
     counts = found.groupBy("check_id").agg(F.count(F.lit(1)).alias("count"))
     first = Window.partitionBy("check_id").orderBy("row")
     samples = (

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.functions.seasons import COUNTED_SEASON_TYPES
 from matchlake.operators.evaluate import metrics
 from matchlake.operators.predict import with_win_probability
+from matchlake.sources.shared import shared_folder
 
 RIDGE_ALPHAS = (1.0, 10.0, 100.0)
 TREE_SETTINGS = {
@@ -43,6 +46,13 @@ NOT_FEATURES = (
 TARGETS = ("home", "away")
 
 
+def _side_by_side(spark: SparkSession, fit: Callable, jobs: list[tuple]) -> list:
+    """Fit independent models at the same time; each fit is a Spark job of its own."""
+    run = inheritable_thread_target(spark)(fit)
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return list(pool.map(lambda job: run(*job), jobs))
+
+
 def modeling_table(
     games: DataFrame, finals: DataFrame, features: DataFrame, seasons: list[str] | None = None
 ) -> DataFrame:
@@ -130,20 +140,24 @@ def train_ridge(
     prepare = Pipeline(stages=_prepared(names)).fit(train)
     ready = prepare.transform(train)
     n = train.count()
+
+    def fit(alpha: float, side: str) -> PipelineModel:
+        line = LinearRegression(
+            featuresCol="features",
+            labelCol=f"{side}_score",
+            predictionCol=f"pred_{side}",
+            elasticNetParam=0.0,
+            regParam=alpha * (n - 1) / n**2,
+            standardization=False,
+            solver="normal",
+        )
+        return PipelineModel([*prepare.stages, line.fit(ready)])
+
+    jobs = [(alpha, side) for alpha in alphas for side in TARGETS]
+    fitted = dict(zip(jobs, _side_by_side(train.sparkSession, fit, jobs)))
     best = None
     for alpha in alphas:
-        sides = {}
-        for side in TARGETS:
-            line = LinearRegression(
-                featuresCol="features",
-                labelCol=f"{side}_score",
-                predictionCol=f"pred_{side}",
-                elasticNetParam=0.0,
-                regParam=alpha * (n - 1) / n**2,
-                standardization=False,
-                solver="normal",
-            )
-            sides[side] = PipelineModel([*prepare.stages, line.fit(ready)])
+        sides = {side: fitted[alpha, side] for side in TARGETS}
         model = ScoreModel(sides, names, {}, {"alpha": alpha})
         model.measured = _measure(model, test)
         if best is None or model.measured["avg_score_mae"] < best.measured["avg_score_mae"]:
@@ -155,15 +169,21 @@ def train_trees(train: DataFrame, test: DataFrame, **settings) -> ScoreModel:
     """Boosted regression trees per side."""
     names = feature_columns(train)
     chosen = TREE_SETTINGS | settings
-    sides = {}
-    for side in TARGETS:
+    prepare = Pipeline(stages=_prepared(names)).fit(train)
+    ready = prepare.transform(train)
+    shared_folder(train.sparkSession)  # long boosting runs checkpoint there
+
+    def fit(side: str) -> PipelineModel:
         trees = GBTRegressor(
             featuresCol="features",
             labelCol=f"{side}_score",
             predictionCol=f"pred_{side}",
             **chosen,
         )
-        sides[side] = Pipeline(stages=[*_prepared(names), trees]).fit(train)
+        return PipelineModel([*prepare.stages, trees.fit(ready)])
+
+    fitted = _side_by_side(train.sparkSession, fit, [(side,) for side in TARGETS])
+    sides = dict(zip(TARGETS, fitted))
     model = ScoreModel(sides, names, {}, chosen)
     model.measured = _measure(model, test)
     return model

@@ -83,11 +83,11 @@ def _carry(kind: str, name: str, window) -> Column:
     return F.lead(F.lit(True)).over(window)
 
 
-def _combine(kind: str, local: Column, carry: Column, at_start: Column) -> Column:
+def _combine(kind: str, local: Column, carry: Column, at_start: Column, later: Column) -> Column:
     if kind == "count":
         return local + F.coalesce(carry, F.lit(0))
     if kind == "first":
-        return F.coalesce(carry, local)
+        return F.when(later, carry).otherwise(local)
     if kind == "last":
         return F.coalesce(local, carry)
     if kind == "max_before":
@@ -134,20 +134,20 @@ def ordered_scan(
         totals.select(
             *keys,
             *segment,
-            (
-                (F.row_number().over(across) > 1)
-                | F.lead(F.lit(True)).over(across).isNotNull()
-            ).alias("__several"),
+            (F.row_number().over(across) > 1).alias("__later"),
+            F.lead(F.lit(True)).over(across).isNotNull().alias("__more"),
             *[_carry(k, n, across).alias(f"__c_{n}") for n, (k, _) in wanted.items()],
         )
-        .filter("__several")
-        .drop("__several")
+        .filter("__later OR __more")
+        .drop("__more")
     )
     joined = local.join(carried, [*keys, *segment], "left")
     return joined.select(
         *[joined[c] for c in rows.columns],
         *[
-            _combine(k, F.col(f"__l_{n}"), F.col(f"__c_{n}"), F.col("__at_start")).alias(n)
+            _combine(
+                k, F.col(f"__l_{n}"), F.col(f"__c_{n}"), F.col("__at_start"), F.col("__later")
+            ).alias(n)
             for n, (k, _) in wanted.items()
         ],
     )
