@@ -133,13 +133,18 @@ def train_ridge(
 ) -> ScoreModel:
     """Scaled ridge per side; the alpha with the lowest mean error on ``test``.
 
-    The penalty is scaled so that it acts as alpha on features of population
-    deviation 1, while the scaler here divides by the sample deviation.
+    The penalty is scaled to act as alpha on the squared error itself: the scaler
+    divides by the sample deviation instead of the population one, and the solver
+    works on the mean squared error of the label divided by its deviation.
     """
     names = feature_columns(train)
     prepare = Pipeline(stages=_prepared(names)).fit(train)
     ready = prepare.transform(train)
-    n = train.count()
+    facts = train.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.stddev_pop(f"{side}_score").alias(side) for side in TARGETS],
+    ).first()
+    n = facts["n"]
 
     def fit(alpha: float, side: str) -> PipelineModel:
         line = LinearRegression(
@@ -147,7 +152,7 @@ def train_ridge(
             labelCol=f"{side}_score",
             predictionCol=f"pred_{side}",
             elasticNetParam=0.0,
-            regParam=alpha * (n - 1) / n**2,
+            regParam=alpha * (n - 1) / n**2 * facts[side],
             standardization=False,
             solver="normal",
         )
