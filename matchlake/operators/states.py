@@ -111,12 +111,13 @@ def game_states(
     final = F.when(
         F.col("running_feed"), F.col("description") == END_OF_GAME
     ).otherwise(F.col("is_last") & F.coalesce(F.col("sub_type") == "end", F.lit(False)))
+    # One row per game, so only a single join has to deal with a busy game's plays.
     info = games.select(
         "game_id",
         F.to_date("start").alias("game_date"),
         F.col("home_team").alias("home"),
         F.col("away_team").alias("away"),
-    )
+    ).join(malformed_games(plays), "game_id", "left_anti")
     return (
         scanned.select(
             "game_id",
@@ -133,7 +134,6 @@ def game_states(
                 "home_margin": F.col("home_score") - F.col("away_score"),
             }
         )
-        .join(malformed_games(plays), "game_id", "left_anti")
         .join(info, "game_id")
     )
 

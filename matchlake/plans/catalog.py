@@ -908,7 +908,7 @@ def _(t):
         F.col("l_shipdate").cast("timestamp").alias("moment"),
     )
     once = live.first_deliveries(told, "moment", "4000 days").select("game_id", "play_id")
-    return live.published(t.spark, live.publish(once, "dedup", mode="append"), key=None)
+    return live.published(t.spark, live.publish(once, "dedup", mode="append"))
 
 
 def _stream_states(t: Tables) -> DataFrame:
@@ -918,13 +918,20 @@ def _stream_states(t: Tables) -> DataFrame:
 
 @query("stream_states")
 def _(t):
-    return live.published(t.spark, live.publish(_stream_states(t), "states"))
+    return live.published(t.spark, live.publish(_stream_states(t), "states"), "game_id")
+
+
+@query("stream_players")
+def _(t):
+    told = landed.plays_of_raw_lines(_lines_stream(t))
+    current = live.running_players(told, t.games, "4000 days")
+    return live.published(t.spark, live.publish(current, "players"), "game_id", "side", "person_id")
 
 
 @query("stream_predict")
 def _(t):
     current = live.running_predictions(_stream_states(t), t.predictions, PREDICTOR)
-    return live.published(t.spark, live.publish(current, "predictions"))
+    return live.published(t.spark, live.publish(current, "predictions"), "game_id")
 
 
 @query("stream_publish")
@@ -934,4 +941,4 @@ def _(t):
         return states.game_states(t.games, told).select(*_STATE)
 
     folder = live.publish(_lines_stream(t), "published", derive, mode="append")
-    return live.published(t.spark, folder)
+    return live.published(t.spark, folder, "game_id")

@@ -265,14 +265,14 @@ def collected_again(states: DataFrame, games: DataFrame) -> DataFrame:
 def delivered_schedule(games: DataFrame) -> DataFrame:
     """A later delivery: pre-season games gone, evening games completed, undecided
     opponents empty, and midnight games once more under new ids."""
-    evening = (F.col("status") == "In Progress") & (F.hour(F.col("start").cast("timestamp")) >= 18)
+    evening = (F.col("status") == "In Progress") & (F.hour("start") >= 18)
     kept = games.filter(F.col("season_type") != "Pre Season").withColumns(
         {
             "status": F.when(evening, "Completed").otherwise(F.col("status")),
             "away_team": F.when(F.col("away_team") != contest.UNKNOWN_TEAM, F.col("away_team")),
         }
     )
-    extra = games.filter(F.hour(F.col("start").cast("timestamp")) == 0).withColumn(
+    extra = games.filter(F.hour("start") == 0).withColumn(
         "game_id", -1 - F.col("game_id")
     )
     return kept.unionByName(extra)

@@ -954,6 +954,22 @@ stream_now AS (
            FROM stream_now""",
         stream,
     )
+    out["stream_players"] = _sql(
+        """SELECT game_id, side, person_id, arg_min(player_name, place) AS name,
+             CAST(coalesce(arg_max(points, (place, points)) FILTER (points IS NOT NULL), 0) AS BIGINT) AS points
+           FROM told GROUP BY game_id, side, person_id""",
+        """told AS (
+  SELECT p.game_id, CASE WHEN team = g.home_team THEN 'home' ELSE 'away' END AS side, person_id,
+         'Player ' || part AS player_name, (period, clock_left, play_id, 'Player ' || part) AS place, points
+  FROM (SELECT *, CASE WHEN part % 40 = 0 THEN 0 ELSE part END AS person_id,
+          CASE WHEN part % 50 = 0 THEN 'XXX' WHEN play_id % 2 = 1 THEN 'NATION_' || (game_id % 25)
+            ELSE 'NATION_' || ((game_id % 25 + 1 + (game_id // 25) % 24) % 25) END AS team,
+          CASE WHEN running THEN CASE WHEN supp % 7 <> 0 THEN qty % 40 END
+            WHEN supp % 4 <> 0 THEN qty % 40 END AS points
+        FROM raw_plays WHERE qty % 23 <> 0 AND part % 41 <> 0) p JOIN games g USING (game_id)
+  WHERE running OR person_id <> 0),
+""",
+    )
     out["stream_predict"] = _sql(
         f"SELECT game_id, {rounded} FROM current",
         stream,

@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.functions.clock import clock_seconds
+from matchlake.functions.text import points_in_text
 from matchlake.operators.predict import live_predictions, newest
 from matchlake.operators.states import END_OF_GAME
 from matchlake.sources.shared import new_folder
 
+SALTS = 8
+
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A landed parquet table as a stream, with the schema of its files.
@@ -42,6 +45,42 @@ def first_deliveries(plays: DataFrame, moment: str, delay: str) -> DataFrame:
     return plays.withWatermark(moment, delay).dropDuplicatesWithinWatermark(["game_id", "play_id"])
 
 
+def _place():
+    return F.struct(
+        "period",
+        (-clock_seconds(F.col("clock"))).alias("clock_left"),
+        F.coalesce("order_number", "action_id").cast("long").alias("play_id"),
+    ).alias("place")
+
+
+def _newest_of(name: str):
+    """The value told last in the order of play, 0 before any."""
+    told = F.when(F.col(name).isNotNull(), F.struct("place", name))
+    return F.coalesce(F.max(told).getField(name), F.lit(0))
+
+
+def with_schedule(plays: DataFrame, games: DataFrame, delay: str, salts: int = SALTS) -> DataFrame:
+    """Plays with their game's teams and start, watermarked on the start.
+
+    Stateful streams run without adaptive execution, so a busy game is spread by
+    a salt: each game is there once per salt.
+    """
+    info = games.select(
+        "game_id",
+        F.col("start").cast("timestamp").alias("start"),
+        F.col("home_team").alias("home"),
+        F.col("away_team").alias("away"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+    )
+    salt = F.pmod(F.xxhash64("order_number", "action_id", "clock"), F.lit(salts)).cast("int")
+    return (
+        plays.withColumn("salt", salt)
+        .join(info, ["game_id", "salt"])
+        .drop("salt")
+        .withWatermark("start", delay)
+    )
+
+
 def running_states(plays: DataFrame, games: DataFrame, delay: str) -> DataFrame:
     """The state of each game after its last play so far.
 
@@ -56,38 +95,24 @@ def running_states(plays: DataFrame, games: DataFrame, delay: str) -> DataFrame:
     final = F.when(
         F.col("order_number").isNotNull(), F.col("description") == END_OF_GAME
     ).otherwise(F.coalesce(F.col("sub_type") == "end", F.lit(False)))
-    rows = plays.filter(F.col("description").isNotNull()).select(
+    rows = with_schedule(plays.filter(F.col("description").isNotNull()), games, delay).select(
         "game_id",
-        F.struct(
-            "period",
-            (-clock_seconds(F.col("clock"))).alias("clock_left"),
-            F.coalesce("order_number", "action_id").cast("long").alias("play_id"),
-        ).alias("place"),
+        "start",
+        "home",
+        "away",
+        _place(),
         "clock",
         number("score_home").alias("told_home"),
         number("score_away").alias("told_away"),
         final.alias("is_final"),
     )
-    info = games.select(
-        "game_id",
-        F.col("start").cast("timestamp").alias("start"),
-        F.col("home_team").alias("home"),
-        F.col("away_team").alias("away"),
-    )
-
-    def told(name: str):
-        value = F.when(F.col(name).isNotNull(), F.struct("place", name))
-        return F.coalesce(F.max(value).getField(name), F.lit(0))
-
     last = F.max(F.struct("place", "clock", "is_final"))
     return (
-        rows.join(info, "game_id")
-        .withWatermark("start", delay)
-        .groupBy("game_id", "start", "home", "away")
+        rows.groupBy("game_id", "start", "home", "away")
         .agg(
             last.alias("last"),
-            told("told_home").alias("home_score"),
-            told("told_away").alias("away_score"),
+            _newest_of("told_home").alias("home_score"),
+            _newest_of("told_away").alias("away_score"),
         )
         .select(
             "game_id",
@@ -103,6 +128,37 @@ def running_states(plays: DataFrame, games: DataFrame, delay: str) -> DataFrame:
     )
 
 
+def running_players(plays: DataFrame, games: DataFrame, delay: str) -> DataFrame:
+    """Each player's first seen name and latest points so far."""
+    named = F.col("person_id").isNotNull() & F.col("player_name").isNotNull()
+    usable = F.col("order_number").isNotNull() | (
+        (F.col("person_id") != 0) & (F.col("player_name") != "")
+    )
+    told = F.when(F.col("order_number").isNotNull(), F.col("points_total")).otherwise(
+        points_in_text(F.col("description"))
+    )
+    at_home = F.coalesce(F.col("team_tricode") == F.col("home"), F.lit(False))
+    rows = with_schedule(
+        plays.filter(named & usable & F.col("description").isNotNull()), games, delay
+    ).select(
+        "game_id",
+        "start",
+        F.when(at_home, F.lit("home")).otherwise(F.lit("away")).alias("side"),
+        "person_id",
+        "player_name",
+        _place(),
+        told.alias("told_points"),
+    )
+    return (
+        rows.groupBy("game_id", "start", "side", "person_id")
+        .agg(
+            F.min(F.struct("place", "player_name")).getField("player_name").alias("name"),
+            _newest_of("told_points").alias("points"),
+        )
+        .drop("start")
+    )
+
+
 def running_predictions(states: DataFrame, predictions: DataFrame, predictor: str) -> DataFrame:
     """States stream with the stored prediction, blended."""
     return live_predictions(states.join(newest(predictions, predictor), "game_id"))
@@ -134,10 +190,10 @@ def publish(
     return folder
 
 
-def published(spark: SparkSession, folder: str, key: str | None = "game_id") -> DataFrame:
-    """What was published; with a key, only each group's newest batch."""
+def published(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    """What was published; with keys, only each group's newest batch."""
     rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*")
-    if key is not None:
-        latest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-        rows = rows.join(latest, [key, "batch"])
+    if keys:
+        latest = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+        rows = rows.join(latest, [*keys, "batch"])
     return rows.drop("batch")

@@ -33,7 +33,7 @@ def test_fallback_only_for_failures(spark):
 def test_schedule(spark):
     games = [
         {"gameId": "0022400001", "gameStatus": 3, "gameDateTimeEst": "2024-10-22T19:30:00Z",
-         "homeTeam": {"teamTricode": "BOS", "teamId": 1}, "awayTeam": {"teamTricode": "NYK"}},
+         "homeTeam": {"teamTricode": "AAA", "teamId": 1}, "awayTeam": {"teamTricode": "BBB"}},
         {"gameId": "0012400001", "gameStatus": 9, "gameDateTimeEst": "2024-10-04T19:30:00Z",
          "homeTeam": {"teamTricode": None}, "awayTeam": {}},
     ]
@@ -42,7 +42,7 @@ def test_schedule(spark):
     got = sorted(map(tuple, p.flatten_schedule(rows).collect()))
     assert got == [
         ("0012400001", "2024-10-04T19:30:00Z", None, None, "Unknown", "2024-2025", "Pre Season"),
-        ("0022400001", "2024-10-22T19:30:00Z", "BOS", "NYK", "Completed", "2024-2025", "Regular Season"),
+        ("0022400001", "2024-10-22T19:30:00Z", "AAA", "BBB", "Completed", "2024-2025", "Regular Season"),
     ]
 
 

@@ -36,13 +36,13 @@ def test_running_states_follow_deliveries(spark, tmp_path, schedule):
     path = landed(spark, tmp_path, DELIVERIES)
     plays = live.read_stream(spark, path, files_per_batch=1)
     folder = live.publish(live.running_states(plays, schedule, "30 days"), "t", folder=str(tmp_path / "out"))
-    got = {r.game_id: tuple(r) for r in live.published(spark, folder).select("game_id", "home", "play_id", "home_score", "away_score", "is_final_state").collect()}
+    got = {r.game_id: tuple(r) for r in live.published(spark, folder, "game_id").select("game_id", "home", "play_id", "home_score", "away_score", "is_final_state").collect()}
     assert got == {1: (1, "HOM", 9, 90, 88, True), 2: (2, "HOM", 3, 2, 3, False)}
     every = spark.read.parquet(f"{folder}/rows/batch=*").filter("game_id = 1").orderBy("play_id").collect()
     assert [(r.play_id, r.home_score) for r in every] == [(1, 0), (2, 2), (9, 90)]
     # Nothing new has landed: another run adds nothing and changes nothing.
     live.publish(live.running_states(live.read_stream(spark, path, 1), schedule, "30 days"), "t", folder=folder)
-    assert live.published(spark, folder).count() == 2
+    assert live.published(spark, folder, "game_id").count() == 2
 
 
 def test_stream_equals_batch(spark, tmp_path, schedule):
@@ -52,7 +52,7 @@ def test_stream_equals_batch(spark, tmp_path, schedule):
     columns = ["game_id", "play_id", "home_score", "away_score", "is_final_state"]
     batch = s.latest_state(s.game_states(schedule, spark.read.parquet(path).distinct()))
     as_rows = lambda frame: sorted(tuple(r) for r in frame.select(*columns).collect())
-    assert as_rows(live.published(spark, folder)) == as_rows(batch)
+    assert as_rows(live.published(spark, folder, "game_id")) == as_rows(batch)
 
 
 def test_repeats_are_dropped_across_batches(spark, tmp_path):
@@ -64,7 +64,7 @@ def test_repeats_are_dropped_across_batches(spark, tmp_path):
     stream = live.read_stream(spark, path, 1).withColumn("at", F.col("at").cast("timestamp"))
     once = live.first_deliveries(stream, "at", "2 hours")
     folder = live.publish(once, "t", mode="append", folder=str(tmp_path / "out"))
-    got = sorted((r.game_id, r.play_id) for r in live.published(spark, folder, key=None).collect())
+    got = sorted((r.game_id, r.play_id) for r in live.published(spark, folder).collect())
     assert got == [(1, 1), (1, 2), (1, 3), (2, 1)]
 
 
@@ -76,7 +76,7 @@ def test_plays_behind_the_watermark_are_dropped(spark, tmp_path):
     path = landed(spark, tmp_path, rows, "game_id long, play_id long, at string")
     stream = live.read_stream(spark, path, 1).withColumn("at", F.col("at").cast("timestamp"))
     folder = live.publish(live.first_deliveries(stream, "at", "1 hour"), "t", mode="append", folder=str(tmp_path / "out"))
-    got = sorted((r.game_id, r.play_id) for r in live.published(spark, folder, key=None).collect())
+    got = sorted((r.game_id, r.play_id) for r in live.published(spark, folder).collect())
     assert got == [(1, 1), (2, 1), (3, 1), (3, 2)]
 
 
@@ -91,7 +91,7 @@ def test_each_delivery_replaces_its_games(spark, tmp_path, schedule):
         live.read_stream(spark, path, 1), "t", lambda batch: s.game_states(schedule, batch), "append",
         str(tmp_path / "out"),
     )
-    got = sorted((r.game_id, r.play_id, r.home_score) for r in live.published(spark, folder).collect())
+    got = sorted((r.game_id, r.play_id, r.home_score) for r in live.published(spark, folder, "game_id").collect())
     assert got == [(1, 1, 0), (1, 2, 2), (1, 3, 2), (2, 1, 0)]
 
 
@@ -103,8 +103,21 @@ def test_live_predictions_stream(spark, tmp_path, schedule):
     )
     states = live.running_states(live.read_stream(spark, path, 1), schedule, "30 days")
     folder = live.publish(live.running_predictions(states, stored, "P"), "t", folder=str(tmp_path / "out"))
-    got = {r.game_id: r for r in live.published(spark, folder).collect()}
+    got = {r.game_id: r for r in live.published(spark, folder, "game_id").collect()}
     assert set(got) == {1, 2}
     assert (got[1].pred_home_score, got[1].pred_home_win_pct) == (90.0, 1.0)
     done = (24 - 10) / 48  # second period, ten minutes left
     assert got[2].pred_home_score == pytest.approx(done * 70 + (1 - done) * 100)
+
+
+def test_players_stream_equals_batch(spark, tmp_path, schedule):
+    one = running(1, 3, 1, "PT09M00.00S", 2, 0, team="HOM", person=11, name="A. One", points=2)
+    later = running(1, 5, 2, "PT09M00.00S", 4, 0, team="HOM", person=11, name="A. Other", points=4)
+    text = other(2, 1, 1, "PT09M00.00S", "", "", "Shot (7 PTS)", "AWY", 22, "B. Two")
+    path = landed(spark, tmp_path, [[later, text], [one, one], [other(2, 2, 1, "PT08M00.00S", "", "", "Miss", "AWY", 22, "B. Two")]])
+    stream = live.running_players(live.read_stream(spark, path, 1), schedule, "30 days")
+    folder = live.publish(stream, "t", folder=str(tmp_path / "out"))
+    got = live.published(spark, folder, "game_id", "side", "person_id")
+    want = s.players_snapshot(schedule, spark.read.parquet(path))
+    as_rows = lambda frame: sorted(tuple(r) for r in frame.select("game_id", "side", "person_id", "name", "points").collect())
+    assert as_rows(got) == as_rows(want) == [(1, "home", 11, "A. One", 4), (2, "away", 22, "B. Two", 7)]
