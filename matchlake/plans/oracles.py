@@ -686,18 +686,21 @@ delivered AS (
             AND season IN ('1997-1998', '1998-1999')""",
         "score_rows": """SELECT game_id, coalesce(Home_PPG, 0) AS "Home_PPG", Home_OPP_PPG AS "Home_OPP_PPG",
           Away_PPG AS "Away_PPG", Away_OPP_PPG AS "Away_OPP_PPG" FROM stored_features""",
-        "game_view": f"""SELECT g.game_id, 0::BIGINT AS page, {_START}, home_team, away_team, status, season,
-            coalesce((SELECT string_agg(play_id || '|' || period || '|' || clock, ';' ORDER BY play_id)
-              FROM plays p WHERE p.game_id = g.game_id), '') AS plays,
+        "game_view": f"""SELECT g.game_id, coalesce(p.page, 0) AS page, {_START}, home_team, away_team, status, season,
+            coalesce(p.plays, '') AS plays,
             CAST(l.play_id AS BIGINT) AS state_play_id, CAST(l.home_score AS BIGINT) AS home_score,
             CAST(l.away_score AS BIGINT) AS away_score, round(pred_home_score, 6) AS pred_home_score,
             round(pred_away_score, 6) AS pred_away_score
-          FROM games g LEFT JOIN latest l USING (game_id)
-          LEFT JOIN predictions r ON r.game_id = g.game_id AND r.predictor = 'Baseline'""",
-        "condensed_plays": f"""SELECT game_id, 0::BIGINT AS page, string_agg(concat_ws('|',
+          FROM games g LEFT JOIN (SELECT game_id, (n - 1) // 1000 AS page,
+              string_agg(play_id || '|' || period || '|' || clock, ';' ORDER BY play_id) AS plays
+            FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY play_id) AS n FROM plays)
+            GROUP BY game_id, page) p USING (game_id)
+          LEFT JOIN latest l USING (game_id) LEFT JOIN predictions r ON r.game_id = g.game_id AND r.predictor = 'Baseline'""",
+        "condensed_plays": f"""SELECT game_id, (n - 1) // 1000 AS page, string_agg(concat_ws('|',
               {face} || CASE WHEN period > 4 THEN ' OT' || (period - 4) ELSE ' Q' || period END,
               coalesce(CAST(told_home AS VARCHAR), ''), description), ';' ORDER BY play_id DESC) AS plays
-          FROM plays GROUP BY game_id""",
+          FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY play_id DESC) AS n FROM plays)
+          GROUP BY game_id, page""",
         "src_plays": """SELECT game_id, CASE WHEN game_id % 2 = 0 THEN play_id END AS order_number,
             CASE WHEN game_id % 2 = 1 THEN play_id END AS action_id, CAST(period AS BIGINT) AS period, clock,
             CAST(h AS VARCHAR) AS score_home, CAST(a AS VARCHAR) AS score_away,
@@ -735,11 +738,11 @@ delivered AS (
             round(CASE WHEN pred_home_score > 100 THEN pred_home_score + 1 ELSE pred_home_score END, 6) AS pred_home_score,
             round(pred_away_score, 6) AS pred_away_score, round(pred_home_win_pct, 6) AS pred_home_win_pct
           FROM predictions""",
-        "sink_replace_group": """SELECT s.game_id, CAST(play_id AS BIGINT) AS play_id,
+        "sink_replace_group": """SELECT game_id, CAST(play_id AS BIGINT) AS play_id,
             CAST(home_score + CASE WHEN again THEN 1 ELSE 0 END AS BIGINT) AS home_score,
             CAST(away_score AS BIGINT) AS away_score
-          FROM states s JOIN (SELECT game_id, status = 'In Progress' AND game_id IN (
-            SELECT game_id FROM states WHERE play_id <= 4) AS again FROM games) USING (game_id)
+          FROM (SELECT *, game_id IN (SELECT g.game_id FROM games g JOIN states f USING (game_id)
+            WHERE g.status = 'In Progress' AND f.play_id <= 4) AS again FROM states)
           WHERE NOT again OR play_id <= 4""",
         "sync_guard": """SELECT 'all' AS delivery, count(*) AS rows, 0::BIGINT AS broken, 'mixed seasons' AS verdict FROM games
           UNION ALL SELECT 'one', count(*), 0, 'accept' FROM games WHERE season = '1997-1998'
