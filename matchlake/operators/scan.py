@@ -37,6 +37,10 @@ def mark_hot(rows: DataFrame, key: str, limit: int = HOT_ROWS) -> DataFrame:
     )
 
 
+def _whole(window):
+    return window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def _local(kind: str, value: Column, window) -> Column:
     if kind == "count":
         return F.row_number().over(window).cast("long")
@@ -49,6 +53,8 @@ def _local(kind: str, value: Column, window) -> Column:
         return F.max(value).over(window.rangeBetween(Window.unboundedPreceding, -1))
     if kind == "lag":
         return F.lag(value).over(window)
+    if kind == "any":
+        return F.bool_or(value).over(_whole(window))
     if kind == "is_last":
         return F.lead(F.lit(1)).over(window).isNull()
     raise ValueError(f"unknown scan kind: {kind}")
@@ -65,6 +71,8 @@ def _summary(kind: str, value: Column, order: Column) -> Column:
         return F.max(value)
     if kind == "lag":
         return F.max_by(value, order)
+    if kind == "any":
+        return F.bool_or(value)
     return F.lit(None).cast("boolean") if kind == "is_last" else value
 
 
@@ -80,6 +88,8 @@ def _carry(kind: str, name: str, window) -> Column:
         return F.max(name).over(before)
     if kind == "lag":
         return F.lag(name).over(window)
+    if kind == "any":
+        return F.bool_or(name).over(_whole(window))
     return F.lead(F.lit(True)).over(window)
 
 
@@ -94,6 +104,8 @@ def _combine(kind: str, local: Column, carry: Column, at_start: Column, later: C
         return F.greatest(local, carry)
     if kind == "lag":
         return F.when(at_start, carry).otherwise(local)
+    if kind == "any":
+        return F.coalesce(carry, local)
     return local & ~F.coalesce(carry, F.lit(False))
 
 
@@ -111,7 +123,7 @@ def ordered_scan(
     ``wanted`` maps a new column to (kind, source column); kinds are ``count``
     (1-based position), ``first``, ``last`` (non-null so far, this row
     included), ``max_before`` (strictly smaller position; one order column),
-    ``lag`` and ``is_last``. ``split`` are the rows whose groups may have
+    ``lag``, ``is_last`` and ``any`` (a flag set on any row of the group). ``split`` are the rows whose groups may have
     several segments, when fewer than all.
     """
     window = Window.partitionBy(*keys, *segment).orderBy(*order)

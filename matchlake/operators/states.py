@@ -57,18 +57,24 @@ def _number(text: str) -> Column:
     return F.nullif(F.trim(text), F.lit("")).try_cast("int")
 
 
-def malformed_games(plays: DataFrame) -> DataFrame:
-    """Games with a play that cannot be placed or, in the running feed, scored."""
-    running = F.col("order_number").isNotNull()
+def _unreadable() -> Column:
+    """A play that cannot be placed or, in the running feed, scored."""
     unplaced = (
         F.coalesce("order_number", "action_id").isNull()
         | F.col("period").isNull()
         | clock_seconds(F.col("clock")).isNull()
     )
-    unscored = running & F.col("description").isNotNull() & (
-        _number("score_home").isNull() | _number("score_away").isNull()
+    unscored = (
+        F.col("order_number").isNotNull()
+        & F.col("description").isNotNull()
+        & (_number("score_home").isNull() | _number("score_away").isNull())
     )
-    return plays.filter(unplaced | unscored).select("game_id").distinct()
+    return unplaced | unscored
+
+
+def malformed_games(plays: DataFrame) -> DataFrame:
+    """Games with an unreadable play."""
+    return plays.filter(_unreadable()).select("game_id").distinct()
 
 
 def game_states(
@@ -82,9 +88,11 @@ def game_states(
     the game when its sub-type is ``end``. Games with an unreadable play are left
     out, see ``malformed_games``.
     """
-    placed = _placed(plays.filter(F.col("description").isNotNull()), hot_rows).select(
+    described = F.col("description").isNotNull()
+    placed = _placed(plays.filter(described), hot_rows).select(
         "game_id", "play_id", "period", "clock", "description", "sub_type",
         F.col("order_number").isNotNull().alias("is_running"),
+        _unreadable().alias("is_unreadable"),
         _number("score_home").alias("told_home"),
         _number("score_away").alias("told_away"),
         *_WORK,
@@ -99,9 +107,10 @@ def game_states(
             "known_home": ("last", "told_home"),
             "known_away": ("last", "told_away"),
             "is_last": ("is_last", None),
+            "is_spoilt": ("any", "is_unreadable"),
         },
         split=placed.filter("is_hot"),
-    )
+    ).filter(~F.col("is_spoilt"))
     home = F.when(F.col("running_feed"), F.col("told_home")).otherwise(
         F.coalesce("known_home", F.lit(0))
     )
@@ -111,13 +120,14 @@ def game_states(
     final = F.when(
         F.col("running_feed"), F.col("description") == END_OF_GAME
     ).otherwise(F.col("is_last") & F.coalesce(F.col("sub_type") == "end", F.lit(False)))
-    # One row per game, so only a single join has to deal with a busy game's plays.
+    # Undescribed plays give no state but can spoil a game; that filter reaches the
+    # scan. Joining them here leaves one join for a busy game's plays.
     info = games.select(
         "game_id",
         F.to_date("start").alias("game_date"),
         F.col("home_team").alias("home"),
         F.col("away_team").alias("away"),
-    ).join(malformed_games(plays), "game_id", "left_anti")
+    ).join(malformed_games(plays.filter(~described)), "game_id", "left_anti")
     return (
         scanned.select(
             "game_id",

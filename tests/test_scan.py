@@ -15,6 +15,7 @@ WANTED = {
     "top": ("max_before", "v"),
     "prev": ("lag", "v"),
     "at_end": ("is_last", None),
+    "some": ("any", "odd"),
 }
 
 
@@ -25,7 +26,8 @@ def rows(spark):
     for group, n in (("hot", 400), ("warm", 30), ("one", 1)):
         for at in rng.sample(range(10 * n), n):
             data.append((group, at, rng.choice([None, rng.randint(0, 99)])))
-    return spark.createDataFrame(data, "g string, at long, v int")
+    frame = spark.createDataFrame(data, "g string, at long, v int")
+    return frame.withColumn("odd", (F.col("g") == "hot") & (F.col("at") == F.lit(data[7][1])))
 
 
 @pytest.mark.parametrize("width", [7, 100, 100000])
@@ -42,6 +44,7 @@ def test_segments_change_nothing(rows, width):
         F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("top"),
         F.lag("v").over(w).alias("prev"),
         F.lead(F.lit(1)).over(w).isNull().alias("at_end"),
+        F.bool_or("odd").over(Window.partitionBy("g")).alias("some"),
     )
     key = ["g", "at"]
     a = got.toPandas().sort_values(key).reset_index(drop=True)[want.columns]

@@ -42,8 +42,12 @@ PLAYS = [
     # 4: one unreadable clock spoils the game, not the others
     running(4, 1, 1, "PT12M00.00S", 0, 0),
     running(4, 2, 1, "soon", 0, 0),
-    # 5: no plays; 6: a running play without a score
+    # 5: a readable play and an undescribed one without a period; 6: a running play without a score
+    running(5, 1, 1, "PT12M00.00S", 0, 0),
+    running(5, 2, None, "PT11M00.00S", 0, 0, text=None),
     running(6, 1, 1, "PT12M00.00S", "", 0),
+    running(6, 2, 1, "PT11M00.00S", 1, 0),
+    running(6, 3, 1, "PT10M00.00S", 1, 0),
 ]
 
 
@@ -75,7 +79,7 @@ def test_game_states(tables, hot_rows):
 
 
 def test_malformed(tables):
-    assert [r.game_id for r in s.malformed_games(tables[1]).orderBy("game_id").collect()] == [4, 6]
+    assert [r.game_id for r in s.malformed_games(tables[1]).orderBy("game_id").collect()] == [4, 5, 6]
 
 
 @pytest.mark.parametrize("hot_rows", [1_000_000, 2])
