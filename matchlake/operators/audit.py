@@ -52,6 +52,7 @@ def pregame_without_history(t: Tables) -> DataFrame:
     flagged = t["games"].filter("pre_game_data_finalized")
     return (
         attach_sides(flagged, totals, ["prior_count"])
+        .fillna(0, ["home_prior_count", "away_prior_count"])
         .filter((F.col("home_prior_count") == 0) | (F.col("away_prior_count") == 0))
         .select(
             "game_id", "home_team", "away_team", "start", "home_prior_count", "away_prior_count"
@@ -132,7 +133,8 @@ def falling_scores(t: Tables) -> DataFrame:
     repeats nor long games pair rows with each other.
     """
     tops = (
-        t["states"].groupBy("game_id", "period", "play_id")
+        t["states"].dropna(subset=["game_id", "period"])
+        .groupBy("game_id", "period", "play_id")
         .agg(F.max("home_score").alias("top_home"), F.max("away_score").alias("top_away"))
         .withColumn("seg", F.shiftright("play_id", 20))
     )
@@ -216,7 +218,7 @@ def completed_in_future(t: Tables) -> DataFrame:
 def out_of_order_ids(t: Tables) -> DataFrame:
     """Games where a smaller play id was ingested after a larger one."""
     tops = (
-        t["states"].groupBy("game_id", "ingest_seq")
+        t["states"].dropna(subset=["game_id"]).groupBy("game_id", "ingest_seq")
         .agg(F.max("play_id").alias("top"), F.min("play_id").alias("low"))
         .withColumn("seg", F.shiftright("ingest_seq", 20))
     )

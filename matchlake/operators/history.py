@@ -54,7 +54,10 @@ def totals_before(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
 
 
 def attach_sides(games: DataFrame, totals: DataFrame, names: list[str]) -> DataFrame:
-    """Games with ``home_<name>`` and ``away_<name>`` from a per-start table."""
+    """Games with ``home_<name>`` and ``away_<name>`` from a per-start table.
+
+    A game without a team, season or start keeps nulls there: it has no past.
+    """
     out = games
     for side in ("home", "away"):
         view = totals.select(
@@ -63,7 +66,7 @@ def attach_sides(games: DataFrame, totals: DataFrame, names: list[str]) -> DataF
             "start",
             *[F.col(n).alias(f"{side}_{n}") for n in names],
         )
-        out = out.join(view, ["season", f"{side}_team", "start"])
+        out = out.join(view, ["season", f"{side}_team", "start"], "left")
     return out
 
 
@@ -84,7 +87,7 @@ def prior_counts(games: DataFrame, finals: DataFrame) -> DataFrame:
         },
     )
     wanted = team_rows(games)
-    return wanted.join(totals, [*TEAM, "start"]).select(
+    return wanted.join(totals, [*TEAM, "start"], "left").fillna(0, ["needed", "loaded"]).select(
         "game_id",
         "side",
         "season",
@@ -126,7 +129,7 @@ def games_needing_pregame(games: DataFrame) -> DataFrame:
     )
     todo = attach_sides(
         played.filter(~F.col("pre_game_data_finalized")), totals, ["open_games"]
-    )
+    ).fillna(0, ["home_open_games", "away_open_games"])
     ready = (F.col("status") == "Not Started") & (
         F.col("home_open_games") + F.col("away_open_games") == 0
     )

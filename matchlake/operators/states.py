@@ -16,10 +16,10 @@ def _placed(plays: DataFrame, hot_rows: int) -> DataFrame:
     """Add the order of play (period, most clock first, id) and its segments.
 
     A usual game is one segment. A game over ``hot_rows`` plays is cut at every
-    clock reading and every 2^20 ids.
+    clock reading and every 2^20 ids. Plays that name no game have no place.
     """
     play_id = F.coalesce("order_number", "action_id").cast("long")
-    rows = plays.withColumns(
+    rows = plays.filter(F.col("game_id").isNotNull()).withColumns(
         {"play_id": play_id, "clock_left": -clock_seconds(F.col("clock"))}
     )
     rows = mark_hot(rows, "game_id", hot_rows)

@@ -127,8 +127,8 @@ def test_histories(spark):
             if g.game_id in (17, 100, 101, 102):
                 mine = listed[(listed.game_id == g.game_id) & (listed.side == side)]
                 assert set(mine.prior_id) == set(every.game_id)
-    flags = queues.finalize_pregame(games, history.prior_counts(games, finals)).toPandas().set_index("game_id")
-    missing = counts.groupby("game_id")["is_missing"].any()
+    flags = queues.finalize_pregame(games, history.prior_counts(games, finals)).toPandas().set_index("game_id").sort_index()
+    missing = counts.groupby("game_id")["is_missing"].any().sort_index()
     assert (flags.pre_game_data_finalized == ~missing).all()
 
 

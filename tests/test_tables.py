@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from matchlake.operators import audit, evaluate, predict, quality, queues, repair, sync, teams, views
+from matchlake.operators import audit, evaluate, history, predict, quality, queues, repair, sync, teams, views
 
 GAME = (
     "game_id long, start string, home_team string, away_team string, status string, season string, "
@@ -131,6 +131,34 @@ def test_fix_orphans_and_duplicates(tables):
     assert kept.count() == 15
 
 
+def test_games_without_a_team_have_no_past(spark, tables):
+    open_game = game(8, home=None, status="Not Started", data=False, day=9)
+    known = games(spark, [game(1), game(9, home="B", away=None, pre=True, day=8), open_game])
+    t = tables | {"games": known}
+    rows = audit.RULES["FLAG-004"].rows(t)
+    assert found(rows, "game_id", "home_prior_count", "away_prior_count") == [(9, 1, 0)]
+    assert found(history.games_needing_pregame(known), "game_id") == [(1,), (8,)]
+    counts = history.prior_counts(known, spark.createDataFrame([(1, 9, 8)], "game_id long, home_score int, away_score int"))
+    assert found(counts, "game_id", "side", "needed", "loaded") == [
+        (1, "away", 0, 0), (1, "home", 0, 0), (8, "away", 2, 1), (8, "home", 0, 0), (9, "away", 0, 0), (9, "home", 1, 1),
+    ]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    """On a stored table the date range and status filters are pushed down."""
+    path = str(tmp_path / "games")
+    games(spark, [game(1), game(2, day=2)]).write.parquet(path)
+    stored = spark.read.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    for rows, wanted in (
+        (queues.on_date(stored, "2024-11-01"), "GreaterThanOrEqual(start,2024-11-01T00:00)"),
+        (queues.in_progress(stored, "2024-2025"), "EqualTo(status,In Progress)"),
+    ):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert wanted in plan and "ReadSchema" in plan
+    assert found(queues.on_date(stored, "2024-11-01"), "game_id") == [(1,)]
+
+
 def test_schedule_sync(spark):
     old = games(spark, [
         game(1, pre=True), game(2), game(3, status="In Progress"), game(4), game(5, season="2023-2024"),
