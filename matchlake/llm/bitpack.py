@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,7 +175,7 @@ def write(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 payload = [pa.compress(np.append(ids[a:b], np.uint32(end_id)).astype(np.uint16 if width <= 16 else np.uint32).tobytes(), "zstd", asbytes=True) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 doc_ids = part.column("doc_id")
-                place = np.searchsorted(bounds, pa.compute.fill_null(doc_ids, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
+                place = np.searchsorted(bounds, pc.fill_null(doc_ids, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(place.astype(np.int64)), pa.array(counts + 1), pa.array(payload, pa.binary())], ["doc_id", "file_no", "n_tokens", "payload"])
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, packing
+from . import bitpack, bpe, fingerprints, minhash, packing
 from .common import table
 
 #: The tokenizer's file; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, digest=True)
 
@@ -26,8 +30,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read(bitpack.write(table(spark, sf_dir, "documents"), TOKENIZER), crc=True)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe_roundtrip, op6_best_fit_packing, op7_token_files)}
+    return {f.__name__: f for f in (op4_minhash_near_duplicates, op5_bpe_roundtrip, op6_best_fit_packing, op7_token_files, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
