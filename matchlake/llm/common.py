@@ -110,11 +110,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a slice: maximal runs of bytes that part no words, A-Z in lower case."""
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    def __init__(self, texts: pa.Array, separator: np.ndarray = SEPARATOR):
         self.data, self.bounds = buffers(texts)
-        if lower:
-            self.data = LOWER[self.data]
-        inside = ~SEPARATOR[self.data]
+        self.data = LOWER[self.data]
+        inside = ~separator[self.data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
