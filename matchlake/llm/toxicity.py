@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, written
+from .common import Words, mix, slices, span_hashes, written
 
 #: Most labelled rows that the examples are fitted on (by hash of doc_id).
 EXAMPLES = 10_000
 #: Most terms that are kept, by chi-square.
 TERMS = 4096
 LEAST_EXAMPLES, LEAST_CHI2, LEAST_LOG_ODDS = 3, 15.0, 1.5
+#: Shares of a row's words at which a repeated term is a further term.
+SHARES = (0.004, 0.008, 0.016)
 #: Bytes of a word's beginning that are terms too, for words longer than that.
 BEGINNINGS = (4, 5)
 NEIGHBOURS = 15
@@ -38,17 +40,30 @@ PRIOR_VOTES, LEAST_DISTANCE = 0.5, 0.1
 PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def term_codes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, and byte range of each term occurrence."""
-    from .common import span_hashes
+def row_terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of each row: hash, row, times, and the byte range of one occurrence.
 
+    A term that a row repeats is a further term for each share of the row's words it
+    reaches, so that cosines, which know no length, can tell a habit from a chance.
+    """
     found = [(words.hashes(), words.row, words.start, words.end)]
     length = words.end - words.start
     for n in BEGINNINGS:
         some = np.flatnonzero(length > n)
         a = words.start[some]
         found.append((span_hashes(words.data, a, a + n, seed=n), words.row[some], a, a + n))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    code, row, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((code, row))
+    code, row = code[order], row[order]
+    new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])) if len(code) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(code)))
+    code, row, start, end = code[new], row[new], start[order][new], end[order][new]
+    share = times / np.maximum(1, np.diff(words.rows))[row]
+    out = [(code, row, times, start, end)]
+    for level, least in enumerate(SHARES, 1):
+        some = np.flatnonzero((times > 1) & (share >= least))
+        out.append((mix(code[some] + np.uint64(level)), row[some], np.ones(len(some), np.int64), start[some], end[some]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 @dataclass
@@ -102,12 +117,12 @@ class Model:
     def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """Terms and unit TF-IDF weights of each row."""
         words = Words(texts, PARTS)
-        codes, row, _, _ = term_codes(words)
+        codes, row, times, _, _ = row_terms(words)
         place = np.searchsorted(self.terms, codes)
         place[place == len(self.terms)] = 0
         known = self.terms[place] == codes if len(self.terms) else np.zeros(len(codes), bool)
-        key, tf = np.unique(row[known] * max(1, len(self.terms)) + place[known], return_counts=True)
-        rows, terms = np.divmod(key, max(1, len(self.terms)))
+        order = np.lexsort((place[known], row[known]))
+        rows, terms, tf = row[known][order], place[known][order], times[known][order]
         weight = (1 + np.log(tf)) * self.idf[terms]
         edges = np.searchsorted(rows, np.arange(len(texts) + 1))
         out = []
@@ -154,11 +169,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                codes, row, _, _ = term_codes(Words(part.column("text"), PARTS))
+                codes, row, _, _, _ = row_terms(Words(part.column("text"), PARTS))
                 toxic = part.column("toxic").to_numpy(zero_copy_only=False) == 1
-                pairs = np.unique(np.stack([codes.view(np.int64), row.astype(np.int64)]), axis=1) if len(codes) else np.zeros((2, 0), np.int64)
-                code, place = np.unique(pairs[0], return_inverse=True)
-                ones = np.bincount(place, toxic[pairs[1]], minlength=len(code)).astype(np.int64)
+                code, place = np.unique(codes.view(np.int64), return_inverse=True)
+                ones = np.bincount(place, toxic[row], minlength=len(code)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(ones), pa.array(np.bincount(place, minlength=len(code)).astype(np.int64))], ["code", "ones", "n"])
 
     a, b = F.col("ones").cast("double"), (F.col("n") - F.col("ones")).cast("double")
@@ -223,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
 def _names(model: Model, texts: pa.Array) -> dict[int, str]:
     """Some spelling of each term of the model in these texts."""
     words = Words(texts, PARTS)
-    codes, _, start, end = term_codes(words)
+    codes, _, _, start, end = row_terms(words)
     place = np.searchsorted(model.terms, codes)
     place[place == len(model.terms)] = 0
     known = np.flatnonzero(model.terms[place] == codes) if len(model.terms) else np.zeros(0, np.int64)
