@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, fingerprints, minhash, packing, secrets, toxicity
+from . import bitpack, bpe, fingerprints, interpolation, kneser, minhash, packing, secrets, toxicity
 from .common import table
 
 #: The tokenizer's file; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,12 +42,27 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_minhash_near_duplicates, op5_bpe_roundtrip, op6_best_fit_packing, op7_token_files, op8_secret_scan, op10_fingerprints)}
+    listed = (
+        op1_quality_classifier,
+        op3_toxicity,
+        op4_minhash_near_duplicates,
+        op5_bpe_roundtrip,
+        op6_best_fit_packing,
+        op7_token_files,
+        op8_secret_scan,
+        op9_deleted_interpolation,
+        op10_fingerprints,
+    )
+    return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
