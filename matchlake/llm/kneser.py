@@ -193,8 +193,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return rows.select(*names, "text", "split").mapInArrow(scored, f"{schema}, n_symbols long, perplexity double")
 
 
+def row_key():
+    """Tells rows apart that share a doc_id or have none."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, prior_bytes: int = PRIOR_BYTES) -> DataFrame:
-    """doc_id, lang, perplexity, adjusted (with the prior bytes), threshold and kept for every row.
+    """doc_id, row_key, lang, perplexity, adjusted (with the prior bytes), threshold and kept
+    for every row; row_key is ``row_key()`` of doc_id and text.
 
     ``docs`` has doc_id, text and lang; ``labels`` doc_id and quality, whose rows with
     quality 1 are trusted. Of these, the ids whose crc32 leaves no remainder modulo 5 set
@@ -203,7 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, prior_bytes
     kept. Repeated rows are each returned, a null doc_id is never trusted.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    plain = blocks.from_files(plain)
+    plain = blocks.from_files(plain).withColumn("row_key", row_key())
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = small(written(good, "trusted"), 24)
     trusted = plain.join(good, "doc_id").where(~held_out(F.col("doc_id"))).select("text")
@@ -221,4 +227,4 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, prior_bytes
     bits = F.col("n_symbols") * F.log("perplexity") + F.when(F.col("median") < float("inf"), prior_bytes * F.log("median")).otherwise(0)
     adjusted = middle.withColumn("adjusted", F.exp(bits / (F.col("n_symbols") + prior_bytes)))
     out = with_quantile(adjusted, "adjusted", high, "threshold")
-    return out.select("doc_id", "lang", "perplexity", "adjusted", "threshold", (F.col("adjusted") <= F.col("threshold")).alias("kept"))
+    return out.select("doc_id", "row_key", "lang", "perplexity", "adjusted", "threshold", (F.col("adjusted") <= F.col("threshold")).alias("kept"))

@@ -13,10 +13,12 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import slices
 
@@ -112,6 +114,14 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+@F.pandas_udf(StringType())
+def clean(texts: pd.Series) -> pd.Series:
+    """Texts with the spans of ``scan`` replaced; null stays null."""
+    column = pa.array(texts, pa.string(), from_pandas=True)
+    maybe = pc.fill_null(pc.or_(pc.match_substring_regex(column, MAYBE), pc.match_substring_regex(column, MAYBE_HEX)), False).to_pylist()
+    return pd.Series([redacted(t, spans_of(t)[1]) if m else t for t, m in zip(column.to_pylist(), maybe, strict=True)], dtype="object")
+
+
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """Spans of every whole text, in code points with exclusive ends.
 

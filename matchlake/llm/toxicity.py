@@ -16,8 +16,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, mix, slices, span_hashes, written
@@ -132,6 +133,17 @@ class Model:
         return out
 
 
+    def near(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Score, nearest examples and their cosines; the base rate's vote without any term."""
+        if not len(terms):
+            return min(self.calibrated(self.base_rate), self.base_rate), np.zeros(0, np.int64), np.zeros(0)
+        at, cosine = self.search(terms, weights)
+        return min(1.0, max(0.0, self.calibrated(self.vote(at, cosine)))), at, cosine
+
+    def scores(self, texts: pa.Array) -> list[float]:
+        return [self.near(*v)[0] for v in self.vectors(texts)]
+
+
 def isotonic(raw: np.ndarray, labels: np.ndarray, weight_of_base: float, base: float) -> tuple[np.ndarray, np.ndarray]:
     """Knots of a non-decreasing fit by pooling adjacent violators; each pool shrinks to the base rate."""
     values, place = np.unique(raw, return_inverse=True)
@@ -246,6 +258,20 @@ def _names(model: Model, texts: pa.Array) -> dict[int, str]:
     return {t: words.data[start[k] : end[k]].tobytes().decode("utf-8", "replace") for t, k in spans}
 
 
+def scorer(model: Model, spark: SparkSession):
+    """A column function from texts to scores: the search and vote of ``score`` without its evidence."""
+    sent = spark.sparkContext.broadcast(model)  # bounded, see Model
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        out = []
+        for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])):
+            out += sent.value.scores(part.column("text"))
+        return pd.Series(out, dtype="float64")
+
+    return scored
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Scores of every whole text: doc_id, score, predicted, and as evidence the matched
     terms and the nearest examples with cosine and label.
@@ -258,21 +284,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        none = own.calibrated(own.base_rate)
         for batch in batches:
             for part in slices(batch):
                 scores, near, matched = [], [], []
                 for terms, weights in own.vectors(part.column("text")):
-                    if not len(terms):
-                        scores.append(min(none, own.base_rate))
-                        near.append([])
-                        matched.append([])
-                        continue
-                    at, cosine = own.search(terms, weights)
-                    scores.append(own.calibrated(own.vote(at, cosine)))
+                    value, at, cosine = own.near(terms, weights)
+                    scores.append(value)
                     near.append([{"doc_id": int(own.example_ids[k]), "cosine": float(x), "label": int(own.labels[k])} for k, x in zip(at[:5], cosine[:5], strict=True)])
                     matched.append([own.names[t] for t in terms[np.argsort(-weights)][:5]])
-                value = np.clip(np.array(scores), 0, 1)
+                value = np.array(scores)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(matched, pa.list_(pa.string())), pa.array(near, evidence)], ["doc_id", "score", "predicted", "terms", "nearest"]
                 )
