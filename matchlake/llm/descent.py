@@ -169,6 +169,8 @@ def _counted(nodes: DataFrame, classes: DataFrame, threshold: float) -> DataFram
 def _audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
     """Share of a sample's true links that were found; the sample is compared with all nodes."""
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "vec").collect()  # at most AUDITED rows
+    if not sample:
+        return 1.0
     ids = np.array([r["node"] for r in sample], np.int64)
     asked = _matrix([bytes(r["vec"]) for r in sample])
 
@@ -208,6 +210,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     nodes = nodes.groupBy("node").agg(F.max_by("vec", "key").alias("vec"), F.max_by("copies", "key").alias("copies"), F.max("key").alias("key"))
     nodes = written(nodes, "nodes")
     count = nodes.count()
+    if not count:
+        return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audited_recall"))
     met = _meeting(k, threshold)
     graph, forest, recall = None, None, 0.0
     counted = classes = None
