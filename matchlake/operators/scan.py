@@ -3,39 +3,17 @@
 A window keyed on one game or team puts the whole group into one task. The
 scans here cut each group into segments that follow the order, run the window
 inside a segment, and bring in what earlier segments hold from a table with
-one row per segment. Groups that fit in one segment leave that table empty, so
-adaptive execution drops the join for them.
+one row per segment. All groups, small or large, take this one path.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT_BITS = 20
-HOT_ROWS = 1_000_000
-
-
-def id_segment(position: str) -> Column:
-    """Segment of at most 2^20 distinct integer positions."""
-    return F.shiftright(F.col(position).cast("long"), SEGMENT_BITS)
-
-
-def hot_groups(rows: DataFrame, key: str, limit: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``limit`` rows: at most (rows / limit) of them."""
-    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows_in_group"))
-    return counted.filter(F.col("rows_in_group") > limit).select(
-        key, F.lit(True).alias("is_hot")
-    )
-
-
-def mark_hot(rows: DataFrame, key: str, limit: int = HOT_ROWS) -> DataFrame:
-    """Add ``is_hot``. The broadcast side is bounded by rows / limit keys."""
-    hot = F.broadcast(hot_groups(rows, key, limit))
-    return rows.join(hot, key, "left").withColumn(
-        "is_hot", F.coalesce("is_hot", F.lit(False))
-    )
-
 
 def _whole(window):
     return window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -115,7 +93,6 @@ def ordered_scan(
     segment: list[str],
     order: list[str],
     wanted: dict[str, tuple[str, str | None]],
-    split: DataFrame | None = None,
 ) -> DataFrame:
     """Add running columns to ``rows``.
 
@@ -123,11 +100,14 @@ def ordered_scan(
     ``wanted`` maps a new column to (kind, source column); kinds are ``count``
     (1-based position), ``first``, ``last`` (non-null so far, this row
     included), ``max_before`` (strictly smaller position; one order column),
-    ``lag``, ``is_last`` and ``any`` (a flag set on any row of the group). ``split`` are the rows whose groups may have
-    several segments, when fewer than all.
+    ``lag``, ``is_last`` and ``any`` (a flag set on any row of the group). Nulls
+    in ``keys``, ``segment`` and ``order`` are values of their own and come first;
+    rows equal in all of ``order`` may stand either way, so name enough columns.
     """
+    # One exchange serves both the windows and the totals of the segments.
+    rows = rows.repartition(*keys, *segment)
     window = Window.partitionBy(*keys, *segment).orderBy(*order)
-    place = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    place = F.struct(*order)
 
     def source(column):
         return F.lit(None) if column is None else F.col(column)
@@ -137,15 +117,12 @@ def ordered_scan(
         | {"__at_start": F.row_number().over(window) == 1}
     )
     across = Window.partitionBy(*keys).orderBy(*segment)
-    totals = (
-        (rows if split is None else split)
-        .groupBy(*keys, *segment)
-        .agg(*[_summary(k, source(c), place).alias(n) for n, (k, c) in wanted.items()])
+    totals = rows.groupBy(*keys, *segment).agg(
+        *[_summary(k, source(c), place).alias(n) for n, (k, c) in wanted.items()]
     )
     carried = (
         totals.select(
-            *keys,
-            *segment,
+            *[F.col(c).alias(f"__k_{c}") for c in (*keys, *segment)],
             (F.row_number().over(across) > 1).alias("__later"),
             F.lead(F.lit(True)).over(across).isNotNull().alias("__more"),
             *[_carry(k, n, across).alias(f"__c_{n}") for n, (k, _) in wanted.items()],
@@ -153,9 +130,10 @@ def ordered_scan(
         .filter("__later OR __more")
         .drop("__more")
     )
-    joined = local.join(carried, [*keys, *segment], "left")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in (*keys, *segment)))
+    joined = local.join(carried, same, "left")
     return joined.select(
-        *[joined[c] for c in rows.columns],
+        *rows.columns,
         *[
             _combine(
                 k, F.col(f"__l_{n}"), F.col(f"__c_{n}"), F.col("__at_start"), F.col("__later")

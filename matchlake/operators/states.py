@@ -7,47 +7,49 @@ from pyspark.sql import functions as F
 
 from matchlake.functions.clock import clock_seconds
 from matchlake.functions.text import points_in_text
-from matchlake.operators.scan import HOT_ROWS, mark_hot, ordered_scan
+from matchlake.operators.scan import ordered_scan
 
 END_OF_GAME = "Game End"
 
 
-def _placed(plays: DataFrame, hot_rows: int) -> DataFrame:
+#: Stand for a missing period, clock or id in a segment: below all values, like null in the order.
+BEFORE_ALL = -(1 << 31)
+
+
+def _placed(plays: DataFrame) -> DataFrame:
     """Add the order of play (period, most clock first, id) and its segments.
 
-    A usual game is one segment. A game over ``hot_rows`` plays is cut at every
-    clock reading and every 2^20 ids. Plays that name no game have no place.
+    Every game is cut at every clock reading and every 2^20 ids. Missing periods,
+    clocks and ids come first. Plays equal in all three follow a hash of their
+    content. Plays that name no game have no place.
     """
     play_id = F.coalesce("order_number", "action_id").cast("long")
     rows = plays.filter(F.col("game_id").isNotNull()).withColumns(
-        {"play_id": play_id, "clock_left": -clock_seconds(F.col("clock"))}
+        {
+            "play_id": play_id,
+            "clock_left": -clock_seconds(F.col("clock")),
+            "tie": F.xxhash64(*plays.columns),
+        }
     )
-    rows = mark_hot(rows, "game_id", hot_rows)
-    cut = {
-        "seg_period": F.col("period"),
-        "seg_clock": F.col("clock_left"),
-        "seg_id": F.shiftright("play_id", 20),
-    }
+    low = F.lit(BEFORE_ALL)
     return rows.withColumns(
-        {n: F.when(F.col("is_hot"), c).otherwise(F.lit(0)) for n, c in cut.items()}
+        {
+            "seg_period": F.coalesce("period", low),
+            "seg_clock": F.coalesce("clock_left", low),
+            "seg_id": F.coalesce(F.shiftright("play_id", 20), low),
+        }
     )
 
 
 _SEGMENT = ["seg_period", "seg_clock", "seg_id"]
-_ORDER = ["period", "clock_left", "play_id"]
-_WORK = [*_SEGMENT, "clock_left", "is_hot"]
+_ORDER = ["period", "clock_left", "play_id", "tie"]
+_WORK = [*_SEGMENT, "clock_left", "tie"]
 
 
-def play_order(plays: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def play_order(plays: DataFrame) -> DataFrame:
     """Plays with ``play_id`` and their 1-based ``position`` in the game."""
-    placed = _placed(plays, hot_rows)
     out = ordered_scan(
-        placed,
-        ["game_id"],
-        _SEGMENT,
-        _ORDER,
-        {"position": ("count", None)},
-        split=placed.filter("is_hot"),
+        _placed(plays), ["game_id"], _SEGMENT, _ORDER, {"position": ("count", None)}
     )
     return out.drop(*_WORK)
 
@@ -77,9 +79,7 @@ def malformed_games(plays: DataFrame) -> DataFrame:
     return plays.filter(_unreadable()).select("game_id").distinct()
 
 
-def game_states(
-    games: DataFrame, plays: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def game_states(games: DataFrame, plays: DataFrame) -> DataFrame:
     """One state per described play, for both feeds.
 
     The first play in order decides a game's feed. The running one reports
@@ -89,7 +89,7 @@ def game_states(
     out, see ``malformed_games``.
     """
     described = F.col("description").isNotNull()
-    placed = _placed(plays.filter(described), hot_rows).select(
+    placed = _placed(plays.filter(described)).select(
         "game_id", "play_id", "period", "clock", "description", "sub_type",
         F.col("order_number").isNotNull().alias("is_running"),
         _unreadable().alias("is_unreadable"),
@@ -109,7 +109,6 @@ def game_states(
             "is_last": ("is_last", None),
             "is_spoilt": ("any", "is_unreadable"),
         },
-        split=placed.filter("is_hot"),
     ).filter(~F.col("is_spoilt"))
     home = F.when(F.col("running_feed"), F.col("told_home")).otherwise(
         F.coalesce("known_home", F.lit(0))
@@ -178,22 +177,18 @@ def player_events(games: DataFrame, plays: DataFrame) -> DataFrame:
     )
 
 
-def player_timeline(
-    games: DataFrame, plays: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def player_timeline(games: DataFrame, plays: DataFrame) -> DataFrame:
     """Points of a player as of each of their plays; 0 until first reported."""
-    placed = _placed(player_events(games, plays), hot_rows).select(
+    placed = _placed(player_events(games, plays)).select(
         "game_id", "side", "person_id", "player_name", "play_id", "period",
         "told_points", *_WORK,
     )
-    placed = placed.repartition("game_id", "side", "person_id", *_SEGMENT)
     out = ordered_scan(
         placed,
         ["game_id", "side", "person_id"],
         _SEGMENT,
         _ORDER,
         {"name": ("first", "player_name"), "latest": ("last", "told_points")},
-        split=placed.filter("is_hot"),
     )
     return out.select(
         "game_id", "play_id", "side", "person_id", "name",

@@ -30,8 +30,11 @@ raw_lines AS (
          l_suppkey AS supp, CAST(l_quantity AS BIGINT) AS qty
   FROM lineitem),
 lines AS (
-  SELECT game_id, play_id, max(part) AS part, max(supp) AS supp, max(qty) AS qty
-  FROM raw_lines GROUP BY game_id, play_id),
+  SELECT l_orderkey AS game_id,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+           l_quantity, l_discount, l_extendedprice, l_linestatus, l_returnflag, l_shipdate, l_tax) AS play_id,
+         l_partkey AS part, l_suppkey AS supp, CAST(l_quantity AS BIGINT) AS qty
+  FROM lineitem),
 ends AS (
   SELECT o_orderkey AS game_id, 900 + again AS play_id,
          CAST(85 + (cents // 100) % 61 + again AS INTEGER) AS home_score,

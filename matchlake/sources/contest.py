@@ -1,13 +1,12 @@
 """The given star-schema tables read as contest tables.
 
 An order is a game, its lines are plays, nations are teams. Everything a column
-needs is in its own row (or in the lines of one order and line number), so no
-table here costs more than one map-side-combined aggregation.
+needs is in its own row, except a line's number among the lines of its order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TEAMS = 25
@@ -84,15 +83,20 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keyed_lines(lineitem: DataFrame) -> DataFrame:
-    """One row per order and line number: the largest value of each field."""
-    return (
-        lineitem
-        .groupBy(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").cast("long").alias("play_id"))
-        .agg(
-            F.max("l_partkey").alias("part"),
-            F.max("l_suppkey").alias("supp"),
-            F.max(F.col("l_quantity").cast("long")).alias("qty"),
-        )
+    """Every line as one play, numbered within its order by all its columns.
+
+    Line numbers repeat within an order, so they cannot be play ids themselves.
+    Equal lines get different numbers.
+    """
+    first = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    order = [*first, *sorted(set(lineitem.columns) - {"l_orderkey", *first})]
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))
+    return lineitem.select(
+        F.col("l_orderkey").alias("game_id"),
+        number.cast("long").alias("play_id"),
+        F.col("l_partkey").alias("part"),
+        F.col("l_suppkey").alias("supp"),
+        F.col("l_quantity").cast("long").alias("qty"),
     )
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchlake.operators.scan import hot_groups, mark_hot, ordered_scan
+from matchlake.operators.scan import ordered_scan
 
 WANTED = {
     "pos": ("count", None),
@@ -52,16 +52,21 @@ def test_segments_change_nothing(rows, width):
     assert a.equals(b)
 
 
-def test_hot_marks(rows):
-    assert [r.g for r in hot_groups(rows, "g", 100).collect()] == ["hot"]
-    marked = mark_hot(rows, "g", 20).groupBy("g").agg(F.bool_and("is_hot").alias("h"), F.count("*").alias("n"))
-    assert {r.g: (r.h, r.n) for r in marked.collect()} == {
-        "hot": (True, 400), "warm": (True, 30), "one": (False, 1),
+def test_null_segments_carry(spark):
+    """A segment, key or position that is null is carried like any other."""
+    data = [("a", 1, 5, 1), ("a", None, None, 2), ("a", None, 7, 3), ("a", 2, 1, None), ("a", 0, 9, 5), (None, 1, 1, 6), (None, None, 2, 7)]
+    rows = spark.createDataFrame(data, "g string, seg int, at int, v int")
+    wanted = {k: v for k, v in WANTED.items() if k not in ("top", "some")}
+    got = ordered_scan(rows, ["g"], ["seg"], ["seg", "at"], wanted)
+    found = {(r.g, r.v): (r.pos, r.latest, r.prev, r.at_end) for r in got.collect()}
+    assert found == {
+        ("a", 2): (1, 2, None, False), ("a", 3): (2, 3, 2, False), ("a", 5): (3, 5, 3, False),
+        ("a", 1): (4, 1, 5, False), ("a", None): (5, 1, 1, True),
+        (None, 7): (1, 7, None, False), (None, 6): (2, 6, 7, True),
     }
 
 
-def test_usual_groups_carry_nothing(rows):
-    """With one segment per group the carried side is empty at run time."""
+def test_null_safe_join_is_an_equi_join(rows):
     cut = rows.withColumn("seg", F.lit(0))
     out = ordered_scan(cut, ["g"], ["seg"], ["at"], {"pos": ("count", None)})
     out.collect()
