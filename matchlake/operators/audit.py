@@ -23,7 +23,7 @@ LARGEST_JUMP = 10
 
 
 def finalized_without_final_state(t: Tables) -> DataFrame:
-    final = t["states"].filter("is_final_state").select("game_id")
+    final = t["states"].filter("is_final_state").select("game_id").distinct()
     return (
         t["games"].filter("game_data_finalized").join(final, "game_id", "left_anti")
         .select("game_id", "status", "start")
@@ -31,8 +31,10 @@ def finalized_without_final_state(t: Tables) -> DataFrame:
 
 
 def finalized_without_plays(t: Tables) -> DataFrame:
+    # A yes or no per game: distinct ids combine before the shuffle, plays would not.
+    played = t["plays"].select("game_id").distinct()
     return (
-        t["games"].filter("game_data_finalized").join(t["plays"], "game_id", "left_anti")
+        t["games"].filter("game_data_finalized").join(played, "game_id", "left_anti")
         .select("game_id", "status", "start")
     )
 
@@ -192,9 +194,11 @@ def score_jumps(t: Tables) -> DataFrame:
 
 
 def unusual_play_counts(t: Tables) -> DataFrame:
+    """``t["play_limits"]`` are the fewest and most plays of a usual game, where given."""
+    fewest, most = t.get("play_limits", (FEWEST_PLAYS, MOST_PLAYS))
     return (
         t["plays"].groupBy("game_id").agg(F.count(F.lit(1)).alias("play_count"))
-        .filter((F.col("play_count") < FEWEST_PLAYS) | (F.col("play_count") > MOST_PLAYS))
+        .filter((F.col("play_count") < fewest) | (F.col("play_count") > most))
     )
 
 

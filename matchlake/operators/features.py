@@ -16,6 +16,7 @@ from matchlake.operators.history import (
 )
 
 HALF_LIFE_DAYS = 10
+FARTHEST = 300.0
 DENSITY_DAYS = (5, 10, 30)
 _SUMS = ["n", "wins", "pts", "opp", "home_n", "home_wins", "home_pts", "home_opp"]
 _DECAYED = ["n", "wins", "pts", "opp"]
@@ -88,9 +89,12 @@ def team_form(games: DataFrame, finals: DataFrame) -> DataFrame:
     before_day = by_day.rangeBetween(Window.unboundedPreceding, -1)
     rate = math.log(2) / HALF_LIFE_DAYS
     starts = sums_per_start(rows, sums).withColumn("day_no", F.unix_date(F.to_date("start")))
-    starts = starts.withColumn(
-        "weight", F.exp(rate * (F.col("day_no") - F.first("day_no").over(by_start)))
-    )
+    # The anchor cancels in every ratio. Games dated far from their season count as
+    # FARTHEST away from it, so that no weight leaves the range of doubles.
+    named = F.make_date(F.substring("season", 1, 4).try_cast("int"), F.lit(7), F.lit(1))
+    anchor = F.coalesce(F.unix_date(named), F.first("day_no").over(by_start))
+    away = rate * (F.col("day_no") - anchor)
+    starts = starts.withColumn("weight", F.exp(F.greatest(F.least(away, F.lit(FARTHEST)), F.lit(-FARTHEST))))
     played = F.when(F.col("n") > 0, F.col("day_no"))
     seen = starts.select(
         *TEAM,

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from matchlake.functions.seasons import COUNTED_SEASON_TYPES
 from matchlake.operators.evaluate import metrics
+from matchlake.operators.features import FEATURES
 from matchlake.operators.predict import with_win_probability
 from matchlake.sources.shared import shared_folder
 
+# The penalties tried and the settings of boosted trees.
 RIDGE_ALPHAS = (1.0, 10.0, 100.0)
 TREE_SETTINGS = {
     "maxIter": 200,
@@ -29,20 +31,6 @@ TREE_SETTINGS = {
     "featureSubsetStrategy": "0.8",
     "seed": 42,
 }
-# Columns of the modelling table that are not features.
-NOT_FEATURES = (
-    "game_id",
-    "start",
-    "home_team",
-    "away_team",
-    "season",
-    "season_type",
-    "home_score",
-    "away_score",
-    "total",
-    "home_margin",
-    "players_data",
-)
 TARGETS = ("home", "away")
 
 
@@ -79,7 +67,7 @@ def modeling_table(
 
 
 def feature_columns(table: DataFrame) -> list[str]:
-    return [c for c in table.columns if c not in NOT_FEATURES]
+    return [c for c in FEATURES if c in table.columns]
 
 
 def complete_rows(table: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def needing_box(games: DataFrame, box: DataFrame, season: str | None = None) ->
         F.col("status").isin(*FINISHED) & F.col("game_data_finalized")
     )
     return (
-        done.join(box.select("game_id"), "game_id", "left_anti")
+        done.join(box.select("game_id").distinct(), "game_id", "left_anti")
         .orderBy("start", "game_id")
         .select("game_id", "start")
     )

@@ -220,10 +220,14 @@ def _(t):
     return queues.lookup_missing(t.games, _wanted(t))
 
 
+def _stored(t: Tables) -> DataFrame:
+    """All features of all games in their stored form."""
+    return features.feature_json(features.features(t.games, t.finals))
+
+
 @query("load_features")
 def _(t):
-    asked = t.stored_features.join(_wanted(t), "game_id", "left_semi")
-    return features.widen_features(asked, contest.STORED_FEATURES)
+    return features.widen_features(_stored(t).join(_wanted(t), "game_id", "left_semi"))
 
 
 @query("season_subset")
@@ -309,6 +313,16 @@ def _unguarded(t: Tables) -> dict:
     return _audited(t) | {"states": t.raw_states}
 
 
+def _partly_played(t: Tables) -> dict:
+    """As if the plays of some games had never arrived."""
+    return _audited(t) | {"plays": t.plays.filter(F.col("game_id") % 13 != 0)}
+
+
+def _short_games(t: Tables) -> dict:
+    """With the limits of the short games of these tables."""
+    return _audited(t) | {"play_limits": (3, 6)}
+
+
 def _with_gaps(t: Tables) -> dict:
     """As if a few key fields had arrived empty."""
     gone = F.col("away_team") == contest.UNKNOWN_TEAM
@@ -331,7 +345,7 @@ def _below_zero(t: Tables) -> dict:
 
 _AUDITS = {
     "v_flag_001": ("FLAG-001", _audited),
-    "v_flag_002": ("FLAG-002", _audited),
+    "v_flag_002": ("FLAG-002", _partly_played),
     "v_flag_003": ("FLAG-003", _audited),
     "v_flag_004": ("FLAG-004", _audited),
     "v_flag_005": ("FLAG-005", _audited),
@@ -351,7 +365,7 @@ _AUDITS = {
     "v_score_002": ("SCORE-002", _below_zero),
     "v_score_003": ("SCORE-003", _audited),
     "v_score_004": ("SCORE-004", _audited),
-    "v_volume_001": ("VOL-001", _audited),
+    "v_volume_001": ("VOL-001", _short_games),
     "v_volume_002": ("VOL-002", _unguarded),
     "v_temp_001": ("TEMP-001", _audited),
     "v_temp_002": ("TEMP-002", _unguarded),
@@ -464,13 +478,13 @@ def _(t):
 
 @query("modeling_table")
 def _(t):
-    wide = features.widen_features(t.stored_features, contest.STORED_FEATURES)
+    wide = features.widen_features(_stored(t))
     return models.modeling_table(t.games, t.finals, wide)
 
 
 @query("train_rows")
 def _(t):
-    wide = features.widen_features(t.stored_features, contest.STORED_FEATURES)
+    wide = features.widen_features(_stored(t))
     table = models.modeling_table(t.games, t.finals, wide, [TRAIN_SEASON, TEST_SEASON])
     whole = models.complete_rows(table)
     split = F.when(F.col("season") == TRAIN_SEASON, "train").otherwise("test")
@@ -481,8 +495,7 @@ def _(t):
 
 @query("score_rows")
 def _(t):
-    wide = features.widen_features(t.stored_features, contest.STORED_FEATURES)
-    return models.fill_features(wide, contest.STORED_FEATURES)
+    return models.fill_features(features.widen_features(_stored(t)), features.FEATURES)
 
 
 def _modelled(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -335,10 +335,27 @@ def _feature_queries() -> dict[str, str]:
         "feat_decay": f.DECAY,
         "feat_rest": f.REST,
     }
+    known = ", ".join(f'"{c}"' for c in f.FEATURES)
+    filled = ", ".join(f'round(coalesce("{c}", 0), 6) AS "{c}"' for c in f.FEATURES)
+    complete = " AND ".join(f'"{c}" IS NOT NULL' for c in f.FEATURES)
+    modelled = f"""FROM games g JOIN finals f USING (game_id) JOIN (SELECT game_id, {known} FROM features) s USING (game_id)
+          WHERE {_COUNTED} AND game_data_finalized AND pre_game_data_finalized"""
+    stored = {
+        "load_features": f"""SELECT game_id, {_rounded(f.FEATURES)} FROM features
+          WHERE game_id IN (SELECT c_custkey * 20 FROM customer)""",
+        "score_rows": f"SELECT game_id, {filled} FROM features",
+        "modeling_table": f"""SELECT g.game_id, {_START}, home_team, away_team, season, season_type,
+            CAST(home_score AS BIGINT) AS home_score, CAST(away_score AS BIGINT) AS away_score,
+            CAST(home_score + away_score AS BIGINT) AS total, CAST(home_score - away_score AS BIGINT) AS home_margin,
+            {_rounded(f.FEATURES)} {modelled}""",
+        "train_rows": f"""SELECT g.game_id, CASE season WHEN '1997-1998' THEN 'train' ELSE 'test' END AS part,
+            CAST(home_score AS BIGINT) AS home_score, CAST(away_score AS BIGINT) AS away_score,
+            {_rounded(f.FEATURES)} {modelled} AND {complete} AND season IN ('1997-1998', '1998-1999')""",
+    }
     return {
         k: _sql(f"SELECT game_id, {_rounded(names)} FROM features", FEATURES)
         for k, names in groups.items()
-    }
+    } | {k: _sql(body, FEATURES) for k, body in stored.items()}
 
 
 _DATASETS = {
@@ -468,6 +485,8 @@ def _audit_queries() -> dict[str, str]:
         family, number = rule.split("-")
         key = f"v_{keys.get(family, family.lower())}_{number}"
         out[key] = _sql(body, _SEEN, given.get(rule, _KEPT))
+    out["v_flag_002"] = _sql(_AUDITS["FLAG-002"][3].replace("FROM plays p WHERE", "FROM plays p WHERE p.game_id % 13 <> 0 AND"))
+    out["v_volume_001"] = _sql(_AUDITS["VOL-001"][3].replace("300", "3").replace("800", "6"))
     out["v_integrity_005"] = _sql(
         """SELECT * FROM (
           SELECT 'games' AS "table", 'away_team' AS field, count(*) FILTER (away_team = 'TBD') AS nulls FROM games
@@ -615,7 +634,6 @@ delivered AS (
           WHERE game_id IN (SELECT c_custkey * 20 FROM customer)""",
         "lookup_missing": """SELECT DISTINCT c_custkey * 20 AS game_id FROM customer
           WHERE c_custkey * 20 NOT IN (SELECT game_id FROM games)""",
-        "load_features": """SELECT * FROM stored_features WHERE game_id IN (SELECT c_custkey * 20 FROM customer)""",
         "season_subset": """SELECT DISTINCT season FROM games WHERE season NOT IN (
           SELECT season FROM games WHERE start < TIMESTAMP '2000-01-01')""",
         "refresh_due": """SELECT season, season = '2000-2001' OR l.t IS NULL
@@ -675,20 +693,6 @@ delivered AS (
               WHEN p_size % 3 = 1 THEN 'testing' ELSE 'archived' END AS status,
             CASE WHEN p_size % 5 <> 0 THEN round(p_retailprice / 100, 6) END AS avg_score_mae,
             CAST(p_size AS BIGINT) AS run_size FROM part""",
-        "modeling_table": f"""SELECT g.game_id, {_START}, home_team, away_team, season, season_type,
-            CAST(home_score AS BIGINT) AS home_score, CAST(away_score AS BIGINT) AS away_score,
-            CAST(home_score + away_score AS BIGINT) AS total, CAST(home_score - away_score AS BIGINT) AS home_margin,
-            Home_PPG AS "Home_PPG", Home_OPP_PPG AS "Home_OPP_PPG", Away_PPG AS "Away_PPG", Away_OPP_PPG AS "Away_OPP_PPG"
-          FROM games g JOIN finals f USING (game_id) JOIN stored_features s USING (game_id)
-          WHERE {_COUNTED} AND game_data_finalized AND pre_game_data_finalized""",
-        "train_rows": f"""SELECT g.game_id, CASE season WHEN '1997-1998' THEN 'train' ELSE 'test' END AS part,
-            Home_PPG AS "Home_PPG", Home_OPP_PPG AS "Home_OPP_PPG", Away_PPG AS "Away_PPG", Away_OPP_PPG AS "Away_OPP_PPG",
-            CAST(home_score AS BIGINT) AS home_score, CAST(away_score AS BIGINT) AS away_score
-          FROM games g JOIN finals f USING (game_id) JOIN stored_features s USING (game_id)
-          WHERE {_COUNTED} AND game_data_finalized AND pre_game_data_finalized AND Home_PPG IS NOT NULL
-            AND season IN ('1997-1998', '1998-1999')""",
-        "score_rows": """SELECT game_id, coalesce(Home_PPG, 0) AS "Home_PPG", Home_OPP_PPG AS "Home_OPP_PPG",
-          Away_PPG AS "Away_PPG", Away_OPP_PPG AS "Away_OPP_PPG" FROM stored_features""",
         "game_view": f"""SELECT g.game_id, coalesce(p.page, 0) AS page, {_START}, home_team, away_team, status, season,
             coalesce(p.plays, '') AS plays,
             CAST(l.play_id AS BIGINT) AS state_play_id, CAST(l.home_score AS BIGINT) AS home_score,

@@ -152,3 +152,16 @@ def test_feature_json_round_trip(spark):
     typed = f.features(games, finals)
     back = f.widen_features(f.feature_json(typed)).toPandas().sort_values("game_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(typed.toPandas().sort_values("game_id").reset_index(drop=True), back)
+
+
+@pytest.mark.parametrize("year", [1924, 2124])
+def test_misdated_game_gives_no_nan(spark, year):
+    pdf = schedule(5)
+    wrong = pdf[(pdf.season == "2023-2024") & pdf.home_score.notna()].index[:3]
+    pdf.loc[wrong, "start"] = pdf.loc[wrong, "start"].map(lambda s: s.replace(year=year))
+    typed = f.features(*loaded(spark, pdf))
+    odd = [F.sum((F.isnan(c) | F.col(c).isin(float("inf"), float("-inf"))).cast("int")).alias(c) for c in f.FEATURES]
+    assert not any(typed.select(odd).first())
+    weights = typed.filter("Time_Decay_Home_PPG IS NOT NULL")
+    assert weights.count() == typed.count() > 0
+    assert weights.filter("Time_Decay_Home_PPG NOT BETWEEN 80 AND 99").count() == 0
