@@ -54,12 +54,12 @@ def play_order(plays: DataFrame) -> DataFrame:
     return out.drop(*_WORK)
 
 
-def _number(text: str) -> Column:
+def reported(text: str) -> Column:
     """Reported score; blank text counts as not reported."""
     return F.nullif(F.trim(text), F.lit("")).try_cast("int")
 
 
-def _unreadable() -> Column:
+def unreadable() -> Column:
     """A play that cannot be placed or, in the running feed, scored."""
     unplaced = (
         F.coalesce("order_number", "action_id").isNull()
@@ -69,14 +69,14 @@ def _unreadable() -> Column:
     unscored = (
         F.col("order_number").isNotNull()
         & F.col("description").isNotNull()
-        & (_number("score_home").isNull() | _number("score_away").isNull())
+        & (reported("score_home").isNull() | reported("score_away").isNull())
     )
     return unplaced | unscored
 
 
 def malformed_games(plays: DataFrame) -> DataFrame:
     """Games with an unreadable play."""
-    return plays.filter(_unreadable()).select("game_id").distinct()
+    return plays.filter(unreadable()).select("game_id").distinct()
 
 
 def game_states(games: DataFrame, plays: DataFrame) -> DataFrame:
@@ -92,9 +92,9 @@ def game_states(games: DataFrame, plays: DataFrame) -> DataFrame:
     placed = _placed(plays.filter(described)).select(
         "game_id", "play_id", "period", "clock", "description", "sub_type",
         F.col("order_number").isNotNull().alias("is_running"),
-        _unreadable().alias("is_unreadable"),
-        _number("score_home").alias("told_home"),
-        _number("score_away").alias("told_away"),
+        unreadable().alias("is_unreadable"),
+        reported("score_home").alias("told_home"),
+        reported("score_away").alias("told_away"),
         *_WORK,
     )
     scanned = ordered_scan(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from matchlake.functions.clock import clock_seconds
 from matchlake.functions.text import points_in_text
 from matchlake.operators.predict import live_predictions, newest
-from matchlake.operators.states import END_OF_GAME
+from matchlake.operators.states import END_OF_GAME, reported, unreadable
 from matchlake.sources.shared import new_folder
 
 SALTS = 8
@@ -86,34 +86,41 @@ def running_states(plays: DataFrame, games: DataFrame, delay: str) -> DataFrame:
 
     Plays meet the schedule first, so a state knows its teams. The state of a
     game leaves the store once a game starting ``delay`` later has been seen; an
-    ended game is marked by ``is_final_state``.
+    ended game is marked by ``is_final_state``. As in a batch, plays without a
+    description give no state, and a game with an unreadable play, marked by
+    ``is_spoilt``, is to be left out by readers.
     """
+    described = F.col("description").isNotNull()
 
-    def number(column: str):
-        return F.nullif(F.trim(column), F.lit("")).try_cast("int")
+    def told(column):
+        return F.when(described, column)
 
     final = F.when(
         F.col("order_number").isNotNull(), F.col("description") == END_OF_GAME
     ).otherwise(F.coalesce(F.col("sub_type") == "end", F.lit(False)))
-    rows = with_schedule(plays.filter(F.col("description").isNotNull()), games, delay).select(
+    rows = with_schedule(plays, games, delay).select(
         "game_id",
         "start",
         "home",
         "away",
         _place(),
         "clock",
-        number("score_home").alias("told_home"),
-        number("score_away").alias("told_away"),
+        told(reported("score_home")).alias("told_home"),
+        told(reported("score_away")).alias("told_away"),
         final.alias("is_final"),
+        described.alias("is_described"),
+        unreadable().alias("is_unreadable"),
     )
-    last = F.max(F.struct("place", "clock", "is_final"))
+    last = F.max(F.when(F.col("is_described"), F.struct("place", "clock", "is_final")))
     return (
         rows.groupBy("game_id", "start", "home", "away")
         .agg(
             last.alias("last"),
             _newest_of("told_home").alias("home_score"),
             _newest_of("told_away").alias("away_score"),
+            F.bool_or("is_unreadable").alias("is_spoilt"),
         )
+        .filter("last IS NOT NULL")
         .select(
             "game_id",
             "home",
@@ -124,6 +131,7 @@ def running_states(plays: DataFrame, games: DataFrame, delay: str) -> DataFrame:
             "home_score",
             "away_score",
             F.col("last.is_final").alias("is_final_state"),
+            "is_spoilt",
         )
     )
 
@@ -160,8 +168,9 @@ def running_players(plays: DataFrame, games: DataFrame, delay: str) -> DataFrame
 
 
 def running_predictions(states: DataFrame, predictions: DataFrame, predictor: str) -> DataFrame:
-    """States stream with the stored prediction, blended."""
-    return live_predictions(states.join(newest(predictions, predictor), "game_id"))
+    """States stream with the stored prediction, blended; none for games spoilt so far."""
+    readable = states.filter("NOT is_spoilt").drop("is_spoilt")
+    return live_predictions(readable.join(newest(predictions, predictor), "game_id"))
 
 
 def publish(
@@ -190,6 +199,42 @@ def publish(
     return folder
 
 
+def publish_whole(
+    stream: DataFrame,
+    name: str,
+    derive: Callable[[DataFrame], DataFrame],
+    keys: tuple[str, ...] = ("game_id",),
+    folder: str | None = None,
+) -> str:
+    """Keep what is delivered, and derive each touched group from all of its rows so far.
+
+    A group may arrive in any number of parts: each micro-batch derives the groups
+    it touches anew, and readers take a group's newest batch, see ``published``. A
+    retried batch rewrites its own folders and sees none that came after it.
+    """
+    spark = stream.sparkSession
+    folder = folder or new_folder(spark, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/delivered/batch={batch_id}")
+        delivered = spark.read.option("basePath", f"{folder}/delivered").parquet(
+            f"{folder}/delivered/batch=*"
+        ).filter(F.col("batch") <= batch_id)
+        touched = delivered.filter(F.col("batch") == batch_id).select(*keys).distinct()
+        rows = derive(delivered.drop("batch").join(touched, [*keys], "left_semi"))
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    query = (
+        stream.writeStream.outputMode("append")
+        .foreachBatch(write)
+        .option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return folder
+
+
 def published(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
     """What was published; with keys, only each group's newest batch."""
     rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*")

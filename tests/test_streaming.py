@@ -80,19 +80,35 @@ def test_plays_behind_the_watermark_are_dropped(spark, tmp_path):
     assert got == [(1, 1), (2, 1), (3, 1), (3, 2)]
 
 
-def test_each_delivery_replaces_its_games(spark, tmp_path, schedule):
-    """A poll carries a game whole; its states replace the ones before."""
-    polls = [
-        [running(1, 1, 1, "PT12M00.00S", 0, 0), running(1, 2, 1, "PT11M00.00S", 5, 0), running(2, 1, 1, "PT12M00.00S", 0, 0)],
-        [running(1, 1, 1, "PT12M00.00S", 0, 0), running(1, 2, 1, "PT11M00.00S", 2, 0), running(1, 3, 1, "PT10M00.00S", 2, 3)],
+def test_games_in_parts_keep_all_their_plays(spark, tmp_path, schedule):
+    """States are derived from all plays of a game, whichever deliveries bring them."""
+    parts = [
+        [other(1, 1, 1, "PT12M00.00S", "2", "0"), other(1, 2, 1, "PT11M00.00S", "", ""), running(2, 1, 1, "PT12M00.00S", 0, 0)],
+        [other(1, 3, 1, "PT10M00.00S", "", "3"), other(1, 4, 2, "PT10M00.00S", "", "")],
+        [running(2, 2, 1, "PT11M00.00S", 2, 0), running(3, 1, 1, "PT12M00.00S", 0, 0)],
     ]
-    path = landed(spark, tmp_path, polls)
-    folder = live.publish(
-        live.read_stream(spark, path, 1), "t", lambda batch: s.game_states(schedule, batch), "append",
-        str(tmp_path / "out"),
-    )
-    got = sorted((r.game_id, r.play_id, r.home_score) for r in live.published(spark, folder, "game_id").collect())
-    assert got == [(1, 1, 0), (1, 2, 2), (1, 3, 2), (2, 1, 0)]
+    path = landed(spark, tmp_path, parts)
+    out = str(tmp_path / "out")
+    folder = live.publish_whole(live.read_stream(spark, path, 1), "t", lambda rows: s.game_states(schedule, rows), folder=out)
+    columns = ["game_id", "play_id", "home_score", "away_score"]
+    as_rows = lambda frame: sorted(tuple(r) for r in frame.select(*columns).collect())
+    got = as_rows(live.published(spark, folder, "game_id"))
+    assert got == as_rows(s.game_states(schedule, spark.read.parquet(path)))
+    assert got == [(1, 1, 2, 0), (1, 2, 2, 0), (1, 3, 2, 3), (1, 4, 2, 3), (2, 1, 0, 0), (2, 2, 2, 0), (3, 1, 0, 0)]
+
+
+def test_unreadable_games_are_marked_as_in_a_batch(spark, tmp_path, schedule):
+    parts = [
+        [running(1, 1, 1, "PT12M00.00S", 0, 0), running(2, 1, 1, "PT12M00.00S", 0, 0), running(3, 1, 1, "PT12M00.00S", 0, 0)],
+        [running(1, 2, 1, "oops", 2, 0), running(2, 2, None, "PT11M00.00S", 2, 0, text=None), running(3, 2, 1, "PT11M00.00S", 2, 0)],
+    ]
+    path = landed(spark, tmp_path, parts)
+    stream = live.running_states(live.read_stream(spark, path, 1), schedule, "30 days")
+    folder = live.publish(stream, "t", folder=str(tmp_path / "out"))
+    got = live.published(spark, folder, "game_id")
+    assert {r.game_id: r.is_spoilt for r in got.collect()} == {1: True, 2: True, 3: False}
+    batch = s.game_states(schedule, spark.read.parquet(path)).select("game_id").distinct()
+    assert [r.game_id for r in batch.collect()] == [3]
 
 
 def test_live_predictions_stream(spark, tmp_path, schedule):
