@@ -604,10 +604,16 @@ def _(t):
 # --- sources and sinks ----------------------------------------------------------------------
 
 
+def _files(documents: DataFrame, schema: str) -> DataFrame:
+    """The documents as landed files, one per line, read with their schema."""
+    folder = new_folder(documents.sparkSession, "landed")
+    documents.write.text(folder)
+    return payloads.read_payloads(documents.sparkSession, folder, schema)
+
+
 @query("src_plays")
 def _(t):
-    parsed = payloads.parse_payloads(landed.play_payloads(t.raw_lines), payloads.PLAYS_SCHEMA)
-    return payloads.flatten_plays(parsed)
+    return payloads.flatten_plays(_files(landed.play_payloads(t.lines), f"game_id BIGINT, {payloads.PLAYS_SCHEMA}"))
 
 
 @query("src_fallback")
@@ -622,17 +628,13 @@ def _(t):
 
 @query("src_schedule")
 def _(t):
-    parsed = payloads.parse_payloads(
-        landed.schedule_payloads(t.raw("orders")), payloads.SCHEDULE_SCHEMA
-    )
-    return payloads.flatten_schedule(parsed)
+    documents = landed.schedule_payloads(t.raw("orders"))
+    return payloads.flatten_schedule(_files(documents, f"season STRING, {payloads.SCHEDULE_SCHEMA}"))
 
 
 def _boxes(t: Tables, live_format: bool) -> DataFrame:
-    return payloads.parse_payloads(
-        landed.box_payloads(t.raw("orders"), live_format),
-        payloads.LIVE_BOX_SCHEMA if live_format else payloads.BOX_SCHEMA,
-    )
+    schema = payloads.LIVE_BOX_SCHEMA if live_format else payloads.BOX_SCHEMA
+    return _files(landed.box_payloads(t.raw("orders"), live_format), f"game_id BIGINT, {schema}")
 
 
 @query("src_box_stats")
@@ -657,9 +659,7 @@ def _(t):
 
 @query("src_rowset")
 def _(t):
-    return payloads.players_from_rowset(
-        payloads.parse_payloads(landed.rowset_payloads(t.raw("customer")), payloads.ROWSET_SCHEMA)
-    )
+    return payloads.players_from_rowset(_files(landed.rowset_payloads(t.raw("customer")), payloads.ROWSET_SCHEMA))
 
 
 @query("points_allowed")

@@ -111,8 +111,12 @@ def identifiers(customers: DataFrame) -> DataFrame:
     )
 
 
-def play_payloads(raw_lines: DataFrame) -> DataFrame:
-    """A payload per delivered line with that one play in it."""
+#: Elements that one made payload holds at most.
+PAYLOAD_PLAYS, PAYLOAD_GAMES, PAYLOAD_PEOPLE = 4, 500, 100
+
+
+def play_payloads(lines: DataFrame) -> DataFrame:
+    """A document per game and page of plays, the plays in no order."""
     key, part, supp, qty = (F.col(c) for c in ("game_id", "part", "supp", "qty"))
     home, away = contest.line_scores()
     play = F.struct(
@@ -126,9 +130,9 @@ def play_payloads(raw_lines: DataFrame) -> DataFrame:
         part.alias("personId"),
         (qty % 40).cast("int").alias("pointsTotal"),
     )
-    return raw_lines.select(
-        "game_id", F.to_json(F.struct(F.struct(F.array(play).alias("actions")).alias("game"))).alias("payload")
-    )
+    page = F.floor((F.col("play_id") - 1) / PAYLOAD_PLAYS)
+    paged = lines.groupBy("game_id", page.alias("page")).agg(F.collect_list(play).alias("actions"))
+    return paged.select(F.to_json(F.struct("game_id", F.struct("actions").alias("game"))).alias("payload"))
 
 
 def two_sources(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -154,6 +158,7 @@ def two_sources(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def schedule_payloads(orders: DataFrame) -> DataFrame:
+    """A document per season and page of games, with the games of each date together."""
     rows = order_texts(orders).select("game_id", "id_text", "code", "day")
     game = F.struct(
         F.col("id_text").alias("gameId"),
@@ -166,15 +171,21 @@ def schedule_payloads(orders: DataFrame) -> DataFrame:
             "awayTeam"
         ),
     )
-    dates = F.array(F.struct(F.array(game).alias("games")))
-    return rows.select(
-        F.lit("1999-2000").alias("season"),
-        F.to_json(F.struct(F.struct(dates.alias("gameDates")).alias("leagueSchedule"))).alias("payload"),
+    year = F.year("day")
+    paged = rows.select(
+        _text(year, "-", year + 1).alias("season"), "day", F.floor(F.col("game_id") / PAYLOAD_GAMES).alias("page"), game.alias("game")
     )
+    days = paged.groupBy("season", "page", "day").agg(F.collect_list("game").alias("games"))
+    dates = F.collect_list(F.struct("games")).alias("gameDates")
+    seasons = days.groupBy("season", "page").agg(dates)
+    return seasons.select(F.to_json(F.struct("season", F.struct("gameDates").alias("leagueSchedule"))).alias("payload"))
+
+
+SECOND_PLAYER = 1_000_000_000_000
 
 
 def box_payloads(orders: DataFrame, live: bool) -> DataFrame:
-    """Box scores with one player per side; future games have no home players,
+    """Box scores with two players per side; future games have no home players,
     running ones no home score."""
     key = F.col("o_orderkey")
     o = orders.withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
@@ -187,20 +198,23 @@ def box_payloads(orders: DataFrame, live: bool) -> DataFrame:
             (15 + (cents + shift) % 15).cast("int").alias("assists"),
             ((cents + shift) % 100 / 100).alias("fieldGoalsPercentage"),
         )
-        played = F.struct(
-            _text(cents % 40, ":", _two(cents % 60)).alias("minutes"),
-            ((cents + shift) % 30).cast("int").alias("points"),
-            ((cents + shift) % 7).cast("int").alias("reboundsOffensive"),
-        )
-        player = F.struct(
-            (key * 2 + shift).alias("personId"),
-            _text("First", cents % 50).alias("firstName"),
-            F.when(cents % 3 != 0, _text("Family", cents % 70)).alias("familyName"),
-            F.when(cents % 5 != 0, _text("F. Family", cents % 70)).alias("name"),
-            F.when(cents % 4 != 0, F.lit("G")).alias("position"),
-            played.alias("statistics"),
-        )
-        players = F.array(player)
+
+        def player(n: int) -> Column:
+            played = F.struct(
+                _text(cents % 40, ":", _two(cents % 60)).alias("minutes"),
+                ((cents + shift + n) % 30).cast("int").alias("points"),
+                ((cents + shift + n) % 7).cast("int").alias("reboundsOffensive"),
+            )
+            return F.struct(
+                (key * 2 + shift + n * SECOND_PLAYER).alias("personId"),
+                _text("First", cents % 50).alias("firstName"),
+                F.when(cents % 3 != 0, _text("Family", cents % 70)).alias("familyName"),
+                F.when(cents % 5 != 0, _text("F. Family", cents % 70)).alias("name"),
+                F.when(cents % 4 != 0, F.lit("G")).alias("position"),
+                played.alias("statistics"),
+            )
+
+        players = F.array(player(0), player(1))
         score = (80 + (cents + shift) % 60).cast("int")
         if at_home:
             players = F.when(F.col("o_orderstatus") != "O", players).otherwise(F.slice(players, 1, 0))
@@ -217,18 +231,20 @@ def box_payloads(orders: DataFrame, live: bool) -> DataFrame:
         team(contest.home_index(key), 0, True).alias("homeTeam"),
         team(contest.away_index(key), 1, False).alias("awayTeam"),
     ).alias("game" if live else "boxScoreTraditional")
-    return o.select(key.alias("game_id"), F.to_json(F.struct(body)).alias("payload"))
+    return o.select(F.to_json(F.struct(key.alias("game_id"), body)).alias("payload"))
 
 
 def rowset_payloads(customers: DataFrame) -> DataFrame:
-    """Row sets of one player each, values by position."""
+    """Row sets of a page of players each, values by position."""
     key = F.col("c_custkey")
     row = _text(
         "[", key, ', "Last', key, ", First", key, '", "First', key, " Last", key, '", ',
         key % 2, ', "', 1990 + key % 10, '", "', 2000 + key % 20,
         '", null, null, null, null, null, "', F.col("c_mktsegment"), '"]',
     )
-    return customers.select(_text('{"resultSets": [{"rowSet": [', row, "]}]}").alias("payload"))
+    page = F.floor(key / PAYLOAD_PEOPLE)
+    paged = customers.groupBy(page.alias("page")).agg(F.array_join(F.collect_list(row), ", ").alias("rows"))
+    return paged.select(_text('{"resultSets": [{"rowSet": [', F.col("rows"), "]}]}").alias("payload"))
 
 
 def predicted_players(lines: DataFrame) -> DataFrame:

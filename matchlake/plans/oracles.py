@@ -531,11 +531,11 @@ _NULLS = ", ".join(
 
 def _box_players(name: str, position: str) -> str:
     return _sql(
-        f"""SELECT game_id * 2 + shift AS player_id, game_id, CAST(idx AS VARCHAR) AS team_id, {name} AS player_name,
-          {position} AS position, round(cents % 40 + (cents % 60) / 60.0, 6) AS min, (cents + shift) % 30 AS pts,
+        f"""SELECT game_id * 2 + shift + n * 1000000000000 AS player_id, game_id, CAST(idx AS VARCHAR) AS team_id, {name} AS player_name,
+          {position} AS position, round(cents % 40 + (cents % 60) / 60.0, 6) AS min, (cents + shift + n) % 30 AS pts,
           CAST(NULL AS BIGINT) AS reb, CAST(NULL AS BIGINT) AS ast, CAST(NULL AS DOUBLE) AS fg_pct, {_NULLS},
-          (cents + shift) % 7 AS oreb, CAST(NULL AS BIGINT) AS dreb
-        FROM box WHERE shift = 1 OR st <> 'O'""",
+          (cents + shift + n) % 7 AS oreb, CAST(NULL AS BIGINT) AS dreb
+        FROM box, (VALUES (0), (1)) v(n) WHERE shift = 1 OR st <> 'O'""",
         _BOX,
     )
 
@@ -713,7 +713,7 @@ delivered AS (
             CAST(h AS VARCHAR) AS score_home, CAST(a AS VARCHAR) AS score_away,
             CASE WHEN qty % 23 <> 0 THEN 'Shot by ' || part END AS description,
             CAST(NULL AS VARCHAR) AS team_tricode, part AS person_id, CAST(NULL AS VARCHAR) AS player_name,
-            qty % 40 AS points_total, CAST(NULL AS VARCHAR) AS sub_type FROM raw_plays""",
+            qty % 40 AS points_total, CAST(NULL AS VARCHAR) AS sub_type FROM line_plays""",
         "src_fallback": """SELECT o_orderkey AS game_id, 1::BIGINT AS order_number,
           CASE o_orderstatus WHEN 'F' THEN 'first ' ELSE 'second ' END || o_custkey AS description
           FROM orders WHERE o_orderstatus IN ('F', 'P')""",
@@ -721,7 +721,7 @@ delivered AS (
             'NATION_' || (game_id % 25) AS home_team,
             'NATION_' || ((game_id % 25 + 1 + (game_id // 25) % 24) % 25) AS away_team,
             CASE code WHEN 1 THEN 'Not Started' WHEN 2 THEN 'In Progress' WHEN 3 THEN 'Completed'
-              ELSE 'Unknown' END AS status, '1999-2000' AS season,
+              ELSE 'Unknown' END AS status, year(day) || '-' || (year(day) + 1) AS season,
             CASE substr(id_text, 1, 3) WHEN '001' THEN 'Pre Season' WHEN '002' THEN 'Regular Season'
               WHEN '003' THEN 'All-Star' WHEN '004' THEN 'Post Season' WHEN '005' THEN 'Post Season'
               ELSE 'Unknown' END AS season_type FROM texts""",
