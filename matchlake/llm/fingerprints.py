@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,15 +90,16 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = partitions(spark)
     ranges = 4 * parts
-    bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.0005)})
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    place = F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))), F.lit(0))
+    # Nulls come first. Doubles keep the order of ids, and equal ids in one range.
+    place = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double")
+    bounds = sorted(set(rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.0005)))
+    cut = Bucketizer(splits=[-float("inf"), *(bounds or [0.0]), float("inf")], inputCol="place", outputCol="range")
+    numbered = cut.transform(rows.withColumn("place", place)).withColumn("bucket", F.col("range").cast("int")).drop("place", "range")
     # One row per range: the number of ranges is set above, not by the data.
-    firsts = rows.groupBy(F.when(F.col("doc_id").isNull(), 0).otherwise(place).alias("bucket")).agg(F.max(F.col("doc_id").isNull()).alias("no_id"), F.min("doc_id").alias("first")).collect()
+    firsts = numbered.groupBy("bucket").agg(F.max(F.col("doc_id").isNull()).alias("no_id"), F.min("doc_id").alias("first")).collect()
     order = sorted(firsts, key=lambda r: r["bucket"])
     pairs = [(r["bucket"], None if r["no_id"] else r["first"], order[k - 1]["bucket"]) for k, r in enumerate(order)]
     heads = spark.createDataFrame(pairs, "bucket int, head long, before int")
-    numbered = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(place).cast("int"))
     own = numbered.join(F.broadcast(heads), "bucket", "left")
     is_head = F.col("doc_id").eqNullSafe(F.col("head"))
     target = F.when(is_head, F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("edge")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("edge")))).otherwise(
