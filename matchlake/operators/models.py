@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,6 +159,55 @@ def train_ridge(
     return best
 
 
+def ridge_gradient(model: ScoreModel, train: DataFrame) -> DataFrame:
+    """Gradient of the penalised squared error at the fitted weights, over the rows' number.
+
+    One row per side and feature, and one per side for the intercept; all are zero
+    at the optimum. Weights are those of features divided by their sample deviation.
+    """
+    out = None
+    for side, fitted in model.sides.items():
+        line = fitted.stages[-1]
+        rows = fitted.transform(train).select(
+            (F.col(f"{side}_score") - F.col(f"pred_{side}")).alias("rest"),
+            vector_to_array("features").alias("z"),
+        )
+        fitted_weights = [float(w) for w in line.coefficients]
+        sums = rows.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("rest").alias("intercept"),
+            *[F.sum(F.col("rest") * F.col("z")[j]).alias(f"s{j}") for j in range(len(model.names))],
+        )
+        n, alpha = F.col("n"), model.settings["alpha"]
+        parts = [
+            F.struct(F.lit(name).alias("feature"), (alpha * (n - 1) / n * w - F.col(f"s{j}")).alias("sum"))
+            for j, (name, w) in enumerate(zip(model.names, fitted_weights, strict=True))
+        ]
+        parts.append(F.struct(F.lit("intercept").alias("feature"), (-F.col("intercept")).alias("sum")))
+        side_rows = sums.select("n", F.explode(F.array(*parts)).alias("p")).select(
+            F.lit(side).alias("side"), "p.feature", "n", (F.col("p.sum") / n).alias("gradient")
+        )
+        out = side_rows if out is None else out.unionByName(side_rows)
+    return out
+
+
+def gain_over_mean(model: ScoreModel, rows: DataFrame) -> DataFrame:
+    """Per side the number of rows and the mean absolute errors of model and plain mean."""
+    scored = model.score(rows)
+    means = rows.agg(*[F.avg(f"{side}_score").alias(side) for side in TARGETS]).first()
+    out = None
+    for side in TARGETS:
+        actual = F.col(f"{side}_score")
+        one = scored.agg(
+            F.lit(side).alias("side"),
+            F.count(F.lit(1)).alias("n"),
+            F.avg(F.abs(actual - F.col(f"pred_{side}_score"))).alias("model_mae"),
+            F.avg(F.abs(actual - means[side])).alias("mean_mae"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def train_trees(train: DataFrame, test: DataFrame, **settings) -> ScoreModel:
     """Boosted regression trees per side."""
     names = feature_columns(train)

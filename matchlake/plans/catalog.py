@@ -522,13 +522,31 @@ def _(t):
     return models.train_trees(train, test).predict(known)
 
 
-def _dense_weights(inputs: int) -> models.DenseWeights:
-    """A network with repeatable weights; real ones come from a training run."""
-    sizes = [inputs, 64, 32, 2]
-    rng = np.random.default_rng(7)
-    layers = [
-        (rng.normal(0, 1 / np.sqrt(a), (b, a)), np.zeros(b)) for a, b in zip(sizes, sizes[1:])
-    ]
+@query("ridge_gradient")
+def _(t):
+    _, train, test = _modelled(t)
+    found = models.ridge_gradient(models.train_ridge(train, test), train)
+    return found.withColumn("gradient", F.abs(F.round("gradient", 4)))
+
+
+@query("tree_gain")
+def _(t):
+    """Whether few boosted trees at least cut a fifth off the error of the mean."""
+    _, train, test = _modelled(t)
+    gain = models.gain_over_mean(models.train_trees(train, test, maxIter=20), train)
+    return gain.select("side", "n", (F.col("model_mae") < 0.8 * F.col("mean_mae")).alias("gains"))
+
+
+DENSE_SIZES = (len(features.FEATURES), 64, 32, 2)
+
+
+def _dense_weights() -> models.DenseWeights:
+    """A network by rule, as the SQL has it too; real ones come from a training run."""
+    layers = []
+    for k, (a, b) in enumerate(zip(DENSE_SIZES, DENSE_SIZES[1:], strict=False)):
+        i, j = np.arange(b)[:, None], np.arange(a)[None, :]
+        layers.append((((31 * i + 17 * j + 7 * k) % 41 - 20) / (20 * np.sqrt(a)), (np.arange(b) % 5 - 2) / 10))
+    inputs = DENSE_SIZES[0]
     return models.DenseWeights(
         layers, np.zeros(inputs), np.full(inputs, 100.0), np.full(2, 110.0), np.full(2, 12.0)
     )
@@ -537,7 +555,7 @@ def _dense_weights(inputs: int) -> models.DenseWeights:
 @query("pred_dense")
 def _(t):
     known = features.features(t.games, t.finals)
-    return models.score_dense(known, features.FEATURES, _dense_weights(len(features.FEATURES)))
+    return models.score_dense(known, features.FEATURES, _dense_weights())
 
 
 # --- views -----------------------------------------------------------------------------------

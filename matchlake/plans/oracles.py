@@ -352,7 +352,37 @@ def _feature_queries() -> dict[str, str]:
             CAST(home_score AS BIGINT) AS home_score, CAST(away_score AS BIGINT) AS away_score,
             {_rounded(f.FEATURES)} {modelled} AND {complete} AND season IN ('1997-1998', '1998-1999')""",
     }
-    return {
+    names = ", ".join(f"'{c}'" for c in f.FEATURES)
+    trained = f"(SELECT count(*) {modelled} AND {complete} AND season = '1997-1998') AS n"
+    stored["ridge_gradient"] = f"""SELECT side, feature, {trained}, 0.0::DOUBLE AS gradient
+        FROM (VALUES ('home'), ('away')) s(side), (SELECT unnest([{names}, 'intercept']) AS feature)"""
+    stored["tree_gain"] = f"SELECT side, {trained}, true AS gains FROM (VALUES ('home'), ('away')) s(side)"
+    inputs = ", ".join(f'coalesce("{c}", 0) AS "{c}"' for c in f.FEATURES)
+
+    def layer(k: int, source: str, wide: int, high: int, act: str) -> str:
+        weight = f"((31 * i + 17 * j + {7 * k}) % 41 - 20) / (20 * sqrt({wide}))"
+        return f"""SELECT game_id, i AS j, {act.format(f"sum(x * {weight}) + (i % 5 - 2) / 10.0")} AS x
+          FROM {source}, (SELECT unnest(range({high})) AS i) GROUP BY game_id, i"""
+
+    dense = f"""
+dense_0 AS (
+  SELECT game_id, list_position([{names}], name) - 1 AS j, v / 100 AS x
+  FROM (UNPIVOT (SELECT game_id, {inputs} FROM features) ON COLUMNS(* EXCLUDE game_id) INTO NAME name VALUE v)),
+dense_1 AS ({layer(0, "dense_0", len(f.FEATURES), 64, "greatest({}, 0)")}),
+dense_2 AS ({layer(1, "dense_1", 64, 32, "greatest({}, 0)")}),
+dense_3 AS ({layer(2, "dense_2", 32, 2, "({}) * 12 + 110")}),
+dense AS (
+  SELECT game_id, max(x) FILTER (j = 0) AS pred_home_score, max(x) FILTER (j = 1) AS pred_away_score
+  FROM dense_3 GROUP BY game_id),
+"""
+    chance = "1 / (1 + exp(-(-0.2504 + 0.1949 * (pred_home_score - pred_away_score))))"
+    network = _sql(
+        f"""SELECT game_id, round(pred_home_score, 6) AS pred_home_score, round(pred_away_score, 6) AS pred_away_score,
+        round({chance}, 6) AS pred_home_win_pct FROM dense""",
+        FEATURES,
+        dense,
+    )
+    return {"pred_dense": network} | {
         k: _sql(f"SELECT game_id, {_rounded(names)} FROM features", FEATURES)
         for k, names in groups.items()
     } | {k: _sql(body, FEATURES) for k, body in stored.items()}

@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
-from matchlake.operators import evaluate, models, predict
+from matchlake.operators import evaluate, features, models, predict
 
+NAMES = features.FEATURES[:4]
 
 @pytest.fixture(scope="module")
 def data(spark):
@@ -15,7 +16,8 @@ def data(spark):
     home = x @ [1.0, -2.0, 0.5, 0.0] + 100 + rng.normal(0, 2, n)
     away = x @ [0.3, 1.0, -0.5, 0.2] + 95 + rng.normal(0, 2, n)
     rows = [(i, *map(float, x[i]), float(home[i]), float(away[i])) for i in range(n)]
-    schema = "game_id long, a double, b double, c double, d double, home_score double, away_score double"
+    named = ", ".join(f"`{c}` double" for c in NAMES)
+    schema = f"game_id long, {named}, home_score double, away_score double"
     frame = spark.createDataFrame(rows, schema).repartition(3).cache()
     return x, home, away, frame
 
@@ -29,7 +31,7 @@ def test_ridge_equals_closed_form(data, alpha):
     for y, column in ((home, "pred_home_score"), (away, "pred_away_score")):
         w = np.linalg.solve(z.T @ z + alpha * np.eye(4), z.T @ (y - y.mean()))
         np.testing.assert_allclose(got[column], z @ w + y.mean(), rtol=1e-6)
-    assert model.names == ["a", "b", "c", "d"]
+    assert model.names == NAMES
 
 
 def test_ridge_picks_lowest_error(data):
@@ -39,6 +41,16 @@ def test_ridge_picks_lowest_error(data):
     assert model.measured["avg_score_mae"] == min(errors)
 
 
+@pytest.mark.parametrize("alpha", [1.0, 100.0])
+def test_gradient_is_zero_at_the_optimum_only(data, alpha):
+    frame = data[3]
+    model = models.train_ridge(frame, frame, (alpha,))
+    found = models.ridge_gradient(model, frame).collect()
+    assert len(found) == 10 and max(abs(r.gradient) for r in found) < 1e-6
+    model.settings["alpha"] = 3 * alpha + 50
+    assert max(abs(r.gradient) for r in models.ridge_gradient(model, frame).collect()) > 1e-3
+
+
 def test_trees_learn(data):
     frame = data[3]
     model = models.train_trees(frame, frame, maxIter=10)
@@ -52,7 +64,7 @@ def test_dense_scores(spark, data):
     rng = np.random.default_rng(2)
     layers = [(rng.normal(size=(8, 4)), rng.normal(size=8)), (rng.normal(size=(2, 8)), rng.normal(size=2))]
     weights = models.DenseWeights(layers, x.mean(0), x.std(0), np.array([100.0, 90.0]), np.array([10.0, 9.0]))
-    got = models.score_dense(frame, ["a", "b", "c", "d"], weights).toPandas().sort_values("game_id")
+    got = models.score_dense(frame, NAMES, weights).toPandas().sort_values("game_id")
     z = (x - x.mean(0)) / x.std(0)
     want = (np.maximum(z @ layers[0][0].T + layers[0][1], 0) @ layers[1][0].T + layers[1][1]) * [10, 9] + [100, 90]
     np.testing.assert_allclose(got[["pred_home_score", "pred_away_score"]], want, rtol=1e-9)
