@@ -6,7 +6,7 @@ from compare import connection, difference
 from matchlake.plans import catalog, oracles
 
 SQL = oracles.oracle_sql()
-UNCHECKED = {"pred_linear", "pred_tree", "pred_dense"}
+UNCHECKED = {"pred_linear", "pred_tree"}
 
 
 @pytest.fixture(scope="module")
