@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm import kneser, minhash, packing, secrets, toxicity
-from matchlake.llm.common import small, table, written
+from matchlake.llm.common import small, small_batches, table, written
 from matchlake.llm.queries import TOKENIZER
 
 
@@ -50,6 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret span is replaced by its kind in brackets; n_chars follows the text."""
+    small_batches(spark)
     text = secrets.clean(F.col("text").cast("string"))
     return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
 

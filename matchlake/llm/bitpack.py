@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import new_folder, partitions, slices, written
+from .common import new_folder, partitions, slices, text_rows, written
 
 MAGIC = b"TIDPACK1"
 HEADER = struct.Struct("<8sIIQQQ")
@@ -162,7 +162,7 @@ def write(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-ids")
     uri = folder if ":" in folder else f"file://{folder}"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     parts = partitions(spark)
     files = parts * FILES_PER_PARTITION
     bounds = np.unique(np.array(rows.approxQuantile("doc_id", [k / files for k in range(1, files)], 0.0005), dtype=np.int64))

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import new_folder, written
 
-#: Bytes of text of a block for small inputs; grows with the square root of the input,
-#: so that the arrays between blocks and shards keep a useful length.
-BLOCK_BYTES = 12 << 20
-MOST_BLOCK_BYTES = 128 << 20
+#: Bytes of text of a block up to 10 GB of input; grows with the square root of the input,
+#: so that the arrays between blocks and shards keep a useful length. A task holds one
+#: block, and per byte of it up to some 40 bytes of sorted n-grams.
+BLOCK_BYTES = 4 << 20
+MOST_BLOCK_BYTES = 32 << 20
 #: Bytes of text whose n-grams meet in one shard.
 SHARD_BYTES = 16 << 20
 
@@ -34,7 +35,15 @@ def from_files(docs: DataFrame) -> DataFrame:
 
 
 def with_split(docs: DataFrame) -> DataFrame:
-    """Adds ``split``, which names the piece of the file that a row comes from."""
+    """Adds ``split``, which names the piece of the file that a row comes from.
+
+    How files are cut follows the number of live cores unless the session says it;
+    it is told the present number here, so that a lost executor between two passes
+    does not cut them differently.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.files.minPartitionNum"
+    if not conf.get(key, None):
+        conf.set(key, str(docs.sparkSession.sparkContext.defaultParallelism))
     return docs.withColumn("split", F.hex(F.xxhash64(F.input_file_name(), F.input_file_block_start())))
 
 
@@ -44,7 +53,7 @@ def text_bytes(docs: DataFrame) -> int:
 
 def layout(total: int) -> tuple[int, int]:
     """Bytes of a block and number of shards (a power of two) for so many bytes of text."""
-    block = int(min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, BLOCK_BYTES * (total / 100e9) ** 0.5)))
+    block = int(min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, BLOCK_BYTES * (total / 10e9) ** 0.5)))
     return block, 1 << max(4, (total // SHARD_BYTES).bit_length())
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import slices
+from .common import slices, text_rows
 
 #: Code points of a leaf. Longer texts are encoded in halves.
 LEAF_CHARS = 8192
@@ -135,7 +135,7 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF_CHARS, spread: int = SPR
     is joined where its leaves meet, which encodes only the windows again.
     """
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = text_rows(docs).fillna("", "text")
     long = F.length("text") > spread
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

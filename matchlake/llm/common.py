@@ -17,6 +17,11 @@ SLICE_BYTES = 2 << 20
 #: A table is broadcast only if it was counted and is below this; else it is shuffled.
 BROADCAST_BYTES = 32 << 20
 
+#: Bytes of the prefix sums that word hashes come from.
+HASH_BYTES = 1 << 18
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
 #: Bytes that part words: space and 0x09 to 0x0D.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -30,6 +35,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to Python workers a few MB at a time, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = str(spark.conf.get(key)).lower().removesuffix("b")
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(found[-1:], 1)
+    size = int(found.rstrip("kmg")) * scale
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def text_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id and text (and ``more`` as strings), whatever else the table holds."""
+    small_batches(docs.sparkSession)
+    names = [F.col(c).cast("string").alias(c) for c in ("text", *more)]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *names)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -143,7 +165,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     k = 0
     while k < len(start):
         origin = start[k]
-        stop = max(k + 1, int(np.searchsorted(end, origin + SLICE_BYTES, "right")))
+        stop = max(k + 1, int(np.searchsorted(end, origin + HASH_BYTES, "right")))
         piece = data[origin : end[k:stop].max()]
         up, down = _power(len(piece) + 1)
         sums = np.zeros(len(piece) + 1, np.uint64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .components import components
 
 THRESHOLD = 0.9
@@ -200,6 +200,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     their vectors differ, each row has the links of its own vector. An empty table
     gives no rows.
     """
+    small_batches(vectors.sparkSession)
     base = written(prepared(vectors), "vectors")
     lengths = base.where("vec is not null").groupBy(F.octet_length("vec").alias("bytes")).count()
     common = lengths.orderBy(F.desc("count"), "bytes").limit(1).collect()

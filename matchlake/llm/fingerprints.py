@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, partitions, shingles, slices
+from .common import Words, partitions, shingles, slices, text_rows
 
 #: Hashes kept; the standard error of a resemblance J is sqrt(J (1 - J) / k).
 K = 256
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, k: int = K, size: int = SHINGLE_WORDS) -> Data
                 found = sketch(part.column("text"), k, size)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(dump, found), pa.string()), pa.array([distinct(s, k) for s in found], pa.float64())], ["doc_id", "fingerprint", "n_distinct"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     return rows.mapInArrow(made, "doc_id long, fingerprint string, n_distinct double")
 
 
@@ -87,7 +87,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     to the last. Order: doc_id with nulls first, then text.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = text_rows(docs).fillna("", "text")
     parts = partitions(spark)
     ranges = 4 * parts
     # Nulls come first. Doubles keep the order of ids, and equal ids in one range.

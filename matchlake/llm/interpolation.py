@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import Words, mix
+from .common import Words, mix, text_rows
 from .toxicity import held_out
 
 WORD, PAIR = 0, 1
@@ -104,7 +104,7 @@ def score(docs: DataFrame, parts: int = PARTS) -> DataFrame:
     gives no rows. One text larger than a block is a block of its own.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = text_rows(docs)
     rows = blocks.with_split(blocks.from_files(plain)).withColumn("train", ~held_out(F.col("doc_id"), parts))
     size, shards = blocks.layout(blocks.text_bytes(plain))
     shift = np.uint64(64 - (shards.bit_length() - 1))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import buffers, mix, slices, small, written
+from .common import buffers, mix, slices, small, text_rows, written
 from .toxicity import held_out
 
 ORDER = 5
@@ -40,15 +40,19 @@ def codes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     pad = ORDER - 1
     length = np.diff(bounds) + 1
     start = bounds[:-1] + np.arange(n) * (pad + 1)
-    flat = np.full(len(data) + n * (pad + 1), OPEN, np.uint8)
-    row = np.repeat(np.arange(n), np.diff(bounds))
-    flat[np.arange(len(data)) + row * (pad + 1) + pad] = data
+    inside = np.ones(len(data) + n * (pad + 1), bool)  # all but what opens a text
+    for k in range(pad):
+        inside[start + k] = False
+    flat = np.full(len(inside), OPEN, np.uint8)
+    inside[start + pad + length - 1] = False
+    flat[inside] = data
+    inside[start + pad + length - 1] = True
     flat[start + pad + length - 1] = CLOSE
-    ends = np.arange(len(data) + n) + (np.repeat(np.arange(n), length) + 1) * pad
-    codes = np.zeros(len(ends), np.uint64)
-    for k in range(pad, -1, -1):
-        codes = codes << np.uint64(8) | flat[ends - k]
-    return codes, length
+    codes = np.zeros(max(0, len(flat) - pad), np.uint64)
+    for k in range(ORDER):
+        codes <<= np.uint64(8)
+        codes |= flat[k : k + len(codes)]
+    return codes[inside[pad:]], length
 
 
 def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
@@ -186,7 +190,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                 raise RuntimeError(f"the input changed while block {block} was scored")
             value = np.empty(len(codes))
             value[order] = found
-            total = np.bincount(np.repeat(np.arange(batch.num_rows), length), value[at], minlength=batch.num_rows)
+            total = np.add.reduceat(value[at], np.cumsum(length) - length)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(length.astype(np.int64)), pa.array(np.exp(-total / length))], [*names, "n_symbols", "perplexity"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -208,7 +212,7 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, prior_bytes
     or null, takes the limit of all languages; without any trusted text everything is
     kept. Repeated rows are each returned, a null doc_id is never trusted.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    plain = text_rows(docs, "lang")
     plain = blocks.from_files(plain).withColumn("row_key", row_key())
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = small(written(good, "trusted"), 24)

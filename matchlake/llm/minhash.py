@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, lists, mix, shingles, slices, small, written
+from .common import Words, lists, mix, shingles, slices, small, text_rows, written
 from .components import components
 
 BANDS, ROWS = 48, 8
@@ -63,10 +63,6 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _text_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set, and band keys."""
 
@@ -83,7 +79,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int =
                     [part.column("doc_id"), pa.array(n), pa.array(h1), pa.array(h2), lists(keys.reshape(-1), np.full(len(sets), bands), pa.int64())], ["doc_id", "n_shingles", "h1", "h2", "bands"]
                 )
 
-    return _text_rows(docs).mapInArrow(made, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return text_rows(docs).mapInArrow(made, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -158,7 +154,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
 
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     placed = written(clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "placed")
-    texts = _text_rows(docs).join(small(placed, 64), "doc_id")
+    texts = text_rows(docs).join(small(placed, 64), "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

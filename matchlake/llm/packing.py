@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import slices, written
+from .common import slices, text_rows, written
 
 CAPACITY = 4096
 #: Items of one length that are ranked in one task.
@@ -170,7 +170,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
                 keep = len(names) - (not with_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:keep], kinds, strict=False)], names[:keep])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import slices
+from .common import slices, text_rows
 
 #: Code points between parts of one credential.
 REACH = 400
@@ -143,7 +143,7 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
                 shaped = [[[dict(zip(("kind", "start", "end"), x, strict=True)) for x in pair[k]] for pair in found] for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shaped[0], kind), pa.array(shaped[1], kind), pa.array(clean, pa.string())], ["doc_id", "base", "spans", "clean_text"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     span = "array<struct<kind: string, start: long, end: long>>"
     return rows.mapInArrow(scanned, f"doc_id long, base {span}, spans {span}, clean_text string")
 

@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Bytes of text that are made distinct together.
 SLICE_BYTES = 8 << 20
 #: Words whose ids a Python worker keeps between batches; speed only.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 250_000
 
 _loaded: dict = {}
 

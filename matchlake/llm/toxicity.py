@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices, span_hashes, written
+from .common import Words, mix, slices, span_hashes, text_rows, written
 
 #: Most labelled rows that the examples are fitted on (by hash of doc_id).
 EXAMPLES = 10_000
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     spark = docs.sparkSession
     asked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = asked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = text_rows(docs).join(F.broadcast(chosen), "doc_id")
     sample = written(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "examples")
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), sum(n for y, n in totals.items() if y != 1)
@@ -297,7 +297,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     [part.column("doc_id"), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(matched, pa.list_(pa.string())), pa.array(near, evidence)], ["doc_id", "score", "predicted", "terms", "nearest"]
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     return rows.mapInArrow(scored, "doc_id long, score double, predicted int, terms array<string>, nearest array<struct<doc_id: long, cosine: double, label: int>>")
 
 
