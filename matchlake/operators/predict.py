@@ -46,18 +46,11 @@ def ensemble(predictions: DataFrame, members: list[str]) -> DataFrame:
 
 
 def newest(predictions: DataFrame, predictor: str) -> DataFrame:
-    """Each game's newest prediction by one predictor."""
-    return (
-        predictions.filter(F.col("predictor") == predictor)
-        .groupBy("game_id")
-        .agg(
-            *[
-                F.max_by(c, "prediction_ts").alias(c)
-                for c in ("pred_home_score", "pred_away_score", "pred_home_win_pct")
-            ],
-            F.max("prediction_ts").alias("prediction_ts"),
-        )
-    )
+    """Each game's newest prediction by one predictor, of equal times the largest."""
+    kept = ("pred_home_score", "pred_away_score", "pred_home_win_pct")
+    last = F.max(F.struct("prediction_ts", *kept)).alias("last")
+    found = predictions.filter(F.col("predictor") == predictor).groupBy("game_id").agg(last)
+    return found.select("game_id", *[f"last.{c}" for c in (*kept, "prediction_ts")])
 
 
 def live_inputs(predictions: DataFrame, latest: DataFrame, predictor: str) -> DataFrame:

@@ -244,15 +244,10 @@ def latest_state(states: DataFrame) -> DataFrame:
 
 def final_states(states: DataFrame) -> DataFrame:
     """Final scores of each game, from its highest final play id."""
-    return (
-        states.filter("is_final_state")
-        .groupBy("game_id")
-        .agg(
-            F.max_by("home_score", "play_id").alias("home_score"),
-            F.max_by("away_score", "play_id").alias("away_score"),
-            F.max("play_id").alias("play_id"),
-        )
-    )
+    # One maximum over the whole row, so that repeated ids cannot mix two of them.
+    last = F.max(F.struct("play_id", "home_score", "away_score")).alias("last")
+    finals = states.filter("is_final_state").groupBy("game_id").agg(last)
+    return finals.select("game_id", "last.home_score", "last.away_score", "last.play_id")
 
 
 def finalize_games(games: DataFrame, states: DataFrame) -> DataFrame:
