@@ -10,16 +10,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.operators.history import attach_sides, counted, team_rows, totals_before
 from matchlake.operators.quality import FEWEST_PLAYS, MOST_PLAYS
 from matchlake.operators.scan import ordered_scan
-from matchlake.sources.shared import materialized
 
 Tables = dict[str, DataFrame]
 LARGEST_JUMP = 10
+SAMPLE_HASHES = 1024
 
 
 def finalized_without_final_state(t: Tables) -> DataFrame:
@@ -324,9 +324,10 @@ def validation_report(
 ) -> DataFrame:
     """One row per rule that found something: true count and a few samples.
 
-    Rules of unknown categories are ignored. The offending rows are written to
-    the shared folder once and read for both. Samples are the first rows by their
-    text; the window keeps at most ``sample`` rows per rule before its shuffle.
+    Rules of unknown categories are ignored. Rows are counted by rule and hash before
+    the shuffle, and of each hash only the row that comes first by its text goes on;
+    the samples are the first of these. Nothing is written, and a rule sends at most
+    ``SAMPLE_HASHES`` rows per task.
     """
     chosen = {
         i: r for i, r in RULES.items() if categories is None or r.category in categories
@@ -338,21 +339,19 @@ def validation_report(
             for i, r in chosen.items()
         ],
     )
-    found = materialized(found, "audit")
-    counts = found.groupBy("check_id").agg(F.count(F.lit(1)).alias("count"))
-    first = Window.partitionBy("check_id").orderBy("row")
-    samples = (
-        found.withColumn("place", F.row_number().over(first))
-        .filter(F.col("place") <= sample)
-        .groupBy("check_id")
-        .agg(F.array_sort(F.collect_list("row")).alias("sample"))
+    by_hash = found.groupBy(
+        "check_id", F.pmod(F.xxhash64("row"), F.lit(SAMPLE_HASHES)).alias("hash")
+    ).agg(F.count(F.lit(1)).alias("count"), F.min("row").alias("row"))
+    counts = by_hash.groupBy("check_id").agg(
+        F.sum("count").alias("count"),
+        F.slice(F.array_sort(F.collect_list("row")), 1, sample).alias("sample"),
     )
     spark = counts.sparkSession
     about = spark.createDataFrame(
         [(i, r.severity, r.category, r.message, r.fixable) for i, r in chosen.items()],
         "check_id string, severity string, category string, message string, fixable boolean",
     )
-    return about.join(counts, "check_id").join(samples, "check_id")
+    return about.join(counts, "check_id")
 
 
 def severity_summary(report: DataFrame) -> DataFrame:
