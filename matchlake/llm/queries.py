@@ -70,5 +70,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in listed}
 
 
+#: All pairs by shared shingles, then everything reachable by links.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE lists AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM lists),
+runs AS (
+  SELECT doc_id, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d
+      || ' ' || lead(word, 4) OVER d AS g
+  FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+  UNION
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) FROM words GROUP BY doc_id HAVING count(*) < 5),
+sizes AS (SELECT doc_id, count(g) AS n FROM runs GROUP BY doc_id),
+shingles AS (SELECT doc_id, n, g FROM runs JOIN sizes USING (doc_id) WHERE g IS NOT NULL),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT doc_id, doc_id AS root FROM documents
+  UNION
+  SELECT links.y, reached.root FROM reached JOIN links ON links.x = reached.doc_id WHERE reached.root < links.y)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.root AS component_id, c.root = d.doc_id AS kept
+FROM documents d JOIN (SELECT doc_id, min(root) AS root FROM reached GROUP BY doc_id) c USING (doc_id)
+  LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need trained models, a tokenizer or hashes, which tests compare by brute force."""
+    return {"op4_minhash_near_duplicates": NEAR_DUPLICATES}
