@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, written
+from .common import new_folder, release, written
 
 #: Bytes of text of a block up to 10 GB of input; grows with the square root of the input,
 #: so that the arrays between blocks and shards keep a useful length. A task holds one
@@ -82,10 +82,12 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str,
                 size += int(sizes[stop - 1]) - before
                 if size >= limit:
                     yield joined()
+                    release()
                     number, held, size = number + 1, [], 0
                 a = stop
     if held:
         yield joined()
+    release()
 
 
 def squeeze(values: np.ndarray) -> bytes:

@@ -18,8 +18,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of text that are made distinct together.
 SLICE_BYTES = 8 << 20
-#: Words whose ids a Python worker keeps between batches; speed only.
-KEPT_WORDS = 250_000
+#: Words that occur more than once in a slice, whose ids a Python worker keeps; speed only.
+KEPT_WORDS = 150_000
 
 _loaded: dict = {}
 
@@ -78,20 +78,17 @@ def _encode_words(path: str, words: list[str]) -> list[bytes]:
     return out
 
 
-def _word_ids(path: str, words: list[str]) -> list[bytes]:
+def _word_ids(path: str, words: list[str], times: np.ndarray) -> list[bytes]:
     load(path)
     kept = _loaded[path][1]
-    kept.setdefault("", b"")
-    new = [w for w in words if w not in kept]
-    if len(kept) + len(new) > KEPT_WORDS:
-        kept.clear()
-        new = [w for w in words if w]
+    new = [w for w in words if w and w not in kept]
     known = dict(zip(new, _encode_words(path, new), strict=True))
     known[""] = b""
-    if len(known) <= KEPT_WORDS:
-        kept.update(known)
-        known = kept
-    return [known[w] for w in words]
+    out = [known[w] if w in known else kept[w] for w in words]
+    if len(kept) > KEPT_WORDS:
+        kept.clear()
+    kept.update((w, ids) for w, ids, n in zip(words, out, times.tolist(), strict=True) if n > 1)
+    return out
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +103,8 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     per_row = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = words.flatten().dictionary_encode()
     place = coded.indices.to_numpy(zero_copy_only=False)
-    codes = _word_ids(path, coded.dictionary.to_pylist())
+    words_here = coded.dictionary.to_pylist()
+    codes = _word_ids(path, words_here, np.bincount(place, minlength=len(words_here)))
     flat = np.frombuffer(b"".join(codes), np.uint32)
     count = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
     first = np.cumsum(count) - count
