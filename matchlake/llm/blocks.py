@@ -23,7 +23,7 @@ from .common import new_folder, release, written
 #: Bytes of text of a block up to 10 GB of input; grows with the square root of the input,
 #: so that the arrays between blocks and shards keep a useful length. A task holds one
 #: block, and per byte of it up to some 40 bytes of sorted n-grams.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 MOST_BLOCK_BYTES = 32 << 20
 #: Bytes of text whose n-grams meet in one shard.
 SHARD_BYTES = 16 << 20
