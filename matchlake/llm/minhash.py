@@ -6,12 +6,14 @@ each coordinate. One shingle's K values are thus a contiguous run of one table.
 
 Equal sets are one class; only its first document goes on. Documents that share a band
 are joined into candidate clusters, and inside a cluster every pair of sets is counted
-exactly, so that banding only has to bring two documents into one cluster. A pair at
-the threshold misses all bands with probability (1 - 0.85^8)^48, about 2e-7.
+exactly, so that banding only has to bring two documents into one cluster. There are as
+many bands as the threshold needs: a pair at it misses all of them with probability
+(1 - threshold^7)^bands, at most 2e-7.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,11 @@ from pyspark.sql import functions as F
 from .common import Words, lists, mix, shingles, slices, small, text_rows, written
 from .components import components
 
-BANDS, ROWS = 48, 8
+#: Percent of Jaccard similarity that links documents where no other is asked for.
+PERCENT = 80
+ROWS = 7
+#: Largest probability that a pair at the threshold shares no band.
+MISSED = 2e-7
 UNIVERSE_BITS = 20
 #: Documents of a cluster whose sets meet in one task; larger clusters take pairs of such blocks.
 BLOCK_ROWS = 1000
@@ -32,6 +38,15 @@ SEED = 20
 _tables: dict = {}
 
 
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """Fewest bands that a pair at ``percent`` misses with a probability of ``MISSED`` at most."""
+    shared = (percent / 100) ** rows
+    return 1 if shared >= 1 else math.ceil(math.log(MISSED) / math.log1p(-shared))
+
+
+BANDS = bands_for(PERCENT)
+
+
 def permutations(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     """The spreading permutation, and all circular runs of the second as rows of a view."""
     if coordinates not in _tables:
@@ -132,9 +147,10 @@ def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[i
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE_WORDS, block: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int | None = None, rows: int = ROWS, size: int = SHINGLE_WORDS, block: int = BLOCK_ROWS) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of at least ``percent`` / 100.
 
+    ``bands`` follows from ``percent`` and ``rows`` where it is not given.
     ``docs`` has doc_id and text; other columns are ignored. Returns one row per row:
     doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself
     included), kept (doc_id = component_id). Texts that are null, empty or without
@@ -142,7 +158,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     of both, and each returned; rows with a null doc_id link with nothing, have a null
     component and are kept. An empty table gives no rows.
     """
-    base = written(sketches(docs, bands, rows, size), "sketches")
+    base = written(sketches(docs, bands or bands_for(percent, rows), rows, size), "sketches")
     usable = base.where("doc_id is not null and n_shingles > 0")
     classes = written(usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     members = usable.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "rep")

@@ -68,6 +68,32 @@ def test_minhash_equals_all_pairs(spark, block):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_stage_drops_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    texts = [prose(100, rng) for _ in range(30)]
+    for k in range(15):  # Jaccard 86 / 106
+        words = texts[k].split()
+        words[30 + k], words[70] = "newone", "newtwo"
+        texts.append(" ".join(words))
+    sets = {k: shingle_set(t) for k, t in enumerate(texts)}
+    value = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in range(a)}
+    assert any(0.8 <= v < 0.85 for v in value.values()) and not any(v >= 0.85 for v in value.values())
+    want = brute([p for p, v in value.items() if v >= 0.8], sets)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert left == {k for k in sets if want[k] == k} and len(left) == 30
+
+
+def test_bands_follow_the_threshold():
+    for percent in (60, 80, 85, 95):
+        bands = minhash.bands_for(percent)
+        missed = [(1 - (percent / 100) ** minhash.ROWS) ** n for n in (bands, bands - 1)]
+        assert missed[0] <= minhash.MISSED < missed[1]
+    assert minhash.bands_for(100) == 1
+
+
 def test_minhash_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     found = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=str)
@@ -180,3 +206,13 @@ def test_no_vectors(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[:4] for r in descent.near_vectors(df).collect()] == [(1, 0, 1, True)]
     assert descent.near_vectors(df.where("vec_id < 0")).collect() == []
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_minhash_equals_all_pairs_at(spark, percent):
+    texts = corpus()
+    sets = {k: shingle_set(t) for k, t in enumerate(texts)}
+    want = brute([(a, b) for a in sets for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])], sets)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = minhash.near_duplicates(df, percent=percent, block=16).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
