@@ -8,8 +8,9 @@ leave a spanning forest, so that what is linked becomes connected although lists
 short. A list that is full of links is saturated: it is enlarged to its whole
 component, where all pairs are compared, block by block, in double precision.
 
-An audit compares a bounded sample of vectors with all others. While its recall is
-below the target, further cells and rounds follow.
+An audit compares a bounded sample of vectors with all others. While the recall of its
+vectors is below the target, further cells and rounds follow, and after the last attempt
+all vectors are compared with all, block by block.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .components import components
 
 THRESHOLD = 0.9
 NEIGHBOURS = 8
-#: Sets of cells for each attempt, and vectors that a cell is meant to have.
+#: Fewest sets of cells for each attempt, and vectors that a cell is meant to have.
 TREES, CELL = 8, 200
 #: Vectors that meet at most in one cell or pivot group; more are dealt to several by hash.
 MEETING = 512
@@ -37,6 +38,8 @@ ROUNDS, ATTEMPTS, TARGET = 2, 4, 0.999
 AUDITED = 1000
 #: Vectors of a component that meet in one task; larger components take pairs of blocks.
 BLOCK = 1000
+#: Bytes of the vectors that all others are compared with at once after the last attempt.
+ASKED_BYTES = 4 << 20
 
 
 def _matrix(raw: list[bytes]) -> np.ndarray:
@@ -108,9 +111,24 @@ def _meeting(k: int, threshold: float):
 FOUND = "a long, b long, cosine double"
 
 
+def _planes(count: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(2, count / CELL)))))
+
+
+def trees_for(count: int, threshold: float, target: float) -> int:
+    """Sets of cells in which a pair at the threshold meets with a probability of ``target``.
+
+    Cells have more planes the more vectors there are, so that a pair shares each of them less often.
+    """
+    one = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** _planes(count)
+    if not 0 < one < 1:
+        return TREES
+    return max(TREES, int(np.ceil(np.log(max(1e-9, 1 - target)) / np.log1p(-one))))
+
+
 def cells(nodes: DataFrame, count: int, dimension: int, seed: int, trees: int = TREES) -> DataFrame:
     """Pairs of nodes that share a cell of random hyperplanes meet: (tree, cell, part, node)."""
-    planes = max(1, int(np.ceil(np.log2(max(2, count / CELL)))))
+    planes = _planes(count)
     normals = np.random.default_rng(seed).standard_normal((trees, dimension, planes))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +184,12 @@ def _counted(nodes: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     return dealt.groupBy("component", "i", "j").applyInArrow(compared, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def _audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
-    """Share of a sample's true links that were found; the sample is compared with all nodes."""
+def _audit(nodes: DataFrame, counted: DataFrame, threshold: float, small: int = NEIGHBOURS) -> float:
+    """Mean recall of a sample's vectors that have links; the sample is compared with all nodes.
+
+    Each vector counts once, however many links it has, and those of at most ``small``
+    links are averaged apart as well: the lower mean counts.
+    """
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "vec").collect()  # at most AUDITED rows
     if not sample:
         return 1.0
@@ -183,9 +205,44 @@ def _audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
                 total += batch.column("copies").to_numpy() @ near
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.rint(total).astype(np.int64))], ["node", "linked"])
 
-    truth = nodes.select("node", "vec", "copies").mapInArrow(true_links, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("truth"))
-    both = truth.join(counted, "node", "left").agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("linked", F.lit(0)))).alias("f")).first()
-    return 1.0 if not both["t"] else both["f"] / both["t"]
+    truth = nodes.select("node", "vec", "copies").mapInArrow(true_links, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("truth")).where("truth > 0")
+    share = F.least(F.lit(1.0), F.coalesce("linked", F.lit(0)) / F.col("truth"))
+    both = truth.join(counted, "node", "left").agg(F.avg(share).alias("all"), F.avg(F.when(F.col("truth") <= small, share)).alias("few")).first()
+    return min([x for x in both if x is not None], default=1.0)
+
+
+def _all_pairs(nodes: DataFrame, count: int, dimension: int, threshold: float) -> DataFrame:
+    """All nodes against all, a block of them at a time: (a, b, null) of spanning forests, (a, null, linked)."""
+    blocks = max(1, -(-count * dimension * 8 // ASKED_BYTES))
+    found = None
+    for block in range(blocks):
+        some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block).select("node", "vec").collect()  # about ASKED_BYTES
+        if not some:
+            continue
+        ids = np.array([r["node"] for r in some], np.int64)
+        asked = _matrix([bytes(r["vec"]) for r in some])
+
+        def compared(batches: Iterator[pa.RecordBatch], ids=ids, asked=asked) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(ids))
+            for batch in batches:
+                for start in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(start, BLOCK)
+                    own = part.column("node").to_numpy()
+                    near = _matrix(part.column("vec").to_pylist()) @ asked.T >= threshold
+                    near &= own[:, None] != ids[None, :]
+                    total += part.column("copies").to_numpy() @ near
+                    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                    both = np.zeros((len(rows) + len(columns),) * 2, bool)
+                    both[: len(rows), len(rows) :] = near[np.ix_(rows, columns)]
+                    both[len(rows) :, : len(rows)] = both[: len(rows), len(rows) :].T
+                    names = np.concatenate([own[rows], ids[columns]])
+                    edges = np.array(_forest(both), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[edges[:, 0]]), pa.array(names[edges[:, 1]]), pa.nulls(len(edges), pa.int64())], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(np.rint(total).astype(np.int64))], ["a", "b", "linked"])
+
+        rows = written(nodes.select("node", "vec", "copies").mapInArrow(compared, "a long, b long, linked long"), "pairs")
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, rounds: int = ROUNDS, attempts: int = ATTEMPTS, target: float = TARGET) -> DataFrame:
@@ -220,6 +277,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     def meet(members: DataFrame, keys: list[str], state: DataFrame) -> DataFrame:
         return written(members.join(state, "node").groupBy(*keys).applyInArrow(met, FOUND), "meetings")
 
+    trees = trees_for(count, threshold, target)
     for attempt in range(attempts):
         for step in range(rounds + 1):
             if graph is None:
@@ -228,7 +286,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
                 worst = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(-2.0).alias("worst")).withColumnRenamed("a", "node")
                 state = nodes.select("node", "vec").join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
             if step == 0:
-                found = meet(cells(nodes, count, max(1, wanted // 8), attempt), ["tree", "cell", "part"], state)
+                found = meet(cells(nodes, count, max(1, wanted // 8), attempt, trees), ["tree", "cell", "part"], state)
             else:
                 found = meet(pivots(graph, attempt * 100 + step), ["pivot", "part"], state)
             graph = written(_improved(graph, found, k), "graph")
@@ -237,9 +295,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
         links = forest.unionByName(graph.where(F.col("cosine") >= threshold).select("a", "b"))
         classes = written(components(links), "classes")
         counted = written(_counted(nodes, classes, threshold), "counts")
-        recall = _audit(nodes, counted, threshold)
+        recall = _audit(nodes, counted, threshold, k)
         if recall >= target or count < 2:
             break
+    else:
+        pairs = _all_pairs(nodes, count, max(1, wanted // 8), threshold)
+        classes = written(components(pairs.where("b is not null").select("a", "b")), "classes")
+        counted = written(pairs.where("linked is not null").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked")), "counts")
+        recall = 1.0
     own = base.join(nodes.select("key", "node", "copies"), "key", "left")
     out = own.join(counted, "node", "left").join(classes, "node", "left")
     component = F.coalesce("component", "node", "vec_id")

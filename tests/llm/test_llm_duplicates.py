@@ -216,3 +216,31 @@ def test_minhash_equals_all_pairs_at(spark, percent):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = minhash.near_duplicates(df, percent=percent, block=16).collect()
     assert {r.doc_id: r.component_id for r in found} == want
+
+
+def test_isolated_pairs_beside_a_dense_group(spark, monkeypatch):
+    monkeypatch.setattr(descent, "CELL", 2)
+    monkeypatch.setattr(descent, "TREES", 1)
+    monkeypatch.setattr(descent, "trees_for", lambda *_: 1, raising=False)
+    monkeypatch.setattr(descent.cells, "__defaults__", (1,))
+    monkeypatch.setattr(descent, "ASKED_BYTES", 20_000, raising=False)  # several blocks
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((140, 32))
+    x[:70] = x[0] + 0.02 * rng.standard_normal((70, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((70, 32))
+    side -= (side * x[70:]).sum(axis=1, keepdims=True) * x[70:]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.905 * x[70:] + np.sqrt(1 - 0.905**2) * side])
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = brute(zip(*(a.tolist() for a in np.nonzero(near)), strict=True), range(len(x)))
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = descent.near_vectors(df, rounds=0, attempts=1).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {k: (near[k].sum(), want[k]) for k in want}
+
+
+def test_trees_grow_with_the_vectors():
+    for count in (2_000, 10**6, 10**7):
+        one = (1 - np.arccos(0.9) / np.pi) ** np.ceil(np.log2(count / descent.CELL))
+        assert 1 - (1 - one) ** descent.trees_for(count, 0.9, 0.999) >= 0.999
