@@ -5,8 +5,11 @@ neighbours; then, round by round, every class is a pivot where its neighbours an
 that have it as neighbour meet, compare all their pairs and improve each other's lists
 (neighbours of neighbours). Wherever vectors meet, pairs at or over the threshold also
 leave a spanning forest, so that what is linked becomes connected although lists are
-short. A list that is full of links is saturated: it is enlarged to its whole
-component, where all pairs are compared, block by block, in double precision.
+short. Inside a component all pairs are compared, block by block, in double precision.
+
+A list that is full of links is saturated: it says nothing of what lies behind them. It
+is enlarged to the vector's whole component, and a further list has the best neighbours
+outside of it. These go through rounds of their own until none of them is linked.
 
 An audit compares a bounded sample of vectors with all others. While the recall of its
 vectors is below the target, further cells and rounds follow, and after the last attempt
@@ -96,6 +99,9 @@ def _meeting(k: int, threshold: float):
         worst = group["worst"].to_numpy()[at]
         cosine = x @ x.T
         np.fill_diagonal(cosine, -2)
+        if "component" in group.column_names:  # only what lies outside of each one's component
+            own = group["component"].to_numpy()[at]
+            cosine[own[:, None] == own[None, :]] = -2
         best = np.argpartition(-cosine, min(k, len(ids)) - 1, axis=1)[:, :k]
         value = np.take_along_axis(cosine, best, axis=1)
         row, column = np.nonzero((value > worst[:, None]) & (value > -2))
@@ -277,6 +283,39 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     def meet(members: DataFrame, keys: list[str], state: DataFrame) -> DataFrame:
         return written(members.join(state, "node").groupBy(*keys).applyInArrow(met, FOUND), "meetings")
 
+    def enlarged(graph: DataFrame, forest: DataFrame, classes: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+        """Links and classes after rounds in which saturated lists look outside of their components."""
+        full = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("cosine").alias("worst")).where((F.col("n") >= k) & (F.col("worst") >= threshold))
+        full = written(full.select(F.col("a").alias("node"), F.lit(True).alias("full")), "saturated")
+        if full.isEmpty():
+            return forest, classes
+        outside, step = None, 0
+        while True:
+            placed = nodes.select("node", "vec").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")).join(full, "node", "left")
+            if outside is None:
+                worst = placed.withColumn("worst", F.lit(-2.0))
+                members, keys = cells(nodes, count, max(1, wanted // 8), seed), ["tree", "cell", "part"]
+            else:
+                last = outside.groupBy("a").agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(-2.0).alias("worst")).withColumnRenamed("a", "node")
+                worst = placed.join(last, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
+                members, keys = pivots(graph.unionByName(outside), seed + step), ["pivot", "part"]
+            # The lists of others are not full of links: they keep what they have.
+            state = worst.select("node", "vec", "component", F.when(F.col("full"), F.col("worst")).otherwise(2.0).alias("worst"))
+            found = meet(members, keys, state)
+            outside = _improved(outside, found, k)
+            across = found.where("cosine > 1.5").select("a", "b")
+            linked = not across.isEmpty()
+            if linked:
+                forest = forest.unionByName(across)
+                classes = written(components(forest), "classes")
+                # What is inside now leaves room for what is still outside.
+                a, b = (classes.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+                outside = outside.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "cosine")
+            outside = written(outside, "outside")
+            step += 1
+            if step > rounds and not linked:
+                return forest, classes
+
     trees = trees_for(count, threshold, target)
     for attempt in range(attempts):
         for step in range(rounds + 1):
@@ -293,7 +332,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
             new = found.where("cosine > 1.5").select("a", "b")
             forest = new if forest is None else forest.unionByName(new)
         links = forest.unionByName(graph.where(F.col("cosine") >= threshold).select("a", "b"))
-        classes = written(components(links), "classes")
+        links, classes = enlarged(graph, links, written(components(links), "classes"), (attempt + 1) * 1000)
+        forest = links
         counted = written(_counted(nodes, classes, threshold), "counts")
         recall = _audit(nodes, counted, threshold, k)
         if recall >= target or count < 2:

@@ -244,3 +244,31 @@ def test_trees_grow_with_the_vectors():
     for count in (2_000, 10**6, 10**7):
         one = (1 - np.arccos(0.9) / np.pi) ** np.ceil(np.log2(count / descent.CELL))
         assert 1 - (1 - one) ** descent.trees_for(count, 0.9, 0.999) >= 0.999
+
+
+def test_saturated_lists_look_outside(spark, monkeypatch):
+    """Two dense groups, linked by one pair only that no first cell holds, and no help by the audit."""
+    monkeypatch.setattr(descent, "_audit", lambda *_: 1.0)
+    first = descent.cells
+
+    def apart(nodes, count, dimension, seed, *more):
+        found = first(nodes, count, dimension, seed, *more)
+        group = (nodes.select("node", ((descent.F.col("node") >= 40).cast("int")).alias("side")))
+        return found if seed >= 1000 else found.join(group, "node").select("node", "tree", (descent.F.col("cell") * 2 + descent.F.col("side")).alias("cell"), "part")
+
+    monkeypatch.setattr(descent, "cells", apart)
+    rng = np.random.default_rng(4)
+    x = np.zeros((80, 24))
+    x[:40, 0] = x[40:, 1] = 1
+    x[40:, 0], x[40:, 1] = 0.8, 0.6
+    x += 0.01 * rng.standard_normal(x.shape)
+    angle = np.arccos(0.8)
+    x[0, :2], x[40, :2] = [np.cos(0.12 * angle), np.sin(0.12 * angle)], [np.cos(0.82 * angle), np.sin(0.82 * angle)]
+    x[[0, 40], 2:] = 0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near[:40, 40:].any() and near[:40, 40:].sum() < 80 and (near.sum(axis=1) >= 9).all()
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = descent.near_vectors(df, attempts=1).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {k: (near[k].sum(), 0) for k in range(80)}
