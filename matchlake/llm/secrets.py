@@ -12,6 +12,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -76,19 +77,24 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = REACH
         return []
     breaks = [m.start() for m in PARAGRAPH.finditer(text)]
 
-    def near(part: tuple[int, int], others: list[tuple[int, int]]) -> bool:
-        """Interval join: the other starts in the part's interval and paragraph."""
+    def near(part: tuple[int, int], others: list[tuple[int, int]], ends: list[int]) -> bool:
+        """Interval join: the other, by its whole span, reaches the part's interval in its paragraph.
+
+        ``others`` are sorted, ``ends`` their largest end so far; no part crosses a blank line.
+        """
         place = bisect_right(breaks, part[0])
-        low = max(part[0] - reach, breaks[place - 1] if place else 0)
+        low = max(part[0] - reach, breaks[place - 1] + 1 if place else 0)
         high = min(part[1] + reach, breaks[place] if place < len(breaks) else len(text))
-        k = bisect_left(others, (low, -1))
-        return any(o != part for o in others[k : k + 2] if o[0] < high)
+        k = bisect_left(others, (high, -1))
+        return k > 0 and ends[k - 1] >= low
 
     known = sorted(identifiers + access)
     secrets.sort()
-    out = [("identifier", *p) for p in identifiers if near(p, secrets)]
-    out += [("opaque", *p) for p in opaque if near(p, known)]
-    return out + [("endpoint", *p) for p in endpoints if near(p, known) and near(p, secrets)]
+    name = known, list(accumulate((b for _, b in known), max))
+    secret = secrets, list(accumulate((b for _, b in secrets), max))
+    out = [("identifier", *p) for p in identifiers if near(p, *secret)]
+    out += [("opaque", *p) for p in opaque if near(p, *name)]
+    return out + [("endpoint", *p) for p in endpoints if near(p, *name) and near(p, *secret)]
 
 
 def spans_of(text: str, reach: int = REACH) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -317,3 +317,11 @@ def test_near_duplicates_equal_sql(spark):
 def test_words_of_other_separators():
     found = Words(pa.array(["Foul-ish, thing!", "é1 x"]), toxicity.PARTS)
     assert [found.text(k) for k in range(len(found))] == ["foul", "ish", "thing", "é1", "x"]
+
+
+def test_long_secrets_reach_by_their_ends():
+    value = "Zx8Kq2Lm9Pw4Rt7Yv1" * 30  # longer than the reach
+    for text in (f"{value} login=zed host=db.example.com", f"login=zed host=db.example.com {value}"):
+        assert {kind for kind, _, _ in secrets.spans_of(text)[1]} == {"identifier", "opaque", "endpoint"}
+    assert secrets.spans_of(f"{value}\n\nlogin=zed")[1] == []
+    assert secrets.spans_of(f"{value} {'pad ' * 101} login=zed")[1] == []
