@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, descent, fingerprints, interpolation, kneser, minhash, packing, secrets, toxicity
+from . import bitpack, bpe, counts, descent, fingerprints, interpolation, kneser, minhash, packing, secrets, toxicity
 from .common import table
 
 #: The tokenizer's file; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+COUNTED = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count(table(spark, sf_dir, "documents"), COUNTED)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op1_quality_classifier,
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secret_scan,
         op9_deleted_interpolation,
         op10_fingerprints,
+        op13_token_counts,
     )
     return {f.__name__: f for f in listed}
 
