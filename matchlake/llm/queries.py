@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, counts, descent, fingerprints, interpolation, kneser, minhash, packing, secrets, toxicity
+from . import bitpack, bpe, codes, counts, descent, fingerprints, interpolation, kneser, minhash, packing, secrets, toxicity
 from .common import table
 
 #: The tokenizer's file; a parameter of the operators.
@@ -55,6 +55,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count(table(spark, sf_dir, "documents"), COUNTED)
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secret_scan,
         op9_deleted_interpolation,
         op10_fingerprints,
+        op12_vector_codes,
         op13_token_counts,
     )
     return {f.__name__: f for f in listed}
@@ -104,6 +109,40 @@ FROM documents d JOIN (SELECT doc_id, min(root) AS root FROM reached GROUP BY do
 """
 
 
+def vector_codes(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
+    """Every part against every entry, round by round; distance and entry travel as one number."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, p, any_value(x) AS x, min({entries} * list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x, c)]) + e) AS best
+  FROM parts JOIN b{r} USING (p) GROUP BY rid, p)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT p, e, list(mean ORDER BY j) AS c FROM (
+    SELECT p, best % {entries} AS e, j, CAST(floor(sum(x[j]) / count(*)) AS BIGINT) AS mean
+    FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS j FROM a{r}) GROUP BY ALL) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (p, e))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, [CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS MATERIALIZED (
+  SELECT rid, vec_id, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x
+  FROM (SELECT *, unnest(range({parts})) AS p FROM kept)),
+started AS (SELECT rid, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept WHERE vec_id IS NOT NULL ORDER BY vec_id, v LIMIT {entries}),
+b0 AS MATERIALIZED (SELECT p, e, x AS c FROM parts JOIN started USING (rid)),{",".join(steps)},
+coded AS (
+  SELECT rid, string_agg(printf('%02x', CAST(best % {entries} AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c[j] AS VARCHAR), ',' ORDER BY p, e, j)) FROM (SELECT p, e, c, unnest(range(1, len(c) + 1)) AS j FROM b{rounds})) AS codebooks_sha256
+FROM coded JOIN kept USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others need trained models, a tokenizer or hashes, which tests compare by brute force."""
-    return {"op4_minhash_near_duplicates": NEAR_DUPLICATES}
+    return {"op4_minhash_near_duplicates": NEAR_DUPLICATES, "op12_vector_codes": vector_codes()}
