@@ -7,50 +7,38 @@ from pyspark.sql import functions as F
 
 from matchlake.functions.clock import clock_seconds
 from matchlake.functions.text import points_in_text
-from matchlake.operators.scan import ordered_scan
+from matchlake.operators.scan import RANGE_ROWS, range_scan
 
 END_OF_GAME = "Game End"
 
 
-#: Stand for a missing period, clock or id in a segment: below all values, like null in the order.
-BEFORE_ALL = -(1 << 31)
-
-
 def _placed(plays: DataFrame) -> DataFrame:
-    """Add the order of play (period, most clock first, id) and its segments.
+    """Add the order of play: period, most clock first, id.
 
-    Every game is cut at every clock reading and every 2^20 ids. Missing periods,
-    clocks and ids come first. Plays equal in all three follow a hash of their
-    content. Plays that name no game have no place.
+    Missing periods, clocks and ids come first. Plays equal in all three follow a
+    hash of their content. Plays that name no game have no place.
     """
     play_id = F.coalesce("order_number", "action_id").cast("long")
-    rows = plays.filter(F.col("game_id").isNotNull()).withColumns(
+    return plays.filter(F.col("game_id").isNotNull()).withColumns(
         {
             "play_id": play_id,
             "clock_left": -clock_seconds(F.col("clock")),
             "tie": F.xxhash64(*plays.columns),
         }
     )
-    low = F.lit(BEFORE_ALL)
-    return rows.withColumns(
-        {
-            "seg_period": F.coalesce("period", low),
-            "seg_clock": F.coalesce("clock_left", low),
-            "seg_id": F.coalesce(F.shiftright("play_id", 20), low),
-        }
-    )
 
 
-_SEGMENT = ["seg_period", "seg_clock", "seg_id"]
 _ORDER = ["period", "clock_left", "play_id", "tie"]
-_WORK = [*_SEGMENT, "clock_left", "tie"]
+_WORK = ["clock_left", "tie"]
 
 
-def play_order(plays: DataFrame) -> DataFrame:
-    """Plays with ``play_id`` and their 1-based ``position`` in the game."""
-    out = ordered_scan(
-        _placed(plays), ["game_id"], _SEGMENT, _ORDER, {"position": ("count", None)}
-    )
+def play_order(plays: DataFrame, most: int = RANGE_ROWS) -> DataFrame:
+    """Plays with ``play_id`` and their 1-based ``position`` in the game.
+
+    A game of more than ``most`` plays is cut into ranges, here as in all that
+    follows the order of play.
+    """
+    out = range_scan(_placed(plays), ["game_id"], _ORDER, {"position": ("count", None)}, most)
     return out.drop(*_WORK)
 
 
@@ -79,7 +67,7 @@ def malformed_games(plays: DataFrame) -> DataFrame:
     return plays.filter(unreadable()).select("game_id").distinct()
 
 
-def game_states(games: DataFrame, plays: DataFrame) -> DataFrame:
+def game_states(games: DataFrame, plays: DataFrame, most: int = RANGE_ROWS) -> DataFrame:
     """One state per described play, for both feeds.
 
     The first play in order decides a game's feed. The running one reports
@@ -97,10 +85,9 @@ def game_states(games: DataFrame, plays: DataFrame) -> DataFrame:
         reported("score_away").alias("told_away"),
         *_WORK,
     )
-    scanned = ordered_scan(
+    scanned = range_scan(
         placed,
         ["game_id"],
-        _SEGMENT,
         _ORDER,
         {
             "running_feed": ("first", "is_running"),
@@ -109,6 +96,7 @@ def game_states(games: DataFrame, plays: DataFrame) -> DataFrame:
             "is_last": ("is_last", None),
             "is_spoilt": ("any", "is_unreadable"),
         },
+        most,
     ).filter(~F.col("is_spoilt"))
     home = F.when(F.col("running_feed"), F.col("told_home")).otherwise(
         F.coalesce("known_home", F.lit(0))
@@ -177,18 +165,18 @@ def player_events(games: DataFrame, plays: DataFrame) -> DataFrame:
     )
 
 
-def player_timeline(games: DataFrame, plays: DataFrame) -> DataFrame:
+def player_timeline(games: DataFrame, plays: DataFrame, most: int = RANGE_ROWS) -> DataFrame:
     """Points of a player as of each of their plays; 0 until first reported."""
     placed = _placed(player_events(games, plays)).select(
         "game_id", "side", "person_id", "player_name", "play_id", "period",
         "told_points", *_WORK,
     )
-    out = ordered_scan(
+    out = range_scan(
         placed,
         ["game_id", "side", "person_id"],
-        _SEGMENT,
         _ORDER,
         {"name": ("first", "player_name"), "latest": ("last", "told_points")},
+        most,
     )
     return out.select(
         "game_id", "play_id", "side", "person_id", "name",

@@ -1,4 +1,4 @@
-"""Ordered scans: groups cut into segments equal one plain window."""
+"""Ordered scans: groups cut into segments or ranges equal one plain window."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchlake.operators.scan import ordered_scan
+from matchlake.operators.scan import ordered_scan, range_cuts, range_scan
 
 WANTED = {
     "pos": ("count", None),
@@ -72,3 +72,67 @@ def test_null_safe_join_is_an_equi_join(rows):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def plain(rows, keys, order):
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(
+        "*",
+        F.row_number().over(w).cast("long").alias("pos"),
+        F.first("v").over(upto).alias("head"),
+        F.last("v", ignorenulls=True).over(upto).alias("latest"),
+        F.sum("v").over(upto).alias("total"),
+        F.lag("v").over(w).alias("prev"),
+        F.lead(F.lit(1)).over(w).isNull().alias("at_end"),
+        F.bool_or("odd").over(Window.partitionBy(*keys)).alias("some"),
+    )
+
+
+RANGED = {k: v for k, v in WANTED.items() if k != "top"} | {"total": ("sum", "v")}
+
+
+def canonical(df, key):
+    return df.toPandas().sort_values(key).reset_index(drop=True)
+
+
+@pytest.mark.parametrize("most", [3, 20, 70, 100000])
+def test_ranges_change_nothing(rows, most):
+    got = range_scan(rows, ["g"], ["at"], RANGED | {"top": ("max_before", "v")}, most)
+    want = plain(rows, ["g"], ["at"])
+    top = F.max("v").over(Window.partitionBy("g").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    want = want.withColumn("top", top)
+    a, b = canonical(got, ["g", "at"]), canonical(want, ["g", "at"])
+    assert sorted(a.columns) == sorted(b.columns) and a[b.columns].equals(b)
+
+
+@pytest.mark.parametrize("most", [4, 16])
+def test_ranges_with_nulls_and_ties(spark, most):
+    """Null keys and orders are values of their own; rows of one order stay together."""
+    rng = random.Random(5)
+    data = [(rng.choice([None, "a", "b"]), rng.choice([None, 1, 2, 3]), rng.choice([None, *range(30)]), k) for k in range(400)]
+    rows = spark.createDataFrame(data, "g string, p int, at int, v int").withColumn("odd", F.col("v") == 17)
+    order = ["p", "at", "v"]
+    a, b = canonical(range_scan(rows, ["g"], order, RANGED, most), ["v"]), canonical(plain(rows, ["g"], order), ["v"])
+    assert a[b.columns].equals(b)
+    tied = range_scan(rows.withColumn("v", F.lit(1)), ["g"], ["p"], {"pos": ("count", None)}, most)
+    found = tied.groupBy("g").agg(F.count_distinct("pos").alias("d"), F.count("*").alias("n"), F.max("pos").alias("m"))
+    assert all(r.d == r.n == r.m for r in found.collect())
+
+
+def test_only_large_groups_are_cut(rows):
+    assert range_cuts(rows, ["g"], ["at"], 400) is None
+    assert range_scan(rows.limit(0), ["g"], ["at"], {"pos": ("count", None)}, 4).count() == 0
+    cuts = range_cuts(rows, ["g"], ["at"], 40).collect()
+    assert [r["__h_g"] for r in cuts] == ["hot"] and len(cuts[0].cuts) >= 5
+    assert [c.at for c in cuts[0].cuts] == sorted({c.at for c in cuts[0].cuts})
+
+
+def test_nothing_as_long_as_the_rows_is_joined(rows):
+    out = range_scan(rows, ["g"], ["at"], {"pos": ("count", None)}, 40)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert not any(kind in plan for kind in ("SortMergeJoin", "ShuffledHashJoin", "NestedLoop", "CartesianProduct"))
+    whole = range_scan(rows, ["g"], ["at"], {"pos": ("count", None)})
+    assert "Join" not in whole._jdf.queryExecution().executedPlan().toString()

@@ -1,9 +1,10 @@
-"""Play lists → states, on hand-built games and on a game cut into segments."""
+"""Play lists → states, on hand-built games and on a game cut into ranges."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from matchlake.operators import states as s
+from matchlake.operators.scan import range_cuts
 
 PLAY = (
     "game_id long, order_number long, action_id long, period int, clock string, score_home string, "
@@ -154,8 +155,9 @@ def test_order_with_missing_and_repeated_places(spark):
     assert [r.description for r in again] == [r.description for r in found]
 
 
-def test_one_game_with_a_third_of_all_plays(spark):
-    """A busy game takes the path of every other and equals a plain pass over its plays."""
+@pytest.mark.parametrize("most", [1 << 20, 200])
+def test_one_game_with_a_third_of_all_plays(spark, most):
+    """A busy game, whole or over at least five ranges, equals a plain pass over its plays."""
     busy = [
         other(1, n, 1 + n // 500, f"PT{11 - n % 500 // 50:02d}M{59 - n % 50:02d}.00S",
               str(n) if n % 7 == 0 else "", "", f"x ({n} PTS)", "HOM", n % 3, "P")
@@ -170,8 +172,11 @@ def test_one_game_with_a_third_of_all_plays(spark):
         "game_id", F.lit("2024-10-22 19:00:00").cast("timestamp_ntz").alias("start"),
         F.lit("HOM").alias("home_team"), F.lit("AWY").alias("away_team"),
     )
-    got = {(r.game_id, r.play_id): r.home_score for r in s.game_states(games, plays).collect()}
-    points = {(r.game_id, r.play_id): r.points for r in s.player_timeline(games, plays).filter("game_id = 1").collect()}
+    got = {(r.game_id, r.play_id): r.home_score for r in s.game_states(games, plays, most).collect()}
+    points = {(r.game_id, r.play_id): r.points for r in s.player_timeline(games, plays, most).filter("game_id = 1").collect()}
+    if most == 200:
+        cut = range_cuts(s._placed(plays), ["game_id"], s._ORDER, most).collect()
+        assert len(cut) == 1 and len(cut[0].cuts) >= 4
     want, told = {}, {}
     for game, ordered in in_order(plays).items():
         home, known = 0, {}
