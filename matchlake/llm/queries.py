@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, codes, counts, descent, fingerprints, interpolation, kneser, minhash, packing, secrets, toxicity
+from . import bitpack, bpe, codes, counts, descent, dialogue, fingerprints, interpolation, kneser, minhash, packing, secrets, toxicity
 from .common import table
 
 #: The tokenizer's file; a parameter of the operators.
@@ -55,6 +55,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(table(spark, sf_dir, "conversations"), damage=True).summary
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encode(table(spark, sf_dir, "embeddings"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secret_scan,
         op9_deleted_interpolation,
         op10_fingerprints,
+        op11_conversation_repair,
         op12_vector_codes,
         op13_token_counts,
     )
