@@ -213,7 +213,7 @@ def range_scan(
     keys: list[str],
     order: list[str],
     wanted: dict[str, tuple[str, str | None]],
-    most: int = RANGE_ROWS,
+    most: int | None = RANGE_ROWS,
 ) -> DataFrame:
     """Add running columns to ``rows``, see ``ordered_scan`` for ``wanted`` and nulls.
 
@@ -221,9 +221,9 @@ def range_scan(
     of up to ``most`` rows are scanned whole. Larger ones are cut into ranges of their
     order, each scanned by itself; what earlier ranges hold comes from one row per
     range, broadcast. Rows equal in all of ``order`` share a range, so name enough
-    columns. The order of play of a group is the same either way.
+    columns. ``most`` of None says that no group is too large, and spares the count.
     """
-    cuts = range_cuts(rows, keys, order, most)
+    cuts = None if most is None else range_cuts(rows, keys, order, most)
     group = [*keys]
     held = rows
     if cuts is not None:
