@@ -62,7 +62,7 @@ def test_minhash_equals_all_pairs(spark, block):
     pairs = [(a, b) for a in sets for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     want = brute(pairs, sets)
     df = spark.createDataFrame([(k, t, True, 1) for k, t in enumerate(texts)], "doc_id long, text string, kept boolean, component_id int")
-    found = minhash.near_duplicates(df, block=block).collect()
+    found = minhash.near_duplicates(df, block=block, percent=85).collect()
     assert sorted(r.doc_id for r in found) == sorted(sets)
     for r in found:
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
