@@ -29,6 +29,7 @@ from matchlake.operators import (
 from matchlake.plans import landed
 from matchlake.sources import contest, payloads
 from matchlake.sources.shared import materialized, new_folder
+from matchlake.sources.store import BucketStore
 from matchlake.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -701,7 +702,11 @@ def _(t):
 def _(t):
     kept = ["game_id", "play_id", "home_score", "away_score"]
     old = t.states.select(*kept)
-    return sync.replace_groups(old, landed.collected_again(old, t.games))
+    again = materialized(landed.collected_again(old, t.games), "again")
+    store = BucketStore(t.spark, "states", ("game_id",))
+    store.append(old, 0)
+    store.replace(again, 1)
+    return store.read()
 
 
 @query("sync_schedule")

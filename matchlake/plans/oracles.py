@@ -775,12 +775,12 @@ delivered AS (
             round(CASE WHEN pred_home_score > 100 THEN pred_home_score + 1 ELSE pred_home_score END, 6) AS pred_home_score,
             round(pred_away_score, 6) AS pred_away_score, round(pred_home_win_pct, 6) AS pred_home_win_pct
           FROM predictions""",
-        "sink_replace_group": """SELECT game_id, CAST(play_id AS BIGINT) AS play_id,
-            CAST(home_score + CASE WHEN again THEN 1 ELSE 0 END AS BIGINT) AS home_score,
-            CAST(away_score AS BIGINT) AS away_score
-          FROM (SELECT *, game_id IN (SELECT g.game_id FROM games g JOIN states f USING (game_id)
-            WHERE g.status = 'In Progress' AND f.play_id <= 4) AS again FROM states)
-          WHERE NOT again OR play_id <= 4""",
+        "sink_replace_group": """SELECT s.game_id, CAST(s.play_id AS BIGINT) AS play_id,
+            CAST(s.home_score + CASE WHEN t.game_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS home_score,
+            CAST(s.away_score AS BIGINT) AS away_score
+          FROM states s LEFT JOIN (SELECT DISTINCT g.game_id FROM games g JOIN states f ON g.game_id = f.game_id
+            WHERE g.status = 'In Progress' AND f.play_id <= 4) t ON s.game_id = t.game_id
+          WHERE t.game_id IS NULL OR s.play_id <= 4""",
         "sync_guard": """SELECT 'all' AS delivery, count(*) AS rows, 0::BIGINT AS broken, 'mixed seasons' AS verdict FROM games
           UNION ALL SELECT 'one', count(*), 0, 'accept' FROM games WHERE season = '1997-1998'
           UNION ALL SELECT 'none', 0, 0, 'empty'""",

@@ -19,6 +19,7 @@ from matchlake.functions.text import points_in_text
 from matchlake.operators.predict import live_predictions, newest
 from matchlake.operators.states import END_OF_GAME, reported, unreadable
 from matchlake.sources.shared import new_folder
+from matchlake.sources.store import BUCKETS, DELTAS, BucketStore
 
 SALTS = 8
 
@@ -205,24 +206,30 @@ def publish_whole(
     derive: Callable[[DataFrame], DataFrame],
     keys: tuple[str, ...] = ("game_id",),
     folder: str | None = None,
+    buckets: int = BUCKETS,
+    deltas: int = DELTAS,
 ) -> str:
     """Keep what is delivered, and derive each touched group from all of its rows so far.
 
     A group may arrive in any number of parts: each micro-batch derives the groups
-    it touches anew, and readers take a group's newest batch, see ``published``. A
-    retried batch rewrites its own folders and sees none that came after it.
+    it touches anew, and readers take a group's newest batch, see ``published``.
+    Deliveries lie by hash bucket of the keys; a micro-batch reads the buckets it
+    touches and no others, and every ``deltas`` batches a bucket's deliveries become
+    one. A retried batch rewrites its own folders and sees none that came after it.
     """
     spark = stream.sparkSession
     folder = folder or new_folder(spark, name)
+    store = BucketStore(spark, name, keys, buckets, f"{folder}/delivered")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/delivered/batch={batch_id}")
-        delivered = spark.read.option("basePath", f"{folder}/delivered").parquet(
-            f"{folder}/delivered/batch=*"
-        ).filter(F.col("batch") <= batch_id)
-        touched = delivered.filter(F.col("batch") == batch_id).select(*keys).distinct()
-        rows = derive(delivered.drop("batch").join(touched, [*keys], "left_semi"))
-        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        store.append(batch, batch_id)
+        store.compact(batch_id, deltas)
+        touched = store.touched(batch_id)
+        if not touched:
+            return
+        groups = store.read_version(batch_id).select(*keys).distinct()
+        seen = store.read(touched, batch_id).join(groups, [*keys], "left_semi")
+        derive(seen).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
     query = (
         stream.writeStream.outputMode("append")
