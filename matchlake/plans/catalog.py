@@ -30,7 +30,7 @@ from matchlake.plans import landed
 from matchlake.sources import contest, payloads
 from matchlake.sources.shared import materialized, new_folder
 from matchlake.sources.store import BucketStore
-from matchlake.streaming import live
+from matchlake.streaming import closing, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -990,3 +990,55 @@ def _(t):
 
     folder = live.publish_whole(_lines_stream(t), "published", derive, ("l_orderkey",))
     return live.published(t.spark, folder, "game_id")
+
+
+#: Files of one delivery, all read by one micro-batch.
+FILES = 4
+#: Days that plays may be late, and days after its start that a game without an end is closed.
+LATE_DAYS, HOLD_DAYS = 30, 60
+#: Days that lines may be shipped before the newest line of earlier deliveries.
+SHIP_DAYS = 300
+
+
+def _deliveries(t: Tables, rows: DataFrame, number: Column) -> DataFrame:
+    """Rows as a stream, one micro-batch per number, in ascending order."""
+    path = f"{new_folder(t.spark, 'deliveries')}/rows.parquet"
+    held = materialized(rows.withColumn("delivery", number), "rows")
+    for k in range(DELIVERIES):  # the source reads files in the order in which they were written
+        held.filter(F.col("delivery") == k).drop("delivery").repartition(FILES).write.mode("append").parquet(path)
+    return live.read_stream(t.spark, path, files_per_batch=FILES)
+
+
+@query("stream_finalize")
+def _(t):
+    moment = F.col("start").cast("timestamp")
+    told = t.plays.select("game_id", "order_number", "description", "sub_type").join(
+        t.games.select("game_id", moment.alias("start")), "game_id"
+    )
+    seconds = F.unix_timestamp(moment)
+    cuts = t.games.agg(F.percentile_approx(seconds, [k / DELIVERIES for k in range(1, DELIVERIES)])).first()[0]
+    number = reduce(lambda n, c: n + (F.unix_timestamp("start") > c).cast("int"), cuts, F.lit(0))
+    stream = _deliveries(t, told, number)
+    folder = closing.close_games(stream, "closed", f"{LATE_DAYS} days", HOLD_DAYS * 86400)
+    done = closing.finalized(t.games, closing.closings(t.spark, folder))
+    return done.select("game_id", "game_data_finalized", "reason")
+
+
+def _split(t: Tables) -> BucketStore:
+    told = t.raw("lineitem").select(
+        F.col("l_orderkey").alias("game_id"),
+        F.col("l_linenumber").cast("long").alias("play_id"),
+        F.col("l_shipdate").cast("timestamp").alias("moment"),
+    )
+    number = (F.col("game_id") + F.col("play_id")) % DELIVERIES
+    return live.publish_split(_deliveries(t, told, number), "split", "moment", f"{SHIP_DAYS} days")
+
+
+@query("stream_late")
+def _(t):
+    return live.late_rows(t.spark, _split(t)).select("game_id", "play_id", "moment", "batch")
+
+
+@query("stream_repaired")
+def _(t):
+    return live.repaired(t.spark, _split(t)).select("game_id", "play_id")

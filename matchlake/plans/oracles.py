@@ -853,6 +853,20 @@ delivered AS (
           {season_fault(r'^\d{4}-\d{2}$', f"(try_cast(substr(any_season, 1, 4) AS INTEGER) // 100 * 100 + {tail})",
                         'short_fault')} FROM any_texts""",
         "stream_dedup": "SELECT DISTINCT game_id, play_id FROM raw_lines",
+        "stream_repaired": "SELECT DISTINCT game_id, play_id FROM raw_lines",
+        "stream_late": """SELECT game_id, play_id, strftime(m, '%Y-%m-%d %H:%M:%S') AS moment, k AS batch
+          FROM (SELECT l_orderkey AS game_id, CAST(l_linenumber AS BIGINT) AS play_id, l_shipdate AS m,
+              (l_orderkey + l_linenumber) % 3 AS k FROM lineitem) d
+          JOIN (SELECT k AS after, max(hi) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS hi
+            FROM (SELECT (l_orderkey + l_linenumber) % 3 AS k, max(l_shipdate) AS hi FROM lineitem GROUP BY k)) w
+            ON d.k = w.after
+          WHERE m <= hi - INTERVAL 300 DAY""",
+        "stream_finalize": """SELECT g.game_id, game_data_finalized OR coalesce(e.ended, false) AS game_data_finalized,
+            CASE WHEN e.ended THEN 'final play'
+              WHEN e.game_id IS NOT NULL AND g.start + INTERVAL 60 DAY < (SELECT max(start) FROM games JOIN states USING (game_id))
+                - INTERVAL 30 DAY THEN 'timer' END AS reason
+          FROM games g LEFT JOIN (SELECT game_id, bool_or(is_final_state) AS ended FROM states GROUP BY game_id) e
+            ON g.game_id = e.game_id""",
     }
     out = {k: _sql(v) for k, v in plain.items() if not v.startswith("WITH")}
     out |= {k: v for k, v in plain.items() if v.startswith("WITH")}

@@ -49,7 +49,7 @@ class BucketStore:
 
     def _files(self) -> DataFrame:
         path = f"{self.folder}/rows"
-        if self.columns is None:
+        if self.columns is None:  # another session wrote them
             self.columns = list(self.spark.read.parquet(path).drop(*_PLACE).schema)
         kinds = ("kind string", "bucket int", "version long")
         columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in self.columns]
@@ -79,6 +79,10 @@ class BucketStore:
         """Buckets that a delivery added to."""
         return sorted(b for kind, b, v in self._folders() if kind == "delta" and v == version)
 
+    def buckets_of(self, rows: DataFrame) -> list[int]:
+        """Buckets that the groups of ``rows`` lie in, at most ``buckets``."""
+        return sorted(r["b"] for r in rows.select(self.bucket().alias("b")).distinct().collect())
+
     def read(self, buckets: list[int] | None = None, upto: int = (1 << 62)) -> DataFrame:
         """All rows of these buckets (of all without them) as of a version."""
         files = self._files()
@@ -104,8 +108,7 @@ class BucketStore:
         Only buckets that ``rows`` touch are read and written.
         """
         groups = rows.select(*self.keys).distinct()
-        touched = sorted(r["b"] for r in groups.select(self.bucket().alias("b")).distinct().collect())
-        stays = self.read(touched, version - 1).join(groups, list(self.keys), "left_anti")
+        stays = self.read(self.buckets_of(groups), version - 1).join(groups, list(self.keys), "left_anti")
         self._write(stays.unionByName(rows), "base", version)
 
     def compact(self, upto: int, after: int = DELTAS) -> None:

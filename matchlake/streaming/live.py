@@ -18,7 +18,7 @@ from matchlake.functions.clock import clock_seconds
 from matchlake.functions.text import points_in_text
 from matchlake.operators.predict import live_predictions, newest
 from matchlake.operators.states import END_OF_GAME, reported, unreadable
-from matchlake.sources.shared import new_folder
+from matchlake.sources.shared import materialized, new_folder
 from matchlake.sources.store import BUCKETS, DELTAS, BucketStore
 
 SALTS = 8
@@ -189,14 +189,7 @@ def publish(
         rows = batch if transform is None else transform(batch)
         rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    _run(stream, write, folder, mode)
     return folder
 
 
@@ -231,15 +224,75 @@ def publish_whole(
         seen = store.read(touched, batch_id).join(groups, [*keys], "left_semi")
         derive(seen).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
+    _run(stream, write, folder)
+    return folder
+
+
+def publish_split(
+    stream: DataFrame,
+    name: str,
+    moment: str,
+    delay: str,
+    keys: tuple[str, ...] = ("game_id", "play_id"),
+    folder: str | None = None,
+    buckets: int = BUCKETS,
+) -> BucketStore:
+    """Keep each key's first row that is not late, and set late rows aside.
+
+    A row is late if its moment is at or before the watermark of its micro-batch. That
+    is the latest moment of all but the last of the earlier ones, less the delay: the
+    engine's own operators drop rows by the watermark of the batch before, and here the
+    same rows are late. A null moment is never late. Rows that repeat
+    a key of their own batch or of the store are left out. Late rows lie under
+    ``late``, see ``late_rows``, and the rest in the store that is returned; a
+    retried batch rewrites its own folders only.
+    """
+    spark = stream.sparkSession
+    folder = folder or new_folder(spark, name)
+    store = BucketStore(spark, name, keys, buckets, f"{folder}/kept")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        latest = batch.agg(F.max(moment).cast("timestamp").alias("latest"))
+        latest.write.mode("overwrite").parquet(f"{folder}/marks/batch={batch_id}")
+        marks = spark.read.parquet(f"{folder}/marks").filter(F.col("batch") < batch_id - 1)
+        edge = marks.select((F.max("latest") - F.expr(f"INTERVAL {delay}")).alias("edge")).first()["edge"]
+        is_late = F.coalesce(F.col(moment) <= F.lit(edge).cast("timestamp"), F.lit(False))
+        batch.filter(is_late).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+        new = batch.filter(~is_late).dropDuplicates([*keys])
+        if batch_id:
+            known = store.read(store.buckets_of(new), batch_id - 1).select(*keys)
+            new = new.join(known, [*keys], "left_anti")
+        store.append(new, batch_id)
+
+    _run(stream, write, folder)
+    return store
+
+
+def late_rows(spark: SparkSession, store: BucketStore) -> DataFrame:
+    """Rows that arrived behind the watermark, with the micro-batch that brought them."""
+    folder = store.folder.removesuffix("/kept")
+    return spark.read.option("basePath", f"{folder}/late").parquet(f"{folder}/late/batch=*")
+
+
+def repaired(spark: SparkSession, store: BucketStore) -> DataFrame:
+    """Kept rows, and of late ones the first of each key that was not kept."""
+    keys = list(store.keys)
+    late = late_rows(spark, store)
+    rest = [c for c in late.columns if c not in (*keys, "batch")]
+    first = late.groupBy(*keys).agg(F.min(F.struct("batch", *rest)).alias("first")).select(*keys, *[F.col(f"first.{c}").alias(c) for c in rest])
+    kept = store.read()
+    return kept.unionByName(first.join(kept.select(*keys), keys, "left_anti").select(*kept.columns))
+
+
+def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
     query = (
-        stream.writeStream.outputMode("append")
+        stream.writeStream.outputMode(mode)
         .foreachBatch(write)
         .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return folder
 
 
 def published(spark: SparkSession, folder: str, *keys: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchlake.operators import states as s
-from matchlake.streaming import live
+from matchlake.streaming import closing, live
 from test_states import PLAY, other, running
 
 SCHEDULE = "game_id long, start string, home_team string, away_team string"
@@ -137,3 +137,74 @@ def test_players_stream_equals_batch(spark, tmp_path, schedule):
     want = s.players_snapshot(schedule, spark.read.parquet(path))
     as_rows = lambda frame: sorted(tuple(r) for r in frame.select("game_id", "side", "person_id", "name", "points").collect())
     assert as_rows(got) == as_rows(want) == [(1, "home", 11, "A. One", 4), (2, "away", 22, "B. Two", 7)]
+
+
+SPLIT = [
+    [(1, 1, "2024-10-21 19:00:00"), (2, 1, "2024-10-21 23:00:00"), (2, 1, "2024-10-21 23:00:00")],
+    [(1, 2, "2024-10-21 19:30:00"), (3, 1, "2024-10-21 23:30:00"), (1, 3, "2024-10-21 22:00:00"), (4, 1, None)],
+    [(1, 2, "2024-10-21 19:31:00"), (1, 1, "2024-10-21 19:00:00"), (3, 1, "2024-10-21 23:30:00"), (5, 1, "2024-10-21 22:31:00"),
+     (6, 1, "2024-10-21 20:00:00"), (6, 1, "2024-10-21 22:00:00"), (6, 2, "2024-10-21 22:00:01")],
+]
+
+
+def split(spark, tmp_path, batches=SPLIT):
+    path = landed(spark, tmp_path, batches, "game_id long, play_id long, at string")
+    stream = live.read_stream(spark, path, 1).withColumn("at", F.col("at").cast("timestamp"))
+    return live.publish_split(stream, "t", "at", "1 hour", folder=str(tmp_path / "out"))
+
+
+def test_late_plays_are_set_aside_and_repaired(spark, tmp_path):
+    store = split(spark, tmp_path)
+    late = sorted((r.game_id, r.play_id, r.batch) for r in live.late_rows(spark, store).collect())
+    assert late == [(1, 1, 2), (1, 2, 2), (6, 1, 2), (6, 1, 2)]  # at the watermark is late as well
+    kept = sorted((r.game_id, r.play_id) for r in store.read().collect())
+    assert kept == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2)]
+    rows = {(r.game_id, r.play_id): str(r["at"]) for r in live.repaired(spark, store).collect()}
+    assert sorted(rows) == sorted({(g, p) for b in SPLIT for g, p, _ in b})
+    assert rows[1, 2].endswith("19:30:00") and rows[6, 1].endswith("20:00:00")  # the first that arrived
+    assert live.repaired(spark, store).count() == len(rows)
+
+
+def test_late_plays_are_those_that_the_engine_drops(spark, tmp_path):
+    """Kept rows are those of the built-in duplicate filter behind the same watermark."""
+    batches = [[r for r in b if r[2]] for b in SPLIT]
+    store = split(spark, tmp_path, batches)
+    path = f"{tmp_path}/plays.parquet"
+    stream = live.read_stream(spark, path, 1).withColumn("at", F.col("at").cast("timestamp"))
+    folder = live.publish(live.first_deliveries(stream, "at", "1 hour"), "t", mode="append", folder=str(tmp_path / "engine"))
+    got = sorted((r.game_id, r.play_id) for r in live.published(spark, folder).collect())
+    assert got == sorted((r.game_id, r.play_id) for r in store.read().collect())
+
+
+def closed(spark, tmp_path, batches):
+    schema = "game_id long, start string, order_number long, action_id long, description string, sub_type string"
+    path = landed(spark, tmp_path, batches, schema)
+    stream = live.read_stream(spark, path, 1).withColumn("start", F.col("start").cast("timestamp"))
+    folder = closing.close_games(stream, "t", "1 day", 5 * 86400, folder=str(tmp_path / "out"))
+    left = spark.read.format("statestore").option("stateVarName", "game").load(f"{folder}/progress")
+    return folder, sorted(r.key.game_id for r in left.collect())
+
+
+def test_games_close_at_their_final_play_or_by_a_timer(spark, tmp_path):
+    early, later, last = "2024-10-01 19:00:00", "2024-12-01 19:00:00", "2025-03-01 19:00:00"
+    batches = [
+        [(1, early, 1, None, "x", None), (2, early, None, 1, "x", None), (3, early, None, 1, "x", "end"), (6, early, 1, None, None, "end")],
+        [(1, early, 2, None, "Game End", None), (4, later, None, 1, None, "end"), (7, early, 1, None, "x", None)],
+        [(5, last, 1, None, "x", None)],
+    ]
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    folder, left = closed(spark, tmp_path, batches)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider
+    got = {r.game_id: (r.is_final, r.reason, r.plays) for r in closing.closings(spark, folder).collect()}
+    timer = (False, "timer", 1)
+    assert got == {1: (True, "final play", 2), 2: timer, 3: (True, "final play", 1), 4: timer, 6: timer, 7: timer}
+    assert left == [5]
+    games = spark.createDataFrame([(1, False), (2, False), (5, True), (9, False)], "game_id long, game_data_finalized boolean")
+    done = {r.game_id: (r.game_data_finalized, r.reason) for r in closing.finalized(games, closing.closings(spark, folder)).collect()}
+    assert done == {1: (True, "final play"), 2: (False, "timer"), 5: (True, None), 9: (False, None)}
+
+
+def test_the_store_is_empty_when_all_games_have_ended(spark, tmp_path):
+    day = "2024-10-01 19:00:00"
+    folder, left = closed(spark, tmp_path, [[(g, day, 1, None, "x", None) for g in range(9)], [(g, day, 2, None, "Game End", None) for g in range(9)]])
+    assert left == [] and closing.closings(spark, folder).filter("is_final AND plays = 2").count() == 9
