@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.seasons import COUNTED_SEASON_TYPES
+from matchlake.operators.scan import RANGE_ROWS, range_scan
 
 TEAM = ["season", "team"]
+#: Earlier games on one page of a list.
+PAGE_GAMES = 50
 
 
 def counted(games: DataFrame) -> Column:
@@ -99,23 +102,68 @@ def prior_counts(games: DataFrame, finals: DataFrame) -> DataFrame:
     )
 
 
-def prior_rows(games: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Earlier counted games of both sides of the wanted games, one row each.
+def _asked(games: DataFrame, wanted: DataFrame) -> DataFrame:
+    return team_rows(games.join(wanted.select("game_id").distinct(), "game_id", "left_semi"))
 
-    Grows with (wanted games × games per team and season): pass the few games
-    asked for. Whole-season features never need it, see ``totals_before``.
+
+def prior_lists(
+    games: DataFrame,
+    finals: DataFrame,
+    wanted: DataFrame,
+    page_games: int = PAGE_GAMES,
+    most: int = RANGE_ROWS,
+) -> DataFrame:
+    """The earlier counted games of both sides of the wanted games, oldest first, in pages.
+
+    One row per game, side and page: ``prior_ids`` (by start, then id) and ``missing_ids``
+    (those of them without a final state). A team's season is numbered and cut into pages
+    once. What a game asks for is a beginning of that numbering: whole pages, and a part
+    of the last one. So asked games join pages, on (season, team, page), each pair is a
+    row of the result, and a busy team is spread over its pages. Sides without earlier
+    games have no row.
     """
-    ask = team_rows(games.join(wanted.select("game_id").distinct(), "game_id", "left_semi"))
-    have = team_rows(games.filter(counted(games))).select(
-        *TEAM, F.col("game_id").alias("prior_id"), F.col("start").alias("prior_start")
+    known = finals.select(F.col("game_id").alias("prior_id"), F.lit(True).alias("has_final")).distinct()
+    played = team_rows(games.filter(counted(games))).filter("season IS NOT NULL AND team IS NOT NULL AND start IS NOT NULL")
+    have = played.select(*TEAM, F.col("game_id").alias("prior_id"), F.col("start").alias("prior_start"))
+    ranked = range_scan(have, TEAM, ["prior_start", "prior_id"], {"place": ("count", None)}, most)
+    page = F.floor((F.col("place") - 1) / page_games).alias("page")
+    entry = F.struct("place", "prior_id", "prior_start", F.coalesce("has_final", F.lit(False)).alias("has_final"))
+    pages = (
+        ranked.join(known, "prior_id", "left")
+        .groupBy(*TEAM, page)
+        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     )
+    asked = _asked(games, wanted)
+    # A start at which no counted game was played has a place among those that were.
+    marked = sums_per_start(played.select(*TEAM, "start", F.lit(1).alias("n")).unionByName(asked.select(*TEAM, "start", F.lit(0).alias("n"))), {"n": F.col("n")})
+    earlier = Window.partitionBy(*TEAM).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = marked.select(*TEAM, "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("needed"))
+    last = F.floor((F.col("needed") - 1) / page_games)
+    reached = asked.join(before.filter("needed > 0"), [*TEAM, "start"]).withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    inside = F.filter("entries", lambda e: e["prior_start"] < F.col("start"))
     return (
-        ask.join(have, TEAM)
-        .filter(F.col("prior_start") < F.col("start"))
-        .select("game_id", "side", "prior_id", "prior_start")
+        reached.join(pages, [*TEAM, "page"])
+        .withColumn("entries", inside)
+        .select(
+            "game_id",
+            "side",
+            "page",
+            F.transform("entries", lambda e: e["prior_id"]).alias("prior_ids"),
+            F.transform(F.filter("entries", lambda e: ~e["has_final"]), lambda e: e["prior_id"]).alias("missing_ids"),
+        )
     )
 
 
+def prior_ids(games: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The distinct games that the wanted games' lists hold, without forming the lists.
+
+    They are a team's counted games of a season before the latest start that is asked for.
+    """
+    latest = _asked(games, wanted).groupBy(*TEAM).agg(F.max("start").alias("latest"))
+    have = team_rows(games.filter(counted(games)))
+    return have.join(latest, TEAM).filter(F.col("start") < F.col("latest")).select("game_id").distinct()
+
+
 def games_needing_pregame(games: DataFrame) -> DataFrame:
     """Counted games without pre-game data that can have it now.
 

@@ -231,6 +231,18 @@ def _(t):
     return features.widen_features(_stored(t).join(_wanted(t), "game_id", "left_semi"))
 
 
+@query("prior_lists")
+def _(t):
+    pages = history.prior_lists(t.games, t.finals, _wanted(t))
+    listed = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("prior_ids", "missing_ids")]
+    return pages.select("game_id", "side", "page", *listed)
+
+
+@query("prior_ids")
+def _(t):
+    return history.prior_ids(t.games, _wanted(t))
+
+
 @query("season_subset")
 def _(t):
     allowed = t.games.filter(F.col("start") < F.lit("2000-01-01").cast("timestamp_ntz"))

@@ -635,6 +635,17 @@ delivered AS (
     plain = {
         "prior_games": f"SELECT game_id, side, season, team, {_START}, needed FROM priors",
         "prior_states": "SELECT game_id, side, needed, loaded FROM priors",
+        "prior_lists": f"""SELECT game_id, side, CAST((n - 1) // 50 AS BIGINT) AS page,
+            string_agg(CAST(prior AS VARCHAR), ',' ORDER BY n) AS prior_ids,
+            coalesce(string_agg(CAST(prior AS VARCHAR), ',' ORDER BY n) FILTER (WHERE NOT told), '') AS missing_ids
+          FROM (SELECT a.game_id, a.side, p.game_id AS prior, EXISTS (SELECT 1 FROM finals f WHERE f.game_id = p.game_id) AS told,
+              row_number() OVER (PARTITION BY a.game_id, a.side ORDER BY p.start, p.game_id) AS n
+            FROM sides a JOIN sides p ON p.season = a.season AND p.team = a.team AND p.start < a.start AND p.{_COUNTED}
+            WHERE a.game_id IN (SELECT c_custkey * 20 FROM customer))
+          GROUP BY ALL""",
+        "prior_ids": f"""SELECT DISTINCT p.game_id
+          FROM sides a JOIN sides p ON p.season = a.season AND p.team = a.team AND p.start < a.start AND p.{_COUNTED}
+          WHERE a.game_id IN (SELECT c_custkey * 20 FROM customer)""",
         "prior_missing": "SELECT game_id, side FROM priors WHERE needed > 0 AND loaded = 0",
         "need_pregame": f"""SELECT game_id FROM games WHERE {_COUNTED} AND NOT pre_game_data_finalized
             AND status IN ('Completed', 'In Progress')

@@ -112,12 +112,15 @@ def test_features_match_recomputation(spark, seed, hot):
     assert set(got.index) == expected
 
 
-def test_histories(spark):
+@pytest.mark.parametrize("page,most", [(50, 1 << 20), (3, 8)])
+def test_histories(spark, page, most):
+    """Counts and lists of earlier games; pages end where they should, a busy season is cut."""
     pdf = schedule(9)
     games, finals = loaded(spark, pdf)
     counts = history.prior_counts(games, finals).toPandas().set_index(["game_id", "side"])
     wanted = games.filter("game_id IN (17, 100, 101, 102)")
-    listed = history.prior_rows(games, wanted).toPandas()
+    lists = {(r.game_id, r.side, r.page): r for r in history.prior_lists(games, finals, wanted, page, most).collect()}
+    used = set()
     for g in pdf.itertuples():
         for side, team in (("home", g.home_team), ("away", g.away_team)):
             every, known = priors(pdf, g, team, False), priors(pdf, g, team)
@@ -125,8 +128,12 @@ def test_histories(spark):
             assert (row.needed, row.loaded) == (len(every), len(known))
             assert row.is_missing == (len(every) > 0 and len(known) == 0)
             if g.game_id in (17, 100, 101, 102):
-                mine = listed[(listed.game_id == g.game_id) & (listed.side == side)]
-                assert set(mine.prior_id) == set(every.game_id)
+                want = every.sort_values(["start", "game_id"]).game_id.tolist()
+                cut = [want[k : k + page] for k in range(0, len(want), page)]
+                assert [lists.pop((g.game_id, side, k)).prior_ids for k in range(len(cut))] == cut
+                used |= set(want)
+    assert not lists and len(used) > 3
+    assert {r.game_id for r in history.prior_ids(games, wanted).collect()} == used
     flags = queues.finalize_pregame(games, history.prior_counts(games, finals)).toPandas().set_index("game_id").sort_index()
     missing = counts.groupby("game_id")["is_missing"].any().sort_index()
     assert (flags.pre_game_data_finalized == ~missing).all()
