@@ -206,7 +206,9 @@ def feature_json(rows: DataFrame) -> DataFrame:
 
 
 def widen_features(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Parse ``feature_set`` into one DOUBLE column per feature."""
-    schema = ", ".join(f"`{n}` DOUBLE" for n in names or FEATURES)
-    parsed = rows.withColumn("__f", F.from_json("feature_set", schema))
-    return parsed.select(*[c for c in rows.columns if c != "feature_set"], "__f.*")
+    """Parse ``feature_set`` into one DOUBLE column per feature; each row is parsed once."""
+    names = names or FEATURES
+    texts = [f"__{k}" for k in range(len(names))]
+    kept = [c for c in rows.columns if c != "feature_set"]
+    parsed = rows.select(*kept, F.json_tuple("feature_set", *names).alias(*texts))
+    return parsed.select(*kept, *[F.col(x).try_cast("double").alias(n) for x, n in zip(texts, names, strict=True)])

@@ -18,6 +18,7 @@ from matchlake.operators import (
     history,
     models,
     predict,
+    pregame,
     quality,
     queues,
     repair,
@@ -29,7 +30,7 @@ from matchlake.operators import (
 from matchlake.plans import landed
 from matchlake.sources import contest, payloads
 from matchlake.sources.shared import materialized, new_folder
-from matchlake.sources.store import BucketStore
+from matchlake.sources.store import BucketStore, KeyedTables
 from matchlake.streaming import closing, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,14 +222,44 @@ def _(t):
     return queues.lookup_missing(t.games, _wanted(t))
 
 
-def _stored(t: Tables) -> DataFrame:
-    """All features of all games in their stored form."""
-    return features.feature_json(features.features(t.games, t.finals))
+_STORES: dict[tuple, KeyedTables] = {}
+
+
+def _feature_store(t: Tables, anew: bool = False) -> KeyedTables:
+    """Features, games and finals bucketed by game, built by the first reader of a folder in a session.
+
+    Files that are rewritten under their names are not noticed: ``store_features`` builds anew.
+    """
+    key = (t.spark.sparkContext.applicationId, *sorted(t.raw("orders").inputFiles()))
+    if anew or key not in _STORES:
+        tables = KeyedTables(t.spark, "game_id")
+        finals = tables.save("finals", t.finals)
+        tables.save("games", t.games)
+        tables.save("features", features.features(t.games, finals))
+        _STORES[key] = tables
+    return _STORES[key]
+
+
+@query("store_features")
+def _(t):
+    return _feature_store(t, anew=True).read("features")
 
 
 @query("load_features")
 def _(t):
-    return features.widen_features(_stored(t).join(_wanted(t), "game_id", "left_semi"))
+    return _feature_store(t).read("features").join(_wanted(t), "game_id", "left_semi")
+
+
+@query("features_json")
+def _(t):
+    """Features through their other stored form, one JSON object per game."""
+    return features.widen_features(features.feature_json(_feature_store(t).read("features")))
+
+
+@query("pipeline_pregame")
+def _(t):
+    done = pregame.refresh(t.games, t.plays, KeyedTables(t.spark, "game_id"))
+    return pregame.predicted_games(done)
 
 
 @query("prior_lists")
@@ -489,16 +520,19 @@ def _(t):
 # --- modelling ------------------------------------------------------------------------------
 
 
+def _modeling_table(t: Tables, seasons: list[str] | None = None) -> DataFrame:
+    stored = _feature_store(t)
+    return models.modeling_table(*[stored.read(x) for x in ("games", "finals", "features")], seasons)
+
+
 @query("modeling_table")
 def _(t):
-    wide = features.widen_features(_stored(t))
-    return models.modeling_table(t.games, t.finals, wide)
+    return _modeling_table(t)
 
 
 @query("train_rows")
 def _(t):
-    wide = features.widen_features(_stored(t))
-    table = models.modeling_table(t.games, t.finals, wide, [TRAIN_SEASON, TEST_SEASON])
+    table = _modeling_table(t, [TRAIN_SEASON, TEST_SEASON])
     whole = models.complete_rows(table)
     split = F.when(F.col("season") == TRAIN_SEASON, "train").otherwise("test")
     return whole.select(
@@ -508,14 +542,14 @@ def _(t):
 
 @query("score_rows")
 def _(t):
-    return models.fill_features(features.widen_features(_stored(t)), features.FEATURES)
+    return models.fill_features(_feature_store(t).read("features"), features.FEATURES)
 
 
 def _modelled(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Features of all games, and the complete rows of the two seasons."""
-    known = materialized(features.features(t.games, t.finals), "features")
-    table = models.complete_rows(models.modeling_table(t.games, t.finals, known))
-    table = materialized(table.filter(F.col("season").isin(TRAIN_SEASON, TEST_SEASON)), "modelling")
+    known = _feature_store(t).read("features")
+    table = models.complete_rows(_modeling_table(t, [TRAIN_SEASON, TEST_SEASON]))
+    table = materialized(table, "modelling")
     return (
         known,
         table.filter(F.col("season") == TRAIN_SEASON),

@@ -897,6 +897,25 @@ decreases AS (SELECT a.game_id, a.play_id FROM opening a LEFT JOIN opening b
             ("Away_PPG" + "Home_OPP_PPG") / 2 AS pred_away_score FROM features)""",
         FEATURES,
     )
+    out["store_features"] = out["features_json"] = out["features"]
+    # The same definitions over finals that come from plays.
+    told = BASE[BASE.index("sides AS (") :].replace("sides", "told_sides").replace("priors AS", "told_priors AS")
+    out["pipeline_pregame"] = _sql(
+        f"""SELECT g.game_id, g.game_data_finalized OR f.game_id IS NOT NULL AS game_data_finalized,
+          (SELECT NOT bool_or(needed > 0 AND loaded = 0) FROM told_priors p WHERE p.game_id = g.game_id) AS pre_game_data_finalized,
+          round(pred_home_score, 6) AS pred_home_score, round(pred_away_score, 6) AS pred_away_score,
+          round({chance.format(1)}, 6) AS pred_home_win_pct
+          FROM games g LEFT JOIN told_finals f ON f.game_id = g.game_id LEFT JOIN (
+            SELECT game_id, ("Home_PPG" + "Away_OPP_PPG") / 2 AS pred_home_score,
+              ("Away_PPG" + "Home_OPP_PPG") / 2 AS pred_away_score FROM features) b ON b.game_id = g.game_id""",
+        _states("plays", _RUN_OF_FIRST),
+        """told_finals AS (
+  SELECT game_id, arg_max(home_score, play_id) AS home_score, arg_max(away_score, play_id) AS away_score
+  FROM derived WHERE is_final_state GROUP BY game_id),
+""",
+        told.replace("finals f", "told_finals f"),
+        FEATURES.replace("sides t", "told_sides t").replace("sides p", "told_sides p"),
+    )
     out["game_states"] = _sql(_STATE_COLUMNS, _states("plays", _RUN_OF_FIRST))
     out["game_states_alt"] = _sql(_STATE_COLUMNS, _states("plays_alt", "false"))
     out["stream_publish"] = _sql(

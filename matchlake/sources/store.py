@@ -1,4 +1,4 @@
-"""A table of deliveries, kept by hash bucket of its key.
+"""Tables kept by hash bucket of their key: of deliveries, and of one row per key.
 
 Rows lie in folders by kind, bucket and version. A delivery adds ``delta`` folders for
 the buckets it touches. ``replace`` and ``compact`` write a new ``base`` of a bucket,
@@ -7,10 +7,15 @@ they need: that is a filter on folders, so nothing else is listed as input, howe
 many deliveries there were. Writing a version again replaces its own folders only,
 so a retried micro-batch changes nothing, and readers of an earlier version go on
 with the folders they know.
+
+``KeyedTables`` are bucketed and sorted Parquet tables. Joins of them on their key, and
+aggregates by it, need neither an exchange nor a sort.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,3 +123,30 @@ class BucketStore:
         long = sorted(b for b in set(since) if since.count(b) > after)
         if long:
             self._write(self.read(long, upto), "base", upto)
+
+
+class KeyedTables:
+    """Tables with the same key and number of buckets, by name, for the life of a session."""
+
+    def __init__(self, spark: SparkSession, key: str, buckets: int = BUCKETS):
+        self.spark, self.key, self.buckets = spark, key, buckets
+        self.names: dict[str, str] = {}
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.names
+
+    def save(self, name: str, rows: DataFrame) -> DataFrame:
+        """Write a table anew, one sorted file per bucket, and read it."""
+        stored = f"{name}_{uuid.uuid4().hex}"
+        (
+            rows.repartition(self.buckets, self.key)
+            .write.bucketBy(self.buckets, self.key)
+            .sortBy(self.key)
+            .option("path", new_folder(self.spark, name))
+            .saveAsTable(stored, format="parquet")
+        )
+        self.names[name] = stored
+        return self.read(name)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.table(self.names[name])

@@ -1,9 +1,11 @@
-"""The store of deliveries by bucket: what is read, replaced and compacted."""
+"""Stores by bucket: what is read, replaced and compacted, and joins without an exchange."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from matchlake.sources.store import BucketStore
+from matchlake.operators import features, predict, pregame, states
+from matchlake.sources import contest
+from matchlake.sources.store import BucketStore, KeyedTables
 
 
 def rows(spark, *data):
@@ -69,3 +71,42 @@ def test_compacted_deliveries_hold_the_same_rows(spark, store):
     assert max(sum(1 for k, x, _ in used if x == b) for b in range(8)) <= 4
     read = store.read().select(F.input_file_name().alias("f")).distinct().count()
     assert read <= len(used)
+
+
+def exchanges(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ")
+
+
+def test_keyed_tables_join_without_an_exchange(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = KeyedTables(spark, "game_id", 4)
+        one = tables.save("one", rows(spark, *((k, "a") for k in range(50))))
+        two = tables.save("two", rows(spark, *((k, "b") for k in range(0, 60, 2))).withColumnRenamed("v", "w"))
+        both = one.join(two, "game_id").groupBy("game_id").count()
+        assert both.count() == 25 and exchanges(both) == 0
+        assert exchanges(one.join(rows(spark, (1, "x")), "game_id", "left_semi")) == 1  # the other side only
+        assert "one" in tables and "three" not in tables
+        again = tables.save("one", rows(spark, (7, "c")))
+        assert held(again) == held(tables.read("one")) == [(7, "c")]
+        assert held(one.limit(100))[0] == (0, "a")  # readers of the old table keep it
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_refresh_equals_its_steps(spark, small):
+    games, plays = contest.games(spark, small), contest.plays(spark, small)
+    done = pregame.refresh(games, plays, KeyedTables(spark, "game_id", 4))
+    finals = states.final_states(states.game_states(games, plays))
+    as_rows = lambda frame: sorted(map(str, frame.collect()))
+    columns = ["game_id", "home_score", "away_score", "play_id"]
+    assert as_rows(done.finals.select(columns)) == as_rows(finals.select(columns))
+    known = features.features(games, finals)
+    assert done.features.count() == known.count() == done.features.join(known, "game_id").count()
+    assert as_rows(done.predictions.select("game_id")) == as_rows(predict.baseline(known).select("game_id"))
+    told = {r.game_id: r for r in pregame.predicted_games(done).collect()}
+    ended = {r.game_id for r in finals.collect()}
+    assert len(told) == games.count()
+    assert all(r.game_data_finalized for g, r in told.items() if g in ended)
