@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,5 +114,25 @@ def live_player_points(snapshot: DataFrame, predicted: DataFrame, latest: DataFr
     )
 
 
-# Formula predictors by name; the trained ones are in ``operators.models``.
+# Formula predictors by name; the trained ones come from ``operators.models``.
 PREDICTORS = {"Baseline": baseline}
+ENSEMBLE = "Ensemble"
+
+
+def predictors(trained: dict[str, Any] | None = None, members: list[str] | None = None) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Every predictor by name: features → prediction rows.
+
+    ``trained`` are fitted models with a ``predict``. The ensemble means over ``members``,
+    over all others without them; unknown members are an error.
+    """
+    found = PREDICTORS | {name: model.predict for name, model in (trained or {}).items()}
+    chosen = list(found) if members is None else members
+    unknown = sorted(set(chosen) - set(found))
+    if unknown:
+        raise ValueError(f"unknown predictors: {unknown}")
+
+    def together(features: DataFrame) -> DataFrame:
+        told = [found[name](features).withColumn("predictor", F.lit(name)) for name in chosen]
+        return ensemble(reduce(DataFrame.unionByName, told), chosen).drop("members")
+
+    return found | {ENSEMBLE: together}

@@ -115,3 +115,23 @@ def game_display(
         pick_winner(chance, F.col("home_team"), F.col("away_team")).alias("pred_winner"),
         pick_percent(chance).alias("pred_win_pct"),
     )
+
+
+def game_pages(display: DataFrame, board: DataFrame, condensed: DataFrame) -> DataFrame:
+    """Display rows with each side's best players and the condensed plays.
+
+    One row per game and page of plays, newest first; a game without plays has page 0.
+    Players are at most as many as the board holds, so no row grows without bound.
+    """
+    entry = F.struct("place", "person_id", "name", "points", "pred_points")
+    best = board.groupBy("game_id").agg(
+        *[
+            F.array_sort(F.collect_list(F.when(F.col("side") == side, entry))).alias(f"{side}_players")
+            for side in ("home", "away")
+        ]
+    )
+    return (
+        display.join(best, "game_id", "left")
+        .join(condensed, "game_id", "left")
+        .withColumn("page", F.coalesce("page", F.lit(0)))
+    )

@@ -20,6 +20,7 @@ from matchlake.operators import (
     predict,
     pregame,
     quality,
+    quarantine,
     queues,
     repair,
     states,
@@ -659,13 +660,57 @@ def _(t):
     return _board(t).fillna("", ["name"])
 
 
-@query("game_display")
-def _(t):
+def _display(t: Tables) -> DataFrame:
     latest = states.latest_state(t.states)
     current = predict.live_predictions(predict.live_inputs(t.predictions, latest, PREDICTOR))
     return views.game_display(t.games, latest, current, ZONE, TODAY)
 
 
+@query("game_display")
+def _(t):
+    return _display(t)
+
+
+@query("game_pages")
+def _(t):
+    best = views.player_board(_board(t).fillna("", ["name"]), 5)
+    rows = views.game_pages(_display(t), best, views.condensed_plays(t.plays))
+    players = [
+        F.coalesce(_shown(f"{side}_players", "person_id", "name", "points", "pred_points"), F.lit("")).alias(f"{side}_players")
+        for side in ("home", "away")
+    ]
+    plays = F.coalesce(_shown("condensed", "time_info", "home_score", "description"), F.lit("")).alias("plays")
+    shown = ["game_id", "page", "home", "away", "datetime_display", "home_score", "away_score", "pred_winner", "pred_win_pct"]
+    return rows.select(*shown, *players, plays)
+
+
+@query("player_maps")
+def _(t):
+    maps = states.player_maps(states.players_snapshot(t.games, t.plays))
+    each = F.transform(F.map_entries("players"), lambda e: F.concat_ws("|", e["key"], e["value"]["name"], e["value"]["points"].cast("string")))
+    return maps.select("game_id", "side", "page", F.array_join(each, ";").alias("players"))
+
+
+def _spoilt_plays(t: Tables) -> DataFrame:
+    """Plays of which a few arrived with a clock that cannot be read."""
+    broken = (F.col("game_id") * 7 + F.coalesce("order_number", "action_id")) % 50 == 0
+    return t.plays.withColumn("clock", F.when(broken, "12:34").otherwise(F.col("clock")))
+
+
+@query("quarantine_games")
+def _(t):
+    return quarantine.quarantined_games(quarantine.guarded_plays(_spoilt_plays(t)))
+
+
+@query("guarded_write")
+def _(t):
+    """What was observed while writing, beside what the two sides hold."""
+    done = quarantine.guarded_plays(_spoilt_plays(t))
+    held = [d.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("game_id").alias("games")).withColumn("side", F.lit(s)) for s, d in (("kept", done.kept), ("rejected", done.rejected))]
+    observed = F.when(F.col("side") == "kept", done.counts["kept"]).otherwise(done.counts["rejected"])
+    return held[0].unionByName(held[1]).select("side", "rows", "games", observed.cast("long").alias("observed"), F.lit(done.verdict).alias("verdict"))
+
+
 # --- sources and sinks ----------------------------------------------------------------------
 
 

@@ -792,6 +792,12 @@ delivered AS (
           FROM states s LEFT JOIN (SELECT DISTINCT g.game_id FROM games g JOIN states f ON g.game_id = f.game_id
             WHERE g.status = 'In Progress' AND f.play_id <= 4) t ON s.game_id = t.game_id
           WHERE t.game_id IS NULL OR s.play_id <= 4""",
+        "quarantine_games": """SELECT game_id, count(*) AS plays, count(*) FILTER ((game_id * 7 + play_id) % 50 = 0) AS unreadable
+          FROM plays GROUP BY game_id HAVING count(*) FILTER ((game_id * 7 + play_id) % 50 = 0) > 0""",
+        "guarded_write": """SELECT side, rows, games, rows AS observed, 'broken rows' AS verdict FROM (
+          SELECT CASE WHEN EXISTS (SELECT 1 FROM plays q WHERE q.game_id = p.game_id AND (q.game_id * 7 + q.play_id) % 50 = 0)
+              THEN 'rejected' ELSE 'kept' END AS side, count(*) AS rows, count(DISTINCT game_id) AS games
+          FROM plays p GROUP BY 1)""",
         "sync_guard": """SELECT 'all' AS delivery, count(*) AS rows, 0::BIGINT AS broken, 'mixed seasons' AS verdict FROM games
           UNION ALL SELECT 'one', count(*), 0, 'accept' FROM games WHERE season = '1997-1998'
           UNION ALL SELECT 'none', 0, 0, 'empty'""",
@@ -924,6 +930,12 @@ decreases AS (SELECT a.game_id, a.play_id FROM opening a LEFT JOIN opening b
     out["player_timeline"] = _sql("SELECT * EXCLUDE (pos) FROM timeline", EVENTS)
     out["players_snapshot"] = _sql("SELECT * FROM snapshot", EVENTS)
     out["player_points"] = _sql("SELECT * FROM board_points", EVENTS)
+    out["player_maps"] = _sql(
+        """SELECT game_id, side, 0::BIGINT AS page,
+             string_agg(concat_ws('|', person_id, name, points), ';' ORDER BY CAST(person_id AS VARCHAR)) AS players
+           FROM snapshot GROUP BY game_id, side""",
+        EVENTS,
+    )
     out["player_board"] = _sql(
         """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_id, side
            ORDER BY pred_points DESC, person_id) AS place FROM board_points) WHERE place <= 5""",
@@ -987,6 +999,22 @@ decreases AS (SELECT a.game_id, a.play_id FROM opening a LEFT JOIN opening b
         STORED_LIVE,
         LIVE,
     )
+    shown = out["game_display"].rsplit("\nSELECT g.game_id", 1)
+    place = "row_number() OVER (PARTITION BY game_id, side ORDER BY pred_points DESC, person_id) AS place"
+    players = ", ".join(
+        f"""coalesce((SELECT string_agg(concat_ws('|', person_id, name, points, pred_points), ';' ORDER BY place)
+            FROM best b WHERE b.game_id = d.game_id AND b.side = '{side}'), '') AS {side}_players"""
+        for side in ("home", "away")
+    )
+    out["game_pages"] = (
+        f"{shown[0]},\n{EVENTS.strip().rstrip(',')},\n"
+        f"best AS (SELECT * FROM (SELECT *, {place} FROM board_points) WHERE place <= 5),\n"
+        f"display AS (SELECT g.game_id{shown[1]}),\n"
+        f"pages AS ({plain['condensed_plays']})\n"
+        f"""SELECT d.game_id, coalesce(c.page, 0) AS page, home, away, datetime_display, home_score, away_score,
+          pred_winner, pred_win_pct, {players}, coalesce(c.plays, '') AS plays
+        FROM display d LEFT JOIN pages c ON c.game_id = d.game_id"""
+    )
     out["sync_schedule"] = _sql(
         f"""SELECT n.game_id, {_TS.format('n.start', 'start')}, n.home_team, n.away_team, n.status, n.season,
             n.season_type, coalesce(g.pre_game_data_finalized, false) AS pre_game_data_finalized,
