@@ -6,20 +6,21 @@ team_box); plays carry ``play_id`` and ``team_tricode``, states ``ingest_seq``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.operators.history import attach_sides, counted, team_rows, totals_before
 from matchlake.operators.quality import FEWEST_PLAYS, MOST_PLAYS
-from matchlake.operators.scan import ordered_scan
+from matchlake.operators.scan import RANGE_ROWS, range_cuts, range_scan
 
 Tables = dict[str, DataFrame]
 LARGEST_JUMP = 10
-SAMPLE_HASHES = 1024
 
 
 def finalized_without_final_state(t: Tables) -> DataFrame:
@@ -128,28 +129,27 @@ def repeated_states(t: Tables) -> DataFrame:
     )
 
 
+def _most(t: Tables) -> int | None:
+    """Rows of a game that one task scans; none to mind where the report has looked before."""
+    return None if t.get("no_large_games") else RANGE_ROWS
+
+
 def falling_scores(t: Tables) -> DataFrame:
     """States under an earlier play's score in the period.
 
-    Compared with the running maximum of the distinct play ids, so neither
-    repeats nor long games pair rows with each other.
+    Compared with the running maximum of smaller play ids, so neither repeats nor
+    long games pair rows with each other.
     """
-    tops = (
-        t["states"].dropna(subset=["game_id", "period"])
-        .groupBy("game_id", "period", "play_id")
-        .agg(F.max("home_score").alias("top_home"), F.max("away_score").alias("top_away"))
-        .withColumn("seg", F.shiftright("play_id", 20))
+    rows = t["states"].dropna(subset=["game_id", "period", "play_id"]).select(
+        "game_id", "play_id", "period", "home_score", "away_score"
     )
-    before = ordered_scan(
-        tops, ["game_id", "period"], ["seg"], ["play_id"],
-        {"max_home": ("max_before", "top_home"), "max_away": ("max_before", "top_away")},
-    ).select("game_id", "period", "play_id", "max_home", "max_away")
-    return (
-        t["states"].join(before, ["game_id", "period", "play_id"])
-        .filter((F.col("max_home") > F.col("home_score")) | (F.col("max_away") > F.col("away_score")))
-        .select("game_id", "play_id", "period", "home_score", "away_score")
-        .distinct()
+    before = range_scan(
+        rows, ["game_id", "period"], ["play_id"],
+        {"max_home": ("max_before", "home_score"), "max_away": ("max_before", "away_score")},
+        _most(t),
     )
+    fell = (F.col("max_home") > F.col("home_score")) | (F.col("max_away") > F.col("away_score"))
+    return before.filter(fell).select(*rows.columns).distinct()
 
 
 def negative_scores(t: Tables) -> DataFrame:
@@ -175,12 +175,11 @@ def differing_finals(t: Tables) -> DataFrame:
 
 
 def score_jumps(t: Tables) -> DataFrame:
-    rows = t["states"].select("game_id", "play_id", "home_score", "away_score").withColumn(
-        "seg", F.shiftright("play_id", 20)
-    )
-    seen = ordered_scan(
-        rows, ["game_id"], ["seg"], ["play_id"],
+    rows = t["states"].select("game_id", "play_id", "home_score", "away_score")
+    seen = range_scan(
+        rows, ["game_id"], ["play_id"],
         {"was_home": ("lag", "home_score"), "was_away": ("lag", "away_score")},
+        _most(t),
     )
     return (
         seen.select(
@@ -221,15 +220,11 @@ def completed_in_future(t: Tables) -> DataFrame:
 
 def out_of_order_ids(t: Tables) -> DataFrame:
     """Games where a smaller play id was ingested after a larger one."""
-    tops = (
-        t["states"].dropna(subset=["game_id"]).groupBy("game_id", "ingest_seq")
-        .agg(F.max("play_id").alias("top"), F.min("play_id").alias("low"))
-        .withColumn("seg", F.shiftright("ingest_seq", 20))
+    rows = t["states"].dropna(subset=["game_id", "ingest_seq"]).select("game_id", "ingest_seq", "play_id")
+    seen = range_scan(
+        rows, ["game_id"], ["ingest_seq"], {"max_id": ("max_before", "play_id")}, _most(t)
     )
-    seen = ordered_scan(
-        tops, ["game_id"], ["seg"], ["ingest_seq"], {"max_id": ("max_before", "top")}
-    )
-    return seen.filter("max_id > low").select("game_id").distinct()
+    return seen.filter("max_id > play_id").select("game_id").distinct()
 
 
 def foreign_team_in_plays(t: Tables) -> DataFrame:
@@ -319,32 +314,52 @@ RULES: dict[str, Rule] = {
 }
 
 
+def _firsts(sample: int):
+    """Per task and rule: how many rows, and the ``sample`` first of them by their text."""
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[str, int] = {}
+        first: dict[str, list[str]] = {}
+        for batch in batches:
+            for rule in batch.column("check_id").unique().to_pylist():
+                rows = batch.column("row").filter(pc.equal(batch.column("check_id"), rule))
+                count[rule] = count.get(rule, 0) + len(rows)
+                least = rows.take(pc.sort_indices(rows)[:sample]).to_pylist()
+                first[rule] = sorted([*first.get(rule, []), *least])[:sample]
+        columns = [list(count), list(count.values()), [first[r] for r in count]]
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["check_id", "count", "sample"])
+
+    return firsts
+
+
 def validation_report(
     t: Tables, categories: list[str] | None = None, sample: int = 5
 ) -> DataFrame:
-    """One row per rule that found something: true count and a few samples.
+    """One row per rule that found something: true count and the first rows as JSON.
 
-    Rules of unknown categories are ignored. Rows are counted by rule and hash before
-    the shuffle, and of each hash only the row that comes first by its text goes on;
-    the samples are the first of these. Nothing is written, and a rule sends at most
-    ``SAMPLE_HASHES`` rows per task.
+    Rules of unknown categories are ignored. Each task counts its rows by rule and keeps
+    the ``sample`` first of them by their text, so that a rule sends one row per task
+    through the shuffle and the samples are exact. Whether any game has too many states
+    for one task is counted once for all rules.
     """
     chosen = {
         i: r for i, r in RULES.items() if categories is None or r.category in categories
     }
+    if any(r.rows in (falling_scores, score_jumps, out_of_order_ids) for r in chosen.values()):
+        t = t | {"no_large_games": range_cuts(t["states"], ["game_id"], ["play_id"], RANGE_ROWS) is None}
+    told = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
     found = reduce(
         DataFrame.unionByName,
         [
-            r.rows(t).select(F.lit(i).alias("check_id"), F.to_json(F.struct("*")).alias("row"))
+            r.rows(t).select(F.lit(i).alias("check_id"), F.to_json(F.struct("*"), told).alias("row"))
             for i, r in chosen.items()
         ],
     )
-    by_hash = found.groupBy(
-        "check_id", F.pmod(F.xxhash64("row"), F.lit(SAMPLE_HASHES)).alias("hash")
-    ).agg(F.count(F.lit(1)).alias("count"), F.min("row").alias("row"))
-    counts = by_hash.groupBy("check_id").agg(
+    parts = found.mapInArrow(_firsts(sample), "check_id string, count long, sample array<string>")
+    counts = parts.groupBy("check_id").agg(
         F.sum("count").alias("count"),
-        F.slice(F.array_sort(F.collect_list("row")), 1, sample).alias("sample"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("sample"))), 1, sample).alias("sample"),
     )
     spark = counts.sparkSession
     about = spark.createDataFrame(

@@ -423,7 +423,8 @@ for _key, (_rule, _input) in _AUDITS.items():
 def _(t):
     report = audit.validation_report(_audited(t))
     return report.select(
-        "check_id", "severity", "category", "fixable", "count", F.size("sample").alias("samples")
+        "check_id", "severity", "category", "fixable", "count", F.size("sample").alias("samples"),
+        F.array_join("sample", ";").alias("first_rows"),
     )
 
 

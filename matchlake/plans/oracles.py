@@ -525,7 +525,8 @@ def _audit_queries() -> dict[str, str]:
     )
     counts = " UNION ALL ".join(
         f"SELECT '{r}' AS check_id, '{sev}' AS severity, '{cat}' AS category, {str(fix).lower()} AS fixable, "
-        f"count(*) AS count FROM ({body})"
+        f"count(*) AS count, array_to_string((list(j ORDER BY j))[1:5], ';') AS first_rows "
+        f"FROM (SELECT CAST(to_json(t) AS VARCHAR) AS j FROM ({body}) t)"
         for r, (sev, cat, fix, body) in _AUDITS.items()
     )
     out["validation_report"] = _sql(

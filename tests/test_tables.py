@@ -103,6 +103,10 @@ def test_report(tables):
     assert set(report) == set(audit.RULES)
     assert report["VOL-001"]["count"] == 4 and len(report["VOL-001"]["sample"]) == 2
     assert report["FLAG-001"].fixable and not report["SCORE-002"].fixable
+    for rule, found_here in report.items():
+        told = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+        every = sorted(r[0] for r in audit.RULES[rule].rows(tables).select(F.to_json(F.struct("*"), told)).collect())
+        assert (found_here["count"], found_here["sample"]) == (len(every), every[:2]), rule
     only = audit.validation_report(tables, ["Flag", "Nothing"])
     assert {r.category for r in only.collect()} == {"Flag"}
     summary = {r.severity: r.issues for r in audit.severity_summary(only).collect()}
