@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -257,25 +258,36 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     ``vectors`` has vec_id and embedding; other columns are ignored. Returns one row per
     row: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id
     reachable, itself included), kept (vec_id = component_id) and audited_recall. Vectors
-    that are null, empty, zero or hold a null or non-finite component, and those of
-    another dimension than the most frequent one, link with nothing; a row without
-    vec_id has no component and is kept. Rows that repeat a vec_id count once; if
-    their vectors differ, each row has the links of its own vector. An empty table
-    gives no rows.
+    that are null, empty, zero or hold a null or non-finite component link with nothing;
+    those of different dimensions do not link, each dimension is searched by itself. A row
+    without vec_id has no component and is kept. Rows that repeat a vec_id and its vector
+    count once; if the vectors differ, each row has the links of its own vector, which all
+    others count one by one. An empty table gives no rows.
     """
     small_batches(vectors.sparkSession)
     base = written(prepared(vectors), "vectors")
-    lengths = base.where("vec is not null").groupBy(F.octet_length("vec").alias("bytes")).count()
-    common = lengths.orderBy(F.desc("count"), "bytes").limit(1).collect()
-    wanted = common[0]["bytes"] if common else 0
-    usable = base.where(F.octet_length("vec") == wanted)
-    nodes = written(usable.groupBy("key").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("copies"), F.first("vec").alias("vec")), "nodes")
-    # A vec_id that stands for several vectors keeps one node for each of them.
-    nodes = nodes.groupBy("node").agg(F.max_by("vec", "key").alias("vec"), F.max_by("copies", "key").alias("copies"), F.max("key").alias("key"))
-    nodes = written(nodes, "nodes")
-    count = nodes.count()
-    if not count:
-        return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audited_recall"))
+    usable = base.where("vec is not null").groupBy("key")
+    distinct = usable.agg(F.min("vec_id").alias("first_id"), F.countDistinct("vec_id").alias("copies"), F.first("vec").alias("vec"))
+    # Numbers of nodes are written once, so that all later jobs see the same ones.
+    nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    sizes = nodes.groupBy(F.octet_length("vec").alias("bytes")).count().orderBy("bytes").collect()  # one row per dimension
+    found = [_linked(nodes.where(F.octet_length("vec") == r["bytes"]), r["count"], r["bytes"] // 8, threshold, k, rounds, attempts, target) for r in sizes]
+    own = base.select("vec_id", "key").join(nodes.select("key", "node", "first_id", "copies"), "key", "left")
+    linked, component, recall = F.lit(0), F.col("first_id"), 1.0
+    if found:
+        counted = reduce(DataFrame.unionByName, [f[0] for f in found])
+        classes = reduce(DataFrame.unionByName, [f[1] for f in found])
+        recall = min(f[2] for f in found)
+        named = classes.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
+        own = own.join(counted, "node", "left").join(classes.join(named, "component").select("node", "component_id"), "node", "left")
+        linked, component = F.coalesce("linked", F.lit(0)), F.coalesce("component_id", "first_id")
+    component = F.coalesce(component, "vec_id")
+    n_links = linked + F.coalesce(F.col("copies") - 1, F.lit(0))
+    return own.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("audited_recall"))
+
+
+def _linked(nodes: DataFrame, count: int, dimension: int, threshold: float, k: int, rounds: int, attempts: int, target: float) -> tuple[DataFrame, DataFrame, float]:
+    """Vectors linked with each node, the classes of linked nodes, and the recall of one dimension."""
     met = _meeting(k, threshold)
     graph, forest, recall = None, None, 0.0
     counted = classes = None
@@ -294,7 +306,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
             placed = nodes.select("node", "vec").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")).join(full, "node", "left")
             if outside is None:
                 worst = placed.withColumn("worst", F.lit(-2.0))
-                members, keys = cells(nodes, count, max(1, wanted // 8), seed), ["tree", "cell", "part"]
+                members, keys = cells(nodes, count, dimension, seed), ["tree", "cell", "part"]
             else:
                 last = outside.groupBy("a").agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(-2.0).alias("worst")).withColumnRenamed("a", "node")
                 worst = placed.join(last, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
@@ -325,7 +337,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
                 worst = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(-2.0).alias("worst")).withColumnRenamed("a", "node")
                 state = nodes.select("node", "vec").join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
             if step == 0:
-                found = meet(cells(nodes, count, max(1, wanted // 8), attempt, trees), ["tree", "cell", "part"], state)
+                found = meet(cells(nodes, count, dimension, attempt, trees), ["tree", "cell", "part"], state)
             else:
                 found = meet(pivots(graph, attempt * 100 + step), ["pivot", "part"], state)
             graph = written(_improved(graph, found, k), "graph")
@@ -339,12 +351,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
         if recall >= target or count < 2:
             break
     else:
-        pairs = _all_pairs(nodes, count, max(1, wanted // 8), threshold)
+        pairs = _all_pairs(nodes, count, dimension, threshold)
         classes = written(components(pairs.where("b is not null").select("a", "b")), "classes")
         counted = written(pairs.where("linked is not null").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked")), "counts")
         recall = 1.0
-    own = base.join(nodes.select("key", "node", "copies"), "key", "left")
-    out = own.join(counted, "node", "left").join(classes, "node", "left")
-    component = F.coalesce("component", "node", "vec_id")
-    n_links = F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-    return out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("audited_recall"))
+    return counted, classes, recall

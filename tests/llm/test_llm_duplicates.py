@@ -272,3 +272,38 @@ def test_saturated_lists_look_outside(spark, monkeypatch):
     df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
     found = descent.near_vectors(df, attempts=1).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {k: (near[k].sum(), 0) for k in range(80)}
+
+
+def linked_by_all_pairs(rows):
+    """(vec_id, n_links, component) per row of (vec_id, vector): every distinct (vec_id, vector) is one vector."""
+    points = sorted({(i, tuple(v)) for i, v in rows})
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in points]
+    near = [(a, b) for a in range(len(points)) for b in range(a) if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.9]
+    links, root = [0] * len(points), list(range(len(points)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in near:
+        links[a] += 1
+        links[b] += 1
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for p, (i, _) in enumerate(points):
+        least[find(p)] = min(least.get(find(p), i), i)
+    at = {point: p for p, point in enumerate(points)}
+    return [(i, links[at[i, tuple(v)]], least[find(at[i, tuple(v)])]) for i, v in rows]
+
+
+def test_repeated_ids_and_several_dimensions(spark):
+    rng = np.random.default_rng(3)
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (8, [0.01, 1.0, 0.0]), (9, [1.0, 0.0]), (10, [1.0, 0.01]), (7, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0])]
+    for dimension in (3, 6):
+        heart = rng.standard_normal((12, dimension))
+        rows += [(int(rng.integers(20, 60)), (heart[k % 12] + 0.15 * rng.standard_normal(dimension)).tolist()) for k in range(60)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, node int")
+    found = descent.near_vectors(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == sorted(linked_by_all_pairs(rows))
+    assert all(r.kept == (r.vec_id == r.component_id) and r.audited_recall >= 0.999 for r in found)
