@@ -61,17 +61,24 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = REACH
     """
     taken = sorted((a, b) for _, a, b in base)
 
-    def free(a: int, b: int, used: list[tuple[int, int]]) -> bool:
-        k = bisect_left(used, (b, -1))
-        return k == 0 or max(e for _, e in used[max(0, k - 8) : k]) <= a
+    def clear_of(used: list[tuple[int, int]]):
+        """Whether a span overlaps none of the sorted ``used`` ones, by their largest end so far."""
+        ends = list(accumulate((e for _, e in used), max))
 
-    identifiers = [m.span() for m in IDENTIFIER.finditer(text) if free(*m.span(), taken)]
+        def free(a: int, b: int) -> bool:
+            k = bisect_left(used, (b, -1))
+            return k == 0 or ends[k - 1] <= a
+
+        return free
+
+    unused = clear_of(taken)
+    identifiers = [m.span() for m in IDENTIFIER.finditer(text) if unused(*m.span())]
     access = [(a, b) for kind, a, b in base if kind == "access"]
     if not identifiers and not access:
         return []
-    endpoints = [m.span() for m in ENDPOINT.finditer(text) if free(*m.span(), taken)]
-    named = sorted(taken + identifiers + endpoints)
-    opaque = [m.span() for m in OPAQUE.finditer(text) if _opaque(m[0]) and free(*m.span(), named)]
+    endpoints = [m.span() for m in ENDPOINT.finditer(text) if unused(*m.span())]
+    unnamed = clear_of(sorted(taken + identifiers + endpoints))
+    opaque = [m.span() for m in OPAQUE.finditer(text) if _opaque(m[0]) and unnamed(*m.span())]
     secrets = [(a, b) for kind, a, b in base if kind != "access"] + opaque
     if not secrets:
         return []

@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from matchlake.llm import blocks, interpolation, kneser, minhash, queries, secrets, toxicity
@@ -325,3 +327,48 @@ def test_long_secrets_reach_by_their_ends():
         assert {kind for kind, _, _ in secrets.spans_of(text)[1]} == {"identifier", "opaque", "endpoint"}
     assert secrets.spans_of(f"{value}\n\nlogin=zed")[1] == []
     assert secrets.spans_of(f"{value} {'pad ' * 101} login=zed")[1] == []
+
+
+def linked_by_all_pairs(text, base, reach):
+    """Weak parts by comparing every part with every other."""
+
+    def overlaps(p, others):
+        return any(a < p[1] and p[0] < b for a, b in others)
+
+    taken = [(a, b) for _, a, b in base]
+    identifiers = [m.span() for m in secrets.IDENTIFIER.finditer(text) if not overlaps(m.span(), taken)]
+    endpoints = [m.span() for m in secrets.ENDPOINT.finditer(text) if not overlaps(m.span(), taken)]
+    opaque = [m.span() for m in secrets.OPAQUE.finditer(text) if secrets._opaque(m[0]) and not overlaps(m.span(), taken + identifiers + endpoints)]
+    names = identifiers + [(a, b) for k, a, b in base if k == "access"]
+    values = opaque + [(a, b) for k, a, b in base if k != "access"]
+    breaks = [m.start() for m in secrets.PARAGRAPH.finditer(text)]
+
+    def near(p, others):
+        return any(
+            o[0] < p[1] + reach and o[1] >= p[0] - reach and sum(x <= p[0] for x in breaks) == sum(x <= o[0] for x in breaks)
+            for o in others
+        )
+
+    out = [("identifier", *p) for p in identifiers if near(p, values)]
+    out += [("opaque", *p) for p in opaque if near(p, names)]
+    return sorted(out + [("endpoint", *p) for p in endpoints if near(p, names) and near(p, values)])
+
+
+PARTS = [
+    "user=abcd1234", ".user=abcd1234", "login: zed99", "AKIA" + "Q7" * 9, "password=" + "a1b2c3d4e5f6a7b8c9d0e1f2." * 20, "token: s3cretvalue", "0123456789abcdef01234567",
+    "Zx81kQ0pLm47Tr29Ws", "https://db.example.org/x", "host=alpha.internal", "\n\n", "\n \n", "plain words here ", " ", "x" * 30, "secret=", "client_id='",
+]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=24), st.sampled_from([5, 40, 400]))
+def test_linking_equals_all_pairs(parts, reach):
+    text = "".join(parts)
+    base = secrets.base_spans(text)
+    assert sorted(secrets.linked_spans(text, base, reach)) == linked_by_all_pairs(text, base, reach)
+
+
+def test_parts_inside_a_long_assignment_are_not_reported():
+    text = "password=" + "a1b2c3d4e5f6a7b8c9d0e1f2." * 20 + ".user=abcd1234"
+    base, found = secrets.spans_of(text)
+    assert found == base and {k for k, _, _ in base} == {"assign", "hex"}
