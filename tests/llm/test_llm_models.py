@@ -372,3 +372,14 @@ def test_parts_inside_a_long_assignment_are_not_reported():
     text = "password=" + "a1b2c3d4e5f6a7b8c9d0e1f2." * 20 + ".user=abcd1234"
     base, found = secrets.spans_of(text)
     assert found == base and {k for k, _, _ in base} == {"assign", "hex"}
+
+
+def test_stages_pass_on_columns_of_any_name(spark):
+    words = [f"w{k} is one of many words here" for k in range(40)]
+    rows = [(k, " ".join(words[k % 7 : k % 7 + 9]), "en", k, k, k, k, k) for k in range(30)] + [(3, "again " * 9, "en", 1, 1, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, gone_id long, again_id long, poor_key long, poor_id long, row_key long")
+    for stage in (corpus_pipeline.drop_poor, corpus_pipeline.drop_near_duplicates):
+        found = stage(spark, docs, DATA)
+        assert found.columns == docs.columns
+        kept = found.collect()
+        assert kept and {tuple(r) for r in kept} <= {tuple(r) for r in docs.collect()}
