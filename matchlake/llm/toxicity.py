@@ -1,13 +1,18 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings of a few bytes, so that inflected forms meet. Only
-terms that tell the labels apart carry weight: those with a minimum of examples, a
-chi-square and a log odds ratio over their limits. Examples with the same terms lie
-next to each other in an inverted index whose posting lists know the largest weight in
-each block of examples. A search adds these up to bounds for all blocks, opens blocks
-from the highest bound on and ends when no closed block can reach the k-th best.
-
-Examples are a bounded sample of labelled rows; every text is searched.
+Terms are words and word beginnings of a few bytes, so that inflected forms meet. All
+terms of the examples are indexed. Those that tell the labels apart (a minimum of
+examples, a chi-square and a log odds ratio over their limits) weigh their full idf,
+the others a tenth of it; so a copy of an example is its neighbour at 1, whatever its
+words. Every text is searched, whole.
+
+The inverted index has posting lists for the rarer terms, and for the common ones,
+whose lists would be long, rows of examples with the largest weight of each block of
+examples. A search adds up the lists, bounds what the common terms can still add to
+each block, opens blocks from the highest bound on and ends when no closed block can
+reach the k-th best.
+
+Examples are a bounded sample of labelled rows; every text is scored.
 """
 
 from __future__ import annotations
@@ -21,19 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices, span_hashes, text_rows, written
+from .common import Words, mix, release, slices, span_hashes, text_rows, written
 
 #: Most labelled rows that the examples are fitted on (by hash of doc_id).
 EXAMPLES = 10_000
-#: Most terms that are kept, by chi-square.
-TERMS = 4096
+#: Share of its idf that a term weighs which does not tell the labels apart.
+ORDINARY = 0.1
+#: Terms in more than one of so many examples are common.
+COMMON = 8
 LEAST_EXAMPLES, LEAST_CHI2, LEAST_LOG_ODDS = 3, 15.0, 1.5
 #: Shares of a row's words at which a repeated term is a further term.
 SHARES = (0.004, 0.008, 0.016)
 #: Bytes of a word's beginning that are terms too, for words longer than that.
 BEGINNINGS = (4, 5)
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 16
 #: Votes of the base rate against those of the neighbours, and the distance of an equal.
 PRIOR_VOTES, LEAST_DISTANCE = 0.5, 0.1
 
@@ -69,42 +76,59 @@ def row_terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 @dataclass
 class Model:
-    """Everything a search needs; its size is bounded by EXAMPLES and TERMS."""
+    """Everything a search needs; its size is bounded by the terms of the examples."""
 
     terms: np.ndarray  # sorted hashes
-    names: list[str]
-    idf: np.ndarray
+    weight: np.ndarray  # idf, or its share
     example_ids: np.ndarray
     labels: np.ndarray
-    first: np.ndarray  # where an example's terms begin
-    term: np.ndarray
-    weight: np.ndarray
+    norm: np.ndarray  # lengths of the examples' vectors
+    first: np.ndarray  # where a term's postings begin; common terms have none
+    example: np.ndarray  # of each posting
+    level: np.ndarray  # and its place in ``levels``
+    levels: np.ndarray  # 1 + log of the times a term occurs, 0 first
+    common: np.ndarray  # a term's column among the common ones, or -1
+    dense: np.ndarray  # places in ``levels``: examples x common terms
+    most: np.ndarray  # largest share of a vector: common terms x blocks of examples
     base_rate: float
-    block_term: list[tuple[np.ndarray, np.ndarray]]  # per term: blocks, largest weight there
     knots: tuple[np.ndarray, np.ndarray] | None = None  # raw vote to calibrated score
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples (ties by place) and their cosines, exactly."""
         count = len(self.labels)
-        bounds = np.zeros(-(-count // BLOCK))
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            blocks, most = self.block_term[t]
-            bounds[blocks] += w * most
-        dense = np.zeros(len(self.terms))
-        dense[terms] = weights
+        value = weights * self.weight[terms]
+        column = self.common[terms]
+        rare = column < 0
+        start = self.first[terms[rare]]
+        length = self.first[terms[rare] + 1] - start
+        at = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+        partial = np.bincount(self.example[at], np.repeat(value[rare], length) * self.levels[self.level[at]], minlength=count) / self.norm
+        if leave is not None:
+            partial[leave] = -np.inf
+        column, value = column[~rare], value[~rare]
+        rest = value @ self.most[column]
+        padded = np.full(len(rest) * BLOCK, -np.inf)
+        padded[:count] = partial
+        bounds = rest + padded.reshape(-1, BLOCK).max(axis=1)
+        order = np.argsort(-bounds, kind="stable")
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1] - 1e-12:
+        least, done, step = 1e-12, 0, 4
+        while done < len(order):
+            blocks = order[done : done + step]
+            blocks = blocks[bounds[blocks] >= least]
+            if not len(blocks):
                 break
-            a, z = b * BLOCK, min(count, (b + 1) * BLOCK)
-            lo, hi = self.first[a], self.first[z]
-            sums = np.concatenate([[0.0], np.cumsum(dense[self.term[lo:hi]] * self.weight[lo:hi])])
-            score = sums[self.first[a + 1 : z + 1] - lo] - sums[self.first[a:z] - lo]
-            some = np.flatnonzero(score > 1e-12)
-            some = some[some + a != leave] if leave is not None else some
-            at, value = np.concatenate([best_at, some + a]), np.concatenate([best, score[some]])
-            order = np.lexsort((at, -np.round(value, 12)))[:k]
-            best_at, best = at[order], value[order]
+            at = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            at = at[at < count]
+            at = at[partial[at] + rest[at // BLOCK] >= least]
+            score = partial[at] + self.levels[self.dense[np.ix_(at, column)]] @ value / self.norm[at]
+            some = score > 1e-12
+            best_at, best = np.concatenate([best_at, at[some]]), np.concatenate([best, score[some]])
+            first = np.lexsort((best_at, -np.round(best, 12)))[:k]
+            best_at, best = best_at[first], best[first]
+            if len(best) == k:
+                least = max(least, best[-1] - 2e-12)
+            done, step = done + step, step * 3
         return best_at, np.minimum(best, 1.0)
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -115,24 +139,26 @@ class Model:
     def calibrated(self, raw: float) -> float:
         return float(np.interp(raw, *self.knots)) if self.knots else raw
 
-    def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Terms and unit TF-IDF weights of each row."""
+    def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, list[str]]]:
+        """Known terms of each row, its unit vector of them, and the spelling of the heaviest."""
         words = Words(texts, PARTS)
-        codes, row, times, _, _ = row_terms(words)
+        codes, row, times, start, end = row_terms(words)
         place = np.searchsorted(self.terms, codes)
         place[place == len(self.terms)] = 0
-        known = self.terms[place] == codes if len(self.terms) else np.zeros(len(codes), bool)
-        order = np.lexsort((place[known], row[known]))
-        rows, terms, tf = row[known][order], place[known][order], times[known][order]
-        weight = (1 + np.log(tf)) * self.idf[terms]
+        known = np.flatnonzero(self.terms[place] == codes) if len(self.terms) else np.zeros(0, np.int64)
+        known = known[np.lexsort((place[known], row[known]))]
+        rows, terms, level = row[known], place[known], 1 + np.log(times[known])
         edges = np.searchsorted(rows, np.arange(len(texts) + 1))
         out = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            w = weight[a:b]
-            out.append((terms[a:b], w / np.sqrt(w @ w) if b > a else w))
+            t = terms[a:b]
+            full = level[a:b] * self.weight[t]
+            length = np.sqrt(full @ full)
+            heavy = known[a:b][np.argsort(-full, kind="stable")[:5]]
+            named = [words.data[start[j] : end[j]].tobytes().decode("utf-8", "replace") for j in heavy.tolist()]
+            out.append((t, full / length if b > a else full, named))
         return out
 
-
     def near(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Score, nearest examples and their cosines; the base rate's vote without any term."""
         if not len(terms):
@@ -141,7 +167,7 @@ class Model:
         return min(1.0, max(0.0, self.calibrated(self.vote(at, cosine)))), at, cosine
 
     def scores(self, texts: pa.Array) -> list[float]:
-        return [self.near(*v)[0] for v in self.vectors(texts)]
+        return [self.near(t, w)[0] for t, w, _ in self.vectors(texts)]
 
 
 def isotonic(raw: np.ndarray, labels: np.ndarray, weight_of_base: float, base: float) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +190,47 @@ def isotonic(raw: np.ndarray, labels: np.ndarray, weight_of_base: float, base: f
     return x, 0.98 * y + 0.02 * x
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def index(ids: np.ndarray, toxic: np.ndarray, first: np.ndarray, codes: np.ndarray, times: np.ndarray) -> Model:
+    """A model, not calibrated yet, of examples whose terms lie from ``first`` on in ``codes`` and ``times``."""
+    count = len(ids)
+    pos, neg = int(toxic.sum()), int(count - toxic.sum())
+    owner = np.repeat(np.arange(count, dtype=np.uint32), np.diff(first))
+    order = np.argsort(codes, kind="stable")
+    codes, owner, times = codes[order], owner[order], times[order]
+    del order
+    edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    terms, first = codes[edge], np.append(edge, len(codes))
+    df = np.diff(first).astype(float)
+    a = np.add.reduceat(toxic[owner].astype(float), edge) if len(edge) else np.zeros(0)
+    b, c, d = df - a, pos - a, neg - df + a
+    chi2 = (a * d - b * c) ** 2 * (pos + neg) / np.maximum(df * (c + d) * max(pos, 1) * max(neg, 1), 1e-9)
+    odds = np.abs(np.log((a + 0.5) / (c + 0.5) / ((b + 0.5) / (d + 0.5))))
+    telling = (df >= LEAST_EXAMPLES) & (chi2 >= LEAST_CHI2) & (odds >= LEAST_LOG_ODDS)
+    weight = np.log((count + 1) / (df + 0.5)) * np.where(telling, 1.0, ORDINARY)
+    distinct, level = np.unique(times, return_inverse=True)
+    levels = np.concatenate([[0.0], 1 + np.log(distinct)])
+    level = (level + 1).astype(np.min_scalar_type(len(distinct) + 1))
+    norm = np.sqrt(np.bincount(owner, (levels[level] * np.repeat(weight, np.diff(first))) ** 2, minlength=count))
+    # Examples of like length side by side: their blocks have tight bounds.
+    by_norm = np.lexsort((ids, norm))
+    place = np.empty(count, np.min_scalar_type(max(count, 1)))
+    place[by_norm] = np.arange(count)
+    owner, norm = place[owner], np.maximum(norm[by_norm], 1e-300)
+    many = df * COMMON > count
+    common = np.where(many, np.cumsum(many) - 1, -1)
+    of_many = np.repeat(many, np.diff(first))
+    dense = np.zeros((count, int(many.sum())), level.dtype)
+    dense[owner[of_many], np.repeat(common, np.diff(first))[of_many]] = level[of_many]
+    blocks = -(-count // BLOCK)
+    most = np.zeros((dense.shape[1], blocks))
+    for k in range(blocks):
+        some = slice(k * BLOCK, min(count, (k + 1) * BLOCK))
+        most[:, k] = (levels[dense[some]] / norm[some, None]).max(axis=0)
+    first = np.concatenate([[0], np.cumsum(np.where(many, 0, np.diff(first)))])
+    return Model(terms, weight, ids[by_norm], toxic[by_norm].astype(float), norm, first, owner[~of_many], level[~of_many], levels, common, dense, most * (1 + 1e-12), (pos + 1) / (pos + neg + 2))
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """A model from labelled rows (doc_id, toxic) and their texts.
 
     Rows without doc_id or label and labelled ids without a text are left out; of
@@ -175,89 +241,46 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     chosen = asked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     texts = text_rows(docs).join(F.broadcast(chosen), "doc_id")
     sample = written(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "examples")
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = totals.get(1, 0), sum(n for y, n in totals.items() if y != 1)
 
-    def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                codes, row, _, _, _ = row_terms(Words(part.column("text"), PARTS))
-                toxic = part.column("toxic").to_numpy(zero_copy_only=False) == 1
-                code, place = np.unique(codes.view(np.int64), return_inverse=True)
-                ones = np.bincount(place, toxic[row], minlength=len(code)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(ones), pa.array(np.bincount(place, minlength=len(code)).astype(np.int64))], ["code", "ones", "n"])
-
-    a, b = F.col("ones").cast("double"), (F.col("n") - F.col("ones")).cast("double")
-    c, d = F.lit(float(pos)) - a, F.lit(float(neg)) - b
-    chi2 = (a * d - b * c) * (a * d - b * c) * float(pos + neg) / F.greatest((a + b) * (c + d) * float(max(pos, 1)) * float(max(neg, 1)), F.lit(1e-9))
-    odds = F.abs(F.log((a + 0.5) / (c + 0.5) / ((b + 0.5) / (d + 0.5))))
-    counted = sample.select("text", "toxic").mapInArrow(occurring, "code long, ones long, n long").groupBy("code").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
-    useful = counted.where(f"n >= {LEAST_EXAMPLES}").select("code", "n", chi2.alias("chi2"), odds.alias("odds")).where(f"chi2 >= {LEAST_CHI2} and odds >= {LEAST_LOG_ODDS}")
-    kept = useful.orderBy(F.desc("chi2"), "code").limit(terms).collect()  # at most ``terms`` rows
-    codes = np.array([r["code"] for r in kept], np.int64).view(np.uint64)
-    order = np.argsort(codes)
-    df = np.array([r["n"] for r in kept], float)[order]
-    base = (pos + 1) / (pos + neg + 2)
-    model = Model(codes[order], [], np.log((1 + pos + neg) / (1 + df)) + 1, *(np.zeros(0, np.int64),) * 4, np.zeros(0), base, [])
-
-    def vectored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = model.vectors(part.column("text"))
-                some = [k for k, v in enumerate(found) if len(v[0])]
-                names = _names(model, part.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(some, pa.int64())), part.column("toxic").take(pa.array(some, pa.int64())), pa.array([found[k][0] for k in some], pa.list_(pa.int64())), pa.array([found[k][1] for k in some], pa.list_(pa.float64())), pa.array([[f"{t}:{n}" for t, n in names.items()] if j == 0 else [] for j in range(len(some))], pa.list_(pa.string()))],
-                    ["doc_id", "toxic", "terms", "weights", "names"],
-                )
-
-    rows = sample.mapInArrow(vectored, "doc_id long, toxic int, terms array<long>, weights array<double>, names array<string>").collect()  # at most ``examples`` rows
-    names = dict(x.split(":", 1) for r in rows for x in r["names"])
-    model.names = [names.get(str(k), "") for k in range(len(codes))]
-    # Examples of like terms side by side: their blocks have tight bounds.
-    rows.sort(key=lambda r: (sorted(zip((-w for w in r["weights"]), r["terms"], strict=True)), r["doc_id"]))
-    model.example_ids = np.array([r["doc_id"] for r in rows], np.int64)
-    model.labels = np.array([r["toxic"] == 1 for r in rows], float)
-    model.first = np.concatenate([[0], np.cumsum([len(r["terms"]) for r in rows])]).astype(np.int64)
-    model.term = np.array([t for r in rows for t in r["terms"]], np.int64)
-    model.weight = np.array([w for r in rows for w in r["weights"]], float)
-    block = np.repeat(np.arange(len(rows)) // BLOCK, np.diff(model.first))
-    for t in range(len(codes)):
-        own = np.flatnonzero(model.term == t)
-        blocks = np.unique(block[own])
-        most = np.array([model.weight[own][block[own] == x].max() for x in blocks])
-        model.block_term.append((blocks, most))
+                codes, row, times, _, _ = row_terms(Words(part.column("text"), PARTS))
+                order = np.lexsort((codes, row))
+                codes, times = codes[order], times[order].astype(np.int32)
+                edges = np.searchsorted(row[order], np.arange(part.num_rows + 1)).tolist()
+                held = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in (codes, times)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *(pa.array(x, pa.binary()) for x in held)], ["doc_id", "toxic", "codes", "times"])
+
+    # At most ``examples`` rows: 12 bytes for each distinct term of an example.
+    found = sample.mapInArrow(counted, "doc_id long, toxic int, codes binary, times binary").toArrow()
+    ids, toxic = found["doc_id"].to_numpy().astype(np.int64), found["toxic"].to_numpy() == 1
+    codes, times = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_py(), t) for x in found[c])]) for c, t in (("codes", np.uint64), ("times", np.int32)))
+    first = np.concatenate([[0], np.cumsum([len(x.as_py()) // 8 for x in found["codes"]])]).astype(np.int64)
+    del found
+    model = index(ids, toxic, first, codes, times)
+    del codes, times
+    release()
     # Calibration: each example is voted on by the others.
     sent = spark.sparkContext.broadcast(model)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
+        by_id = np.argsort(own.example_ids)
         for batch in batches:
-            raws = []
-            for k in batch.column("id").to_pylist():
-                lo, hi = own.first[k], own.first[k + 1]
-                raws.append(own.vote(*own.search(own.term[lo:hi], own.weight[lo:hi], leave=k)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raws, pa.float64())], ["id", "raw"])
-
-    if len(rows):
-        votes = spark.range(len(rows)).mapInArrow(alone, "id long, raw double").collect()
+            for part in slices(batch):
+                places = by_id[np.searchsorted(own.example_ids, part.column("doc_id").to_numpy(), sorter=by_id)]
+                raws = [own.vote(*own.search(t, w, leave=k)) if len(t) else np.nan for (t, w, _), k in zip(own.vectors(part.column("text")), places.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(raws, pa.float64())], ["id", "raw"])
+
+    votes = sample.mapInArrow(alone, "id long, raw double").where("not isnan(raw)").collect()  # at most ``examples`` rows
+    if votes:
         place, raw = np.array([v["id"] for v in votes]), np.array([v["raw"] for v in votes])
-        model.knots = isotonic(raw, model.labels[place], 1.0, base)
+        model.knots = isotonic(raw, model.labels[place], 1.0, model.base_rate)
+    sent.unpersist()
     return model
 
 
-def _names(model: Model, texts: pa.Array) -> dict[int, str]:
-    """Some spelling of each term of the model in these texts."""
-    words = Words(texts, PARTS)
-    codes, _, _, start, end = row_terms(words)
-    place = np.searchsorted(model.terms, codes)
-    place[place == len(model.terms)] = 0
-    known = np.flatnonzero(model.terms[place] == codes) if len(model.terms) else np.zeros(0, np.int64)
-    found, at = np.unique(place[known], return_index=True)
-    spans = [(int(t), known[k]) for t, k in zip(found, at, strict=True)]
-    return {t: words.data[start[k] : end[k]].tobytes().decode("utf-8", "replace") for t, k in spans}
-
-
 def scorer(model: Model, spark: SparkSession):
     """A column function from texts to scores: the search and vote of ``score`` without its evidence."""
     sent = spark.sparkContext.broadcast(model)  # bounded, see Model
@@ -273,10 +296,10 @@ def scorer(model: Model, spark: SparkSession):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Scores of every whole text: doc_id, score, predicted, and as evidence the matched
-    terms and the nearest examples with cosine and label.
+    """Scores of every whole text: doc_id, score, predicted, and as evidence the heaviest
+    matched terms and the nearest examples with cosine and label.
 
-    A text without any term of the model, a null or an empty one gets the vote of the
+    A text without any term of the examples, a null or an empty one gets the vote of the
     base rate. Repeated rows are each returned, null doc ids stay null. No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see Model
@@ -287,11 +310,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 scores, near, matched = [], [], []
-                for terms, weights in own.vectors(part.column("text")):
+                for terms, weights, named in own.vectors(part.column("text")):
                     value, at, cosine = own.near(terms, weights)
                     scores.append(value)
                     near.append([{"doc_id": int(own.example_ids[k]), "cosine": float(x), "label": int(own.labels[k])} for k, x in zip(at[:5], cosine[:5], strict=True)])
-                    matched.append([own.names[t] for t in terms[np.argsort(-weights)][:5]])
+                    matched.append(named)
                 value = np.array(scores)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(matched, pa.list_(pa.string())), pa.array(near, evidence)], ["doc_id", "score", "predicted", "terms", "nearest"]

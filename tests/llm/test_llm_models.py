@@ -1,5 +1,6 @@
 """Toxicity, secrets, language models and the pipeline against brute force and held-out labels."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -27,26 +28,105 @@ def held_out(doc_id, parts):
 def test_search_is_exact():
     rng = np.random.default_rng(2)
     m, n = 500, 60
-    model = toxicity.Model(np.arange(n, dtype=np.uint64), [""] * n, np.ones(n), np.arange(m), rng.integers(0, 2, m).astype(float), np.zeros(0), np.zeros(0), np.zeros(0), 0.1, [])
-    dense = rng.random((m, n)) * (rng.random((m, n)) < 0.08)
-    dense[100:150] = dense[7]  # ties
+    times = rng.integers(1, 6, (m, n)) * (rng.random((m, n)) < np.where(np.arange(n) < 12, 0.4, 0.06))
+    times[100:150] = times[7]  # ties
+    rows, codes = np.nonzero(times)
+    toxic = rng.random(m) < 0.3
+    model = toxicity.index(np.arange(m) * 2, toxic, np.searchsorted(rows, np.arange(m + 1)), codes.astype(np.uint64), times[rows, codes].astype(np.int32))
+    assert 0 < model.dense.shape[1] < n and len(model.terms) == n
+    dense = np.where(times > 0, 1 + np.log(np.maximum(times, 1)), 0) * model.weight
+    dense = dense[model.example_ids // 2]
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
-    rows, model.term = np.nonzero(dense)
-    model.weight = dense[rows, model.term]
-    model.first = np.searchsorted(rows, np.arange(m + 1))
-    for t in range(n):
-        own = np.flatnonzero(model.term == t)
-        at = np.unique(rows[own] // toxicity.BLOCK)
-        model.block_term.append((at, np.array([model.weight[own][rows[own] // toxicity.BLOCK == b].max() for b in at])))
-    for q in [*rng.integers(0, m, 40), 7, 120]:
+    assert (toxic[model.example_ids // 2] == model.labels).all()
+    for q in [*rng.integers(0, m, 60), *np.flatnonzero(np.isin(model.example_ids, [14, 240]))]:
         terms = np.flatnonzero(dense[q])
         cosine = dense @ dense[q]
-        order = np.lexsort((np.arange(m), -np.round(cosine, 12)))[: toxicity.NEIGHBOURS]
-        order = order[cosine[order] > 1e-12]
-        at, found = model.search(terms, dense[q][terms])
-        assert at.tolist() == order.tolist() and np.allclose(found, np.minimum(cosine[order], 1))
-        left = model.search(terms, dense[q][terms], leave=int(q))[0]
-        assert q not in left
+        for leave in (None, int(q)):
+            order = np.lexsort((np.arange(m), -np.round(cosine, 12)))
+            order = order[(cosine[order] > 1e-12) & (order != leave)][: toxicity.NEIGHBOURS]
+            at, found = model.search(terms, dense[q][terms], leave=leave)
+            assert at.tolist() == order.tolist() and np.allclose(found, np.minimum(cosine[order], 1), rtol=0, atol=1e-12)
+
+
+def terms_of(text):
+    """Times of each term by its definition, by regular expressions."""
+    words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode() for w in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", text or "")]
+    times = Counter((0, w) for w in words)
+    for n in toxicity.BEGINNINGS:
+        times.update((n, w[:n]) for w in words if len(w) > n)
+    more = {(*t, level): 1 for t, c in times.items() for level, least in enumerate(toxicity.SHARES, 1) if c > 1 and c / len(words) >= least}
+    return dict(times) | more
+
+
+def brute_toxicity(texts, labels):
+    """Scores and first neighbours by comparing each text with all examples."""
+    examples = {d: terms_of(texts[d]) for d in labels if not held_out(d, 5)}
+    n, pos = len(examples), sum(labels[d] for d in examples)
+    df, ones = Counter(), Counter()
+    for d, ts in examples.items():
+        df.update(ts.keys())
+        ones.update(ts.keys() if labels[d] else ())
+    weight = {}
+    for t, f in df.items():
+        a, b, c, e = ones[t], f - ones[t], pos - ones[t], n - pos - f + ones[t]
+        chi2 = (a * e - b * c) ** 2 * n / max(f * (c + e) * max(pos, 1) * max(n - pos, 1), 1e-9)
+        odds = abs(math.log((a + 0.5) / (c + 0.5) / ((b + 0.5) / (e + 0.5))))
+        telling = f >= toxicity.LEAST_EXAMPLES and chi2 >= toxicity.LEAST_CHI2 and odds >= toxicity.LEAST_LOG_ODDS
+        weight[t] = math.log((n + 1) / (f + 0.5)) * (1 if telling else toxicity.ORDINARY)
+
+    def unit(ts):
+        found = {t: (1 + math.log(c)) * weight[t] for t, c in ts.items() if t in weight}
+        length = math.sqrt(sum(x * x for x in found.values()))
+        return {t: x / length for t, x in found.items()}
+
+    base = (pos + 1) / (n + 2)
+    units = {d: unit(ts) for d, ts in examples.items()}
+
+    def near(v, leave=None):
+        cosine = [(round(sum(x * u.get(t, 0) for t, x in v.items()), 12), d) for d, u in units.items() if d != leave]
+        best = sorted((c for c in cosine if c[0] > 1e-12), reverse=True)
+        return best[: toxicity.NEIGHBOURS], best
+
+    def vote(best):
+        w = [toxicity.LEAST_DISTANCE / (toxicity.LEAST_DISTANCE + 1 - c) for c, _ in best]
+        return (sum(x * labels[d] for x, (_, d) in zip(w, best, strict=True)) + toxicity.PRIOR_VOTES * base) / (sum(w) + toxicity.PRIOR_VOTES)
+
+    raws = [(vote(near(u, d)[0]), labels[d]) for d, u in units.items() if u]
+    knots = toxicity.isotonic(np.array([r for r, _ in raws]), np.array([y for _, y in raws], float), 1.0, base)
+    scores, first = {}, {}
+    for d, text in texts.items():
+        v = unit(terms_of(text))
+        best, everything = near(v)
+        scores[d] = float(np.interp(vote(best), *knots)) if v else min(float(np.interp(base, *knots)), base)
+        first[d] = [c for c, _ in everything[:5]]
+    return scores, first
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{k:03d}e" for k in range(150)] + ["été", "naïve", "Ünder"]
+    texts, labels = {}, {}
+    for d in range(200):
+        some = [words[int(len(words) * x * x)] for x in rng.random(rng.integers(3, 60))]
+        labels[d] = int(rng.random() < 0.3)
+        if labels[d]:
+            some += ["vilest", "Vileness", "foul"][: rng.integers(1, 4)] * int(rng.integers(1, 3))
+        texts[d] = ", ".join(some)
+    texts[201] = texts[4]
+    texts |= {202: "", 203: None, 204: "unheard", 205: "only of unseen but rareword"}
+    texts[8], labels[8] = "rareword vocabulary alone", 1  # copies are found by words of one example
+    texts[207] = "rareword vocabulary alone"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r for r in toxicity.classify(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
+    scores, first = brute_toxicity(texts, labels)
+    assert found.keys() == scores.keys()
+    for d, r in found.items():
+        assert abs(r.score - scores[d]) < 1e-9, d
+        assert np.allclose([x.cosine for x in r.nearest], first[d], atol=1e-9)
+    copies = {201: 4, 207: 8}
+    for copy, of in copies.items():
+        assert not held_out(of, 5) and (found[copy].nearest[0].doc_id, round(found[copy].nearest[0].cosine, 9)) == (of, 1)
+    assert len({scores[d] for d in (202, 203, 204)}) == 1
 
 
 def test_isotonic_is_monotone():
