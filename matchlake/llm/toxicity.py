@@ -201,16 +201,21 @@ def index(ids: np.ndarray, toxic: np.ndarray, first: np.ndarray, codes: np.ndarr
     edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
     terms, first = codes[edge], np.append(edge, len(codes))
     df = np.diff(first).astype(float)
-    a = np.add.reduceat(toxic[owner].astype(float), edge) if len(edge) else np.zeros(0)
+    a = np.add.reduceat(toxic[owner].view(np.uint8), edge, dtype=np.int64).astype(float) if len(edge) else np.zeros(0)
     b, c, d = df - a, pos - a, neg - df + a
     chi2 = (a * d - b * c) ** 2 * (pos + neg) / np.maximum(df * (c + d) * max(pos, 1) * max(neg, 1), 1e-9)
     odds = np.abs(np.log((a + 0.5) / (c + 0.5) / ((b + 0.5) / (d + 0.5))))
     telling = (df >= LEAST_EXAMPLES) & (chi2 >= LEAST_CHI2) & (odds >= LEAST_LOG_ODDS)
     weight = np.log((count + 1) / (df + 0.5)) * np.where(telling, 1.0, ORDINARY)
-    distinct, level = np.unique(times, return_inverse=True)
+    distinct = np.flatnonzero(np.bincount(times))
     levels = np.concatenate([[0.0], 1 + np.log(distinct)])
-    level = (level + 1).astype(np.min_scalar_type(len(distinct) + 1))
-    norm = np.sqrt(np.bincount(owner, (levels[level] * np.repeat(weight, np.diff(first))) ** 2, minlength=count))
+    level = np.searchsorted(distinct, times).astype(np.min_scalar_type(len(distinct) + 1)) + 1
+    term = np.repeat(np.arange(len(terms), dtype=np.int32), np.diff(first))
+    norm = np.zeros(count)
+    for k in range(0, len(owner), 1 << 20):
+        some = slice(k, k + (1 << 20))
+        norm += np.bincount(owner[some], (levels[level[some]] * weight[term[some]]) ** 2, minlength=count)
+    norm = np.sqrt(norm)
     # Examples of like length side by side: their blocks have tight bounds.
     by_norm = np.lexsort((ids, norm))
     place = np.empty(count, np.min_scalar_type(max(count, 1)))
@@ -218,9 +223,9 @@ def index(ids: np.ndarray, toxic: np.ndarray, first: np.ndarray, codes: np.ndarr
     owner, norm = place[owner], np.maximum(norm[by_norm], 1e-300)
     many = df * COMMON > count
     common = np.where(many, np.cumsum(many) - 1, -1)
-    of_many = np.repeat(many, np.diff(first))
+    of_many = many[term]
     dense = np.zeros((count, int(many.sum())), level.dtype)
-    dense[owner[of_many], np.repeat(common, np.diff(first))[of_many]] = level[of_many]
+    dense[owner[of_many], common[term[of_many]]] = level[of_many]
     blocks = -(-count // BLOCK)
     most = np.zeros((dense.shape[1], blocks))
     for k in range(blocks):
