@@ -41,6 +41,8 @@ SHARES = (0.004, 0.008, 0.016)
 BEGINNINGS = (4, 5)
 NEIGHBOURS = 15
 BLOCK = 16
+#: Texts that are searched together, and blocks opened before the others are judged.
+TOGETHER, FIRST = 128, 64
 #: Votes of the base rate against those of the neighbours, and the distance of an equal.
 PRIOR_VOTES, LEAST_DISTANCE = 0.5, 0.1
 
@@ -95,41 +97,54 @@ class Model:
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples (ties by place) and their cosines, exactly."""
-        count = len(self.labels)
-        value = weights * self.weight[terms]
-        column = self.common[terms]
-        rare = column < 0
-        start = self.first[terms[rare]]
-        length = self.first[terms[rare] + 1] - start
-        at = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
-        partial = np.bincount(self.example[at], np.repeat(value[rare], length) * self.levels[self.level[at]], minlength=count) / self.norm
-        if leave is not None:
-            partial[leave] = -np.inf
-        column, value = column[~rare], value[~rare]
-        rest = value @ self.most[column]
-        padded = np.full(len(rest) * BLOCK, -np.inf)
-        padded[:count] = partial
-        bounds = rest + padded.reshape(-1, BLOCK).max(axis=1)
-        order = np.argsort(-bounds, kind="stable")
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        least, done, step = 1e-12, 0, 4
-        while done < len(order):
-            blocks = order[done : done + step]
-            blocks = blocks[bounds[blocks] >= least]
-            if not len(blocks):
-                break
-            at = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            at = at[at < count]
-            at = at[partial[at] + rest[at // BLOCK] >= least]
-            score = partial[at] + self.levels[self.dense[np.ix_(at, column)]] @ value / self.norm[at]
-            some = score > 1e-12
-            best_at, best = np.concatenate([best_at, at[some]]), np.concatenate([best, score[some]])
-            first = np.lexsort((best_at, -np.round(best, 12)))[:k]
-            best_at, best = best_at[first], best[first]
-            if len(best) == k:
-                least = max(least, best[-1] - 2e-12)
-            done, step = done + step, step * 3
-        return best_at, np.minimum(best, 1.0)
+        return self.searches([(terms, weights)], k, [leave])[0]
+
+    def searches(self, queries: list[tuple], k: int = NEIGHBOURS, leave: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """A search for each of the queries (terms, weights); a block is opened for many at once."""
+        out = []
+        for a in range(0, len(queries), TOGETHER):
+            out += self._searches(queries[a : a + TOGETHER], k, leave[a : a + TOGETHER] if leave else None)
+        return out
+
+    def _searches(self, queries: list[tuple], k: int, leave: list[int | None] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        count, blocks = len(self.labels), self.most.shape[1]
+        partial = np.full((len(queries), blocks * BLOCK), -np.inf)
+        of_common = np.zeros((len(queries), len(self.most)))
+        for i, (terms, weights, *_) in enumerate(queries):
+            value, column = weights * self.weight[terms], self.common[terms]
+            rare = column < 0
+            of_common[i, column[~rare]] = value[~rare]
+            start = self.first[terms[rare]]
+            length = self.first[terms[rare] + 1] - start
+            at = np.repeat(start - np.cumsum(length) + length, length)
+            at += np.arange(len(at))
+            add = self.levels.take(self.level.take(at, mode="clip"), mode="clip")
+            add *= np.repeat(value[rare], length)
+            partial[i, :count] = np.bincount(self.example.take(at, mode="clip"), add, minlength=count) / self.norm
+            if leave and leave[i] is not None:
+                partial[i, leave[i]] = -np.inf
+        bounds = of_common @ self.most + partial.reshape(len(queries), blocks, BLOCK).max(axis=2)
+        score = np.full_like(partial, -np.inf)
+
+        def opened(chosen: np.ndarray) -> None:
+            for block in np.flatnonzero(chosen.any(axis=0)).tolist():
+                who, span = np.flatnonzero(chosen[:, block]), slice(block * BLOCK, min(count, (block + 1) * BLOCK))
+                score[who, span] = partial[who, span] + of_common[who] @ self.levels.take(self.dense[span], mode="clip").T / self.norm[span]
+
+        top = np.zeros(bounds.shape, bool)
+        if blocks:
+            np.put_along_axis(top, np.argpartition(-bounds, min(FIRST, blocks) - 1, axis=1)[:, :FIRST], True, axis=1)
+        opened(top)
+        least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(score), -np.inf)
+        least = np.maximum(least - 2e-12, 1e-12)
+        opened((bounds >= least[:, None]) & ~top)
+        out = []
+        for row, enough in zip(score, least.tolist(), strict=True):
+            at = np.flatnonzero(row > enough)
+            cosine = np.round(row[at], 12)
+            order = np.lexsort((at, -cosine))[:k]
+            out.append((at[order], np.minimum(cosine[order], 1.0)))
+        return out
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Share of label 1 among neighbours, each weighing by its distance, and the base rate."""
@@ -159,15 +174,21 @@ class Model:
             out.append((t, full / length if b > a else full, named))
         return out
 
-    def near(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Score, nearest examples and their cosines; the base rate's vote without any term."""
-        if not len(terms):
-            return min(self.calibrated(self.base_rate), self.base_rate), np.zeros(0, np.int64), np.zeros(0)
-        at, cosine = self.search(terms, weights)
-        return min(1.0, max(0.0, self.calibrated(self.vote(at, cosine)))), at, cosine
+    def near(self, queries: list[tuple]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, nearest examples and their cosines of each; the base rate's vote without any term."""
+        known = [v for v in queries if len(v[0])]
+        found = iter(self.searches(known))
+        out = []
+        for terms, *_ in queries:
+            if not len(terms):
+                out.append((min(self.calibrated(self.base_rate), self.base_rate), np.zeros(0, np.int64), np.zeros(0)))
+                continue
+            at, cosine = next(found)
+            out.append((min(1.0, max(0.0, self.calibrated(self.vote(at, cosine)))), at, cosine))
+        return out
 
     def scores(self, texts: pa.Array) -> list[float]:
-        return [self.near(t, w)[0] for t, w, _ in self.vectors(texts)]
+        return [value for value, _, _ in self.near(self.vectors(texts))]
 
 
 def isotonic(raw: np.ndarray, labels: np.ndarray, weight_of_base: float, base: float) -> tuple[np.ndarray, np.ndarray]:
@@ -274,11 +295,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
         by_id = np.argsort(own.example_ids)
         for batch in batches:
             for part in slices(batch):
-                places = by_id[np.searchsorted(own.example_ids, part.column("doc_id").to_numpy(), sorter=by_id)]
-                raws = [own.vote(*own.search(t, w, leave=k)) if len(t) else np.nan for (t, w, _), k in zip(own.vectors(part.column("text")), places.tolist(), strict=True)]
+                queries = own.vectors(part.column("text"))
+                some = [j for j, v in enumerate(queries) if len(v[0])]
+                places = by_id[np.searchsorted(own.example_ids, part.column("doc_id").to_numpy(), sorter=by_id)][some]
+                raws = [own.vote(*v) for v in own.searches([queries[j] for j in some], leave=places.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(raws, pa.float64())], ["id", "raw"])
 
-    votes = sample.mapInArrow(alone, "id long, raw double").where("not isnan(raw)").collect()  # at most ``examples`` rows
+    votes = sample.mapInArrow(alone, "id long, raw double").collect()  # at most ``examples`` rows
     if votes:
         place, raw = np.array([v["id"] for v in votes]), np.array([v["raw"] for v in votes])
         model.knots = isotonic(raw, model.labels[place], 1.0, model.base_rate)
@@ -315,8 +338,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 scores, near, matched = [], [], []
-                for terms, weights, named in own.vectors(part.column("text")):
-                    value, at, cosine = own.near(terms, weights)
+                queries = own.vectors(part.column("text"))
+                for (_, _, named), (value, at, cosine) in zip(queries, own.near(queries), strict=True):
                     scores.append(value)
                     near.append([{"doc_id": int(own.example_ids[k]), "cosine": float(x), "label": int(own.labels[k])} for k, x in zip(at[:5], cosine[:5], strict=True)])
                     matched.append(named)
