@@ -162,13 +162,28 @@ def _matchup(home: dict, away: dict, home_name: str, away_name: str, diff: str)
     )
 
 
-def features(games: DataFrame, finals: DataFrame) -> DataFrame:
-    """One row per game whose two sides both have an earlier final state."""
-    paired = attach_sides(
+def side_sums(games: DataFrame, finals: DataFrame, tasks: int | None = None) -> DataFrame:
+    """What the features follow from, for games whose two sides both have an earlier final state.
+
+    ``tasks`` is the number that the games' wide rows are dealt to, see ``attach_sides``.
+    """
+    return attach_sides(
         games.select("game_id", "season", "start", "home_team", "away_team"),
         team_form(games, finals),
         _PER_SIDE,
-    ).filter("home_n > 0 AND away_n > 0")
+        tasks,
+    ).filter("home_n > 0 AND away_n > 0").select(
+        "game_id", *[f"{side}_{x}" for side in ("home", "away") for x in _PER_SIDE]
+    )
+
+
+def features(games: DataFrame, finals: DataFrame) -> DataFrame:
+    """One row per game whose two sides both have an earlier final state."""
+    return features_of(side_sums(games, finals))
+
+
+def features_of(paired: DataFrame) -> DataFrame:
+    """Features from ``side_sums``, row by row."""
     basic = _matchup(
         _figures(*_of("home")), _figures(*_of("away")), "Home_{}", "Away_{}", "{}_Diff"
     )

@@ -56,12 +56,16 @@ def totals_before(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
     )
 
 
-def attach_sides(games: DataFrame, totals: DataFrame, names: list[str]) -> DataFrame:
+def attach_sides(
+    games: DataFrame, totals: DataFrame, names: list[str], tasks: int | None = None
+) -> DataFrame:
     """Games with ``home_<name>`` and ``away_<name>`` from a per-start table.
 
-    A game without a team, season or start keeps nulls there: it has no past.
+    A game without a team, season or start keeps nulls there: it has no past. Rows
+    grow wide here: ``tasks`` deals them to that many tasks if a shuffle has fewer.
     """
     out = games
+    deal = tasks is not None and tasks > int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for side in ("home", "away"):
         view = totals.select(
             "season",
@@ -69,7 +73,10 @@ def attach_sides(games: DataFrame, totals: DataFrame, names: list[str]) -> DataF
             "start",
             *[F.col(n).alias(f"{side}_{n}") for n in names],
         )
-        out = out.join(view, ["season", f"{side}_team", "start"], "left")
+        keys = ["season", f"{side}_team", "start"]
+        if deal:
+            out = out.repartition(tasks, *keys)
+        out = out.join(view, keys, "left")
     return out
 
 

@@ -31,7 +31,7 @@ def refresh(games: DataFrame, plays: DataFrame, tables: KeyedTables) -> Refreshe
     finals = tables.save("finals", states.final_states(derived))
     ended = finals.selectExpr("game_id", "true AS is_final_state")
     flagged = queues.finalize_pregame(states.finalize_games(games, ended), history.prior_counts(games, finals))
-    known = tables.save("features", features.features(games, finals))
+    known = tables.save("features", features.side_sums(games, finals, tables.buckets), features.features_of)
     told = tables.save("predictions", predict.baseline(known))
     return Refreshed(tables.save("games", flagged), finals, known, told)
 

@@ -31,7 +31,7 @@ from matchlake.operators import (
 from matchlake.plans import landed
 from matchlake.sources import contest, payloads
 from matchlake.sources.shared import materialized, new_folder
-from matchlake.sources.store import BucketStore, KeyedTables
+from matchlake.sources.store import BucketStore, KeyedTables, buckets_for
 from matchlake.streaming import closing, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,6 +226,10 @@ def _(t):
 _STORES: dict[tuple, KeyedTables] = {}
 
 
+def _game_tables(t: Tables) -> KeyedTables:
+    return KeyedTables(t.spark, "game_id", buckets_for(t.raw("orders").count()))
+
+
 def _feature_store(t: Tables, anew: bool = False) -> KeyedTables:
     """Features, games and finals bucketed by game, built by the first reader of a folder in a session.
 
@@ -233,10 +237,10 @@ def _feature_store(t: Tables, anew: bool = False) -> KeyedTables:
     """
     key = (t.spark.sparkContext.applicationId, *sorted(t.raw("orders").inputFiles()))
     if anew or key not in _STORES:
-        tables = KeyedTables(t.spark, "game_id")
+        tables = _game_tables(t)
         finals = tables.save("finals", t.finals)
-        tables.save("games", t.games)
-        tables.save("features", features.features(t.games, finals))
+        games = tables.save("games", t.games)
+        tables.save("features", features.side_sums(games, finals, tables.buckets), features.features_of)
         _STORES[key] = tables
     return _STORES[key]
 
@@ -259,7 +263,7 @@ def _(t):
 
 @query("pipeline_pregame")
 def _(t):
-    done = pregame.refresh(t.games, t.plays, KeyedTables(t.spark, "game_id"))
+    done = pregame.refresh(t.games, t.plays, _game_tables(t))
     return pregame.predicted_games(done)
 
 

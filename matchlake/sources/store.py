@@ -15,6 +15,7 @@ aggregates by it, need neither an exchange nor a sort.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from matchlake.sources.shared import new_folder
 BUCKETS = 16
 #: Deliveries after which buckets are compacted.
 DELTAS = 8
+#: Rows of a bucket of ``KeyedTables``: few enough that a task sorts them in memory.
+BUCKET_ROWS = 1 << 18
 
 _PLACE = ["kind", "bucket", "version"]
 
@@ -125,6 +128,11 @@ class BucketStore:
             self._write(self.read(long, upto), "base", upto)
 
 
+def buckets_for(rows: int) -> int:
+    """Buckets of tables of about so many rows."""
+    return max(BUCKETS, -(-rows // BUCKET_ROWS))
+
+
 class KeyedTables:
     """Tables with the same key and number of buckets, by name, for the life of a session."""
 
@@ -135,14 +143,22 @@ class KeyedTables:
     def __contains__(self, name: str) -> bool:
         return name in self.names
 
-    def save(self, name: str, rows: DataFrame) -> DataFrame:
-        """Write a table anew, one sorted file per bucket, and read it."""
+    def save(
+        self, name: str, rows: DataFrame, derive: Callable[[DataFrame], DataFrame] | None = None
+    ) -> DataFrame:
+        """Write a table anew, one sorted file per bucket, and read it.
+
+        ``derive`` makes the stored columns row by row where the rows as given are narrower:
+        it comes after the shuffle.
+        """
         stored = f"{name}_{uuid.uuid4().hex}"
+        placed = rows.repartition(self.buckets, self.key)
         (
-            rows.repartition(self.buckets, self.key)
+            (placed if derive is None else derive(placed))
             .write.bucketBy(self.buckets, self.key)
             .sortBy(self.key)
             .option("path", new_folder(self.spark, name))
+            .option("compression", "zstd")
             .saveAsTable(stored, format="parquet")
         )
         self.names[name] = stored

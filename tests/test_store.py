@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from matchlake.operators import features, predict, pregame, states
 from matchlake.sources import contest
-from matchlake.sources.store import BucketStore, KeyedTables
+from matchlake.sources.store import BUCKET_ROWS, BUCKETS, BucketStore, KeyedTables, buckets_for
 
 
 def rows(spark, *data):
@@ -110,3 +110,27 @@ def test_a_refresh_equals_its_steps(spark, small):
     ended = {r.game_id for r in finals.collect()}
     assert len(told) == games.count()
     assert all(r.game_data_finalized for g, r in told.items() if g in ended)
+
+
+def test_buckets_follow_the_rows():
+    assert buckets_for(0) == buckets_for(1000) == BUCKETS
+    assert buckets_for(BUCKET_ROWS * 100 + 1) == 101
+
+
+def test_derived_columns_come_after_the_shuffle(spark):
+    tables = KeyedTables(spark, "game_id", 4)
+    given = rows(spark, *((k, "a") for k in range(20)))
+    kept = tables.save("wide", given, lambda frame: frame.withColumn("w", F.concat("v", F.lit("!"))))
+    assert {r.w for r in kept.collect()} == {"a!"} and kept.count() == 20
+
+
+def test_wide_rows_are_dealt_to_as_many_tasks_as_asked(spark, small):
+    games, finals = contest.games(spark, small), contest.finals(spark, small)
+    dealt = features.features_of(features.side_sums(games, finals, 20))
+    assert "hashpartitioning" in plan(dealt) and ", 20), REPARTITION_BY_NUM" in plan(dealt)
+    as_rows = lambda frame: sorted(map(str, frame.select([F.round(c, 6) for c in frame.columns]).collect()))
+    assert as_rows(dealt) == as_rows(features.features(games, finals))
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
