@@ -232,6 +232,8 @@ def range_scan(
             *rows.columns, F.col("cuts").isNotNull().alias("__cut"), _range(order).alias("__range")
         )
         group += ["__range"]
+        # Rows that are already dealt by key would leave all ranges of a group in one task.
+        held = held.repartition(*group)
     window = Window.partitionBy(*group).orderBy(*order)
 
     def source(column):

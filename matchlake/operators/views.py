@@ -7,20 +7,18 @@ from pyspark.sql import functions as F
 
 from matchlake.functions.clock import clock_label
 from matchlake.functions.labels import pick_percent, pick_winner, when_label
-from matchlake.operators.scan import ordered_scan
+from matchlake.operators.scan import RANGE_ROWS, range_scan
 
 PAGE_PLAYS = 1000
 
 
-def _paged(plays: DataFrame, newest_first: bool, page_plays: int) -> DataFrame:
+def _paged(plays: DataFrame, newest_first: bool, page_plays: int, most: int = RANGE_ROWS) -> DataFrame:
     """Number a game's plays by id and cut them into pages of bounded length."""
     play_id = F.coalesce("order_number", "action_id").cast("long")
     rows = plays.withColumn("play_id", play_id)
     rows = rows.withColumn("rank_id", -F.col("play_id") if newest_first else F.col("play_id"))
-    rows = rows.withColumn("seg", F.shiftright("rank_id", 20))
-    ranked = ordered_scan(
-        rows, ["game_id"], ["seg"], ["rank_id"], {"position": ("count", None)}
-    )
+    # Scanned by game: the pages, and what joins them by game, need no further exchange.
+    ranked = range_scan(rows, ["game_id"], ["rank_id"], {"position": ("count", None)}, most)
     page = F.floor((F.col("position") - 1) / page_plays).cast("int")
     return ranked.withColumn("page", page)
 

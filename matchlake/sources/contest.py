@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 TEAMS = 25
 UNKNOWN_TEAM = "TBD"
 GAME_END_ID = 900
+#: Lines that one task numbers and scans.
+LINES_PER_TASK = 1 << 19
 
 # How the source codes map to contest texts.
 STATUS = {"F": "Completed", "P": "In Progress", "O": "Not Started"}
@@ -78,20 +80,30 @@ def games(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _tasks(spark: SparkSession, folder: str) -> int:
+    """Tasks over the lines: by their number, which the files' footers tell."""
+    n = table(spark, folder, "lineitem").count()
+    return max(spark.sparkContext.defaultParallelism, -(-n // LINES_PER_TASK))
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    return keyed_lines(table(spark, folder, "lineitem"))
+    return keyed_lines(table(spark, folder, "lineitem"), _tasks(spark, folder))
 
 
-def keyed_lines(lineitem: DataFrame) -> DataFrame:
-    """Every line as one play, numbered within its order by all its columns.
+def keyed_lines(lineitem: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Every line as one play, numbered within its order.
 
     Line numbers repeat within an order, so they cannot be play ids themselves.
-    Equal lines get different numbers.
+    Lines equal in all columns that a play shows get different numbers, and which
+    gets which makes no difference. Only these columns are shuffled, over ``tasks``
+    tasks where that is given.
     """
     first = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    order = [*first, *sorted(set(lineitem.columns) - {"l_orderkey", *first})]
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))
-    return lineitem.select(
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*first))
+    shown = lineitem.select("l_orderkey", *first)
+    if tasks is not None:
+        shown = shown.repartition(tasks, "l_orderkey")
+    return shown.select(
         F.col("l_orderkey").alias("game_id"),
         number.cast("long").alias("play_id"),
         F.col("l_partkey").alias("part"),
@@ -187,7 +199,8 @@ def plays_of_lines(rows: DataFrame, both: bool = True) -> DataFrame:
 def plays(spark: SparkSession, folder: str, both: bool = True) -> DataFrame:
     """Landed plays of lines and the closing plays of finished games."""
     from_lines = plays_of_lines(lines(spark, folder), both)
-    ends = game_ends(spark, folder)
+    # Dealt as the lines are, so that what follows by game needs no further exchange.
+    ends = game_ends(spark, folder).repartition(_tasks(spark, folder), "game_id")
     end_running = (F.col("game_id") % 2 == 0) if both else F.lit(False)
     from_ends = ends.select(
         "game_id",
@@ -241,7 +254,8 @@ def _stored(rows: DataFrame, ends: DataFrame) -> DataFrame:
 
 def states(spark: SparkSession, folder: str) -> DataFrame:
     """Stored snapshots, (game_id, play_id) unique."""
-    return _stored(lines(spark, folder), game_ends(spark, folder))
+    ends = game_ends(spark, folder).repartition(_tasks(spark, folder), "game_id")
+    return _stored(lines(spark, folder), ends)
 
 
 def raw_states(spark: SparkSession, folder: str) -> DataFrame:
