@@ -1031,13 +1031,27 @@ def _(t):
 DELIVERIES = 3
 
 
+#: Files of one delivery at least, all read by one micro-batch, and rows of a file.
+FILES, FILE_ROWS = 4, 1 << 20
+
+
+def _deliveries(t: Tables, rows: DataFrame, number: Column) -> DataFrame:
+    """Rows as a stream, one micro-batch per number, in ascending order.
+
+    A delivery has as many files as its rows ask for, the same number in each.
+    """
+    path = f"{new_folder(t.spark, 'deliveries')}/rows.parquet"
+    held = rows.withColumn("delivery", number)
+    files = max(FILES, -(-t.raw("lineitem").count() // (DELIVERIES * FILE_ROWS)))
+    for k in range(DELIVERIES):  # the source reads files in the order in which they were written
+        held.filter(F.col("delivery") == k).drop("delivery").repartition(files).write.mode("append").parquet(path)
+    return live.read_stream(t.spark, path, files_per_batch=files)
+
+
 def _lines_stream(t: Tables) -> DataFrame:
     """Lines in several deliveries, one per micro-batch; most orders come in parts."""
-    folder = new_folder(t.spark, "deliveries")
-    path = f"{folder}/lineitem.parquet"
     part = F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(DELIVERIES))
-    t.raw("lineitem").repartitionByRange(DELIVERIES, part).write.parquet(path)
-    return live.read_stream(t.spark, path, files_per_batch=1)
+    return _deliveries(t, t.raw("lineitem"), part)
 
 
 def _readable(rows: DataFrame) -> DataFrame:
@@ -1088,23 +1102,12 @@ def _(t):
     return live.published(t.spark, folder, "game_id")
 
 
-#: Files of one delivery, all read by one micro-batch.
-FILES = 4
 #: Days that plays may be late, and days after its start that a game without an end is closed.
 LATE_DAYS, HOLD_DAYS = 30, 60
 #: Days that lines may be shipped before the newest line of earlier deliveries.
 SHIP_DAYS = 300
 
 
-def _deliveries(t: Tables, rows: DataFrame, number: Column) -> DataFrame:
-    """Rows as a stream, one micro-batch per number, in ascending order."""
-    path = f"{new_folder(t.spark, 'deliveries')}/rows.parquet"
-    held = materialized(rows.withColumn("delivery", number), "rows")
-    for k in range(DELIVERIES):  # the source reads files in the order in which they were written
-        held.filter(F.col("delivery") == k).drop("delivery").repartition(FILES).write.mode("append").parquet(path)
-    return live.read_stream(t.spark, path, files_per_batch=FILES)
-
-
 @query("stream_finalize")
 def _(t):
     moment = F.col("start").cast("timestamp")
@@ -1114,7 +1117,7 @@ def _(t):
     seconds = F.unix_timestamp(moment)
     cuts = t.games.agg(F.percentile_approx(seconds, [k / DELIVERIES for k in range(1, DELIVERIES)])).first()[0]
     number = reduce(lambda n, c: n + (F.unix_timestamp("start") > c).cast("int"), cuts, F.lit(0))
-    stream = _deliveries(t, told, number)
+    stream = _deliveries(t, materialized(told.withColumn("delivery", number), "rows"), F.col("delivery"))
     folder = closing.close_games(stream, "closed", f"{LATE_DAYS} days", HOLD_DAYS * 86400)
     done = closing.finalized(t.games, closing.closings(t.spark, folder))
     return done.select("game_id", "game_data_finalized", "reason")

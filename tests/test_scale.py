@@ -1,8 +1,10 @@
 """What the tables are shuffled by, and how many tasks and files share them."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchlake.operators import states, views
+from matchlake.plans import catalog
 from matchlake.sources import contest
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_tax double, l_shipdate timestamp"
@@ -53,3 +55,21 @@ def test_plays_pages_and_points_share_the_exchange_of_the_lines(spark, folder, s
     assert shuffled(plays) == 2  # lines and closing plays
     assert shuffled(views.condensed_plays(plays)) == 2
     assert shuffled(states.player_timeline(games, plays, None)) <= 3  # and the games
+
+
+def test_a_stream_of_many_files_gives_the_same_rows(spark, folder, monkeypatch):
+    monkeypatch.setattr(catalog, "FILE_ROWS", 20)
+    told = catalog.queries()["stream_dedup"](spark, folder)
+    want = contest.raw_lines(spark, folder).select("game_id", "play_id").distinct()
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_no_task_writes_a_whole_delivery(spark, folder, monkeypatch):
+    monkeypatch.setattr(catalog, "FILE_ROWS", 20)
+    seen = []
+    monkeypatch.setattr(catalog.live, "read_stream", lambda spark, path, files_per_batch: seen.append((path, files_per_batch)))
+    catalog._lines_stream(catalog.Tables(spark, folder))
+    (path, files), = seen
+    assert files == 7  # 400 rows in 3 deliveries
+    rows = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
+    assert len(rows) == 3 * files and max(r["count"] for r in rows) < 40
