@@ -18,6 +18,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of text that are made distinct together.
 SLICE_BYTES = 8 << 20
+#: Words whose ids are gathered together.
+GATHERED_WORDS = 1 << 16
 #: Words that occur more than once in a slice, whose ids a Python worker keeps; speed only.
 KEPT_WORDS = 150_000
 
@@ -105,15 +107,21 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     place = coded.indices.to_numpy(zero_copy_only=False)
     words_here = coded.dictionary.to_pylist()
     codes = _word_ids(path, words_here, np.bincount(place, minlength=len(words_here)))
+    del words, coded, words_here
     flat = np.frombuffer(b"".join(codes), np.uint32)
     count = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+    del codes
     first = np.cumsum(count) - count
-    lengths = count[place] if len(codes) else np.zeros(0, np.int64)
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    ids = flat[np.arange(total) + np.repeat(first[place] - (ends - lengths), lengths)] if total else np.zeros(0, np.uint32)
+    upto = np.zeros(len(place) + 1, np.int64)
+    if len(place):
+        np.cumsum(count[place], out=upto[1:])
+    ids = np.empty(upto[-1], np.uint32)
+    for a in range(0, len(place), GATHERED_WORDS):
+        here = upto[a : a + GATHERED_WORDS + 1]
+        at = np.repeat(first[place[a : a + GATHERED_WORDS]] - here[:-1], np.diff(here))
+        at += np.arange(here[0], here[-1])
+        ids[here[0] : here[-1]] = flat[at]
     edges = np.concatenate([[0], np.cumsum(per_row)])
-    upto = np.concatenate([[0], ends])
     return ids, upto[edges[1:]] - upto[edges[:-1]]
 
 

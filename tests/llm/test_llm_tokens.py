@@ -34,6 +34,25 @@ def rows(spark, texts):
     return spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, ids string, n_tokens int")
 
 
+def test_ids_are_gathered_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 500, 1000)) for _ in range(1000)] + ["", None])
+    want = tokens.encode(texts, PATH)
+    tracemalloc.start()
+    try:
+        tokens.encode(texts, PATH)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # Beside the ids: a place for each word, and no more for each id.
+    assert peak < want[0].nbytes + 20 * int(1e6) + 8e6
+    monkeypatch.setattr(tokens, "GATHERED_WORDS", 7)
+    some = tokens.encode(texts.slice(990), PATH)
+    assert np.array_equal(some[0], want[0][want[1][:990].sum() :]) and np.array_equal(some[1], want[1][990:])
+
+
 def test_words_equal_whole_texts(library):
     ids, counts = tokens.encode(pa.array([*ODD_TEXTS, None]), PATH)
     edges = np.concatenate([[0], np.cumsum(counts)])
