@@ -9,8 +9,9 @@ words. Every text is searched, whole.
 The inverted index has posting lists for the rarer terms, and for the common ones,
 whose lists would be long, rows of examples with the largest weight of each block of
 examples. A search adds up the lists, bounds what the common terms can still add to
-each block, opens blocks from the highest bound on and ends when no closed block can
-reach the k-th best.
+each block, opens runs of blocks from the highest bound on and leaves those closed in
+which no block can reach the k-th best. Open blocks are judged in single precision, and
+all examples that its error leaves a chance are compared again in double precision.
 
 Examples are a bounded sample of labelled rows; every text is scored.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -41,8 +43,12 @@ SHARES = (0.004, 0.008, 0.016)
 BEGINNINGS = (4, 5)
 NEIGHBOURS = 15
 BLOCK = 16
-#: Texts that are searched together, and blocks opened before the others are judged.
-TOGETHER, FIRST = 128, 64
+#: Bytes of text whose terms are counted together; a term takes some 150 bytes meanwhile.
+COUNTED_BYTES = 1 << 19
+#: Texts that are searched together, blocks that are opened together, and examples that are compared again together.
+TOGETHER, OPENED, AGAIN = 128, 64, 2048
+#: Longer posting lists are joined as they lie; of shorter ones the places are gathered.
+GATHERED = 64
 #: Votes of the base rate against those of the neighbours, and the distance of an equal.
 PRIOR_VOTES, LEAST_DISTANCE = 0.5, 0.1
 
@@ -50,6 +56,14 @@ PRIOR_VOTES, LEAST_DISTANCE = 0.5, 0.1
 PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+def by_row(codes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The order by row and code; places of the same row and code are in any order."""
+    order = np.argsort(codes)
+    rows = row[order]
+    # Few rows are sorted by counting.
+    return order[np.argsort(rows.astype(np.uint16) if rows.max(initial=0) < 1 << 16 else rows, kind="stable")]
+
+
 def row_terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct terms of each row: hash, row, times, and the byte range of one occurrence.
 
@@ -63,7 +77,7 @@ def row_terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         a = words.start[some]
         found.append((span_hashes(words.data, a, a + n, seed=n), words.row[some], a, a + n))
     code, row, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((code, row))
+    order = by_row(code, row)
     code, row = code[order], row[order]
     new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])) if len(code) else np.zeros(0, np.int64)
     times = np.diff(np.append(new, len(code)))
@@ -76,6 +90,13 @@ def row_terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def gathered(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of runs, one run after the other."""
+    at = np.repeat(start - np.cumsum(length) + length, length)
+    at += np.arange(len(at))
+    return at
+
+
 @dataclass
 class Model:
     """Everything a search needs; its size is bounded by the terms of the examples."""
@@ -87,7 +108,9 @@ class Model:
     norm: np.ndarray  # lengths of the examples' vectors
     first: np.ndarray  # where a term's postings begin; common terms have none
     example: np.ndarray  # of each posting
-    level: np.ndarray  # and its place in ``levels``
+    first_often: np.ndarray  # the same of the postings whose example repeats the term
+    often: np.ndarray
+    more: np.ndarray  # and how far their levels are over 1
     levels: np.ndarray  # 1 + log of the times a term occurs, 0 first
     common: np.ndarray  # a term's column among the common ones, or -1
     dense: np.ndarray  # places in ``levels``: examples x common terms
@@ -106,6 +129,32 @@ class Model:
             out += self._searches(queries[a : a + TOGETHER], k, leave[a : a + TOGETHER] if leave else None)
         return out
 
+    @cached_property
+    def shares(self) -> np.ndarray:
+        """What the common terms are of each example's vector, in single precision; whole blocks."""
+        out = np.zeros((self.most.shape[1] * BLOCK, self.dense.shape[1]), np.float32)
+        for a in range(0, len(self.dense), AGAIN):
+            out[a : a + AGAIN][: len(self.dense) - a] = self.levels[self.dense[a : a + AGAIN]] / self.norm[a : a + AGAIN, None]
+        return out
+
+    def _postings(self, terms: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """What rare terms of these values add up to with each example, before its norm."""
+        start, length = self.first[terms], self.first[terms + 1] - self.first[terms]
+        long = length > GATHERED
+        order = np.argsort(long, kind="stable")
+        start, length, long = start[order], length[order], int(long.sum())
+        short = len(terms) - long
+        at = np.empty(length.sum(), np.int64)
+        lists = [self.example[a : a + n] for a, n in zip(start[short:].tolist(), length[short:].tolist(), strict=True)]
+        np.concatenate([self.example.take(gathered(start[:short], length[:short])), *lists], out=at)
+        found = np.bincount(at, np.repeat(value[order], length), minlength=len(self.labels))
+        start, length = self.first_often[terms], self.first_often[terms + 1] - self.first_often[terms]
+        at = gathered(start, length)
+        more = self.more.take(at)
+        more *= np.repeat(value, length)
+        found += np.bincount(self.often.take(at), more, minlength=len(self.labels))
+        return found
+
     def _searches(self, queries: list[tuple], k: int, leave: list[int | None] | None) -> list[tuple[np.ndarray, np.ndarray]]:
         count, blocks = len(self.labels), self.most.shape[1]
         partial = np.full((len(queries), blocks * BLOCK), -np.inf)
@@ -114,36 +163,40 @@ class Model:
             value, column = weights * self.weight[terms], self.common[terms]
             rare = column < 0
             of_common[i, column[~rare]] = value[~rare]
-            start = self.first[terms[rare]]
-            length = self.first[terms[rare] + 1] - start
-            at = np.repeat(start - np.cumsum(length) + length, length)
-            at += np.arange(len(at))
-            add = self.levels.take(self.level.take(at, mode="clip"), mode="clip")
-            add *= np.repeat(value[rare], length)
-            partial[i, :count] = np.bincount(self.example.take(at, mode="clip"), add, minlength=count) / self.norm
+            partial[i, :count] = self._postings(terms[rare], value[rare]) / self.norm if rare.any() else 0.0
             if leave and leave[i] is not None:
                 partial[i, leave[i]] = -np.inf
         bounds = of_common @ self.most + partial.reshape(len(queries), blocks, BLOCK).max(axis=2)
-        score = np.full_like(partial, -np.inf)
-
-        def opened(chosen: np.ndarray) -> None:
-            for block in np.flatnonzero(chosen.any(axis=0)).tolist():
-                who, span = np.flatnonzero(chosen[:, block]), slice(block * BLOCK, min(count, (block + 1) * BLOCK))
-                score[who, span] = partial[who, span] + of_common[who] @ self.levels.take(self.dense[span], mode="clip").T / self.norm[span]
-
-        top = np.zeros(bounds.shape, bool)
-        if blocks:
-            np.put_along_axis(top, np.argpartition(-bounds, min(FIRST, blocks) - 1, axis=1)[:, :FIRST], True, axis=1)
-        opened(top)
-        least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(score), -np.inf)
-        least = np.maximum(least - 2e-12, 1e-12)
-        opened((bounds >= least[:, None]) & ~top)
+        # Sums of n products that are not negative, in single precision, are off by this share at most.
+        error = (len(self.most) + 16) * 2.0**-23
+        single, near = of_common.astype(np.float32), np.full(partial.shape, -np.inf, np.float32)
+        tops = np.full(bounds.shape, -np.inf, np.float32)
+        least = np.full(len(queries), 1e-12)
+        runs = [slice(a, min(blocks, a + OPENED)) for a in range(0, blocks, OPENED)]
+        for run in sorted(runs, key=lambda x: -bounds[:, x].max()):
+            who = np.flatnonzero(bounds[:, run].max(axis=1) >= least)
+            if not len(who):
+                continue
+            span = slice(run.start * BLOCK, run.stop * BLOCK)
+            found = single[who] @ self.shares[span].T
+            found += partial[who, span]
+            near[who, span] = found
+            tops[who, run] = found.reshape(len(who), -1, BLOCK).max(axis=2)
+            if blocks >= k:  # the k largest of different blocks are k examples
+                reached = np.partition(tops, blocks - k, axis=1)[:, blocks - k].astype(float)
+                least = np.maximum(np.where(reached > 0, reached * (1 - error), 0) - 3e-12, 1e-12)
+        chosen = near >= (least * (1 - 2 * error) - 1e-13)[:, None]
+        places = np.flatnonzero(chosen.any(axis=0))
+        score = np.full((len(queries), len(places)), -np.inf)
+        for a in range(0, len(places), AGAIN):
+            some = places[a : a + AGAIN]
+            score[:, a : a + AGAIN] = np.where(chosen[:, some], partial[:, some] + of_common @ self.levels[self.dense[some]].T / self.norm[some], -np.inf)
         out = []
-        for row, enough in zip(score, least.tolist(), strict=True):
-            at = np.flatnonzero(row > enough)
+        for row in score:
+            at = np.flatnonzero(row > 1e-12)
             cosine = np.round(row[at], 12)
             order = np.lexsort((at, -cosine))[:k]
-            out.append((at[order], np.minimum(cosine[order], 1.0)))
+            out.append((places[at[order]], np.minimum(cosine[order], 1.0)))
         return out
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -156,12 +209,16 @@ class Model:
 
     def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, list[str]]]:
         """Known terms of each row, its unit vector of them, and the spelling of the heaviest."""
+        rows = pa.RecordBatch.from_arrays([texts], ["text"])
+        return [v for part in slices(rows, limit=COUNTED_BYTES) for v in self._vectors(part.column("text"))]
+
+    def _vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, list[str]]]:
         words = Words(texts, PARTS)
         codes, row, times, start, end = row_terms(words)
         place = np.searchsorted(self.terms, codes)
         place[place == len(self.terms)] = 0
         known = np.flatnonzero(self.terms[place] == codes) if len(self.terms) else np.zeros(0, np.int64)
-        known = known[np.lexsort((place[known], row[known]))]
+        known = known[by_row(place[known], row[known])]
         rows, terms, level = row[known], place[known], 1 + np.log(times[known])
         edges = np.searchsorted(rows, np.arange(len(texts) + 1))
         out = []
@@ -253,7 +310,12 @@ def index(ids: np.ndarray, toxic: np.ndarray, first: np.ndarray, codes: np.ndarr
         some = slice(k * BLOCK, min(count, (k + 1) * BLOCK))
         most[:, k] = (levels[dense[some]] / norm[some, None]).max(axis=0)
     first = np.concatenate([[0], np.cumsum(np.where(many, 0, np.diff(first)))])
-    return Model(terms, weight, ids[by_norm], toxic[by_norm].astype(float), norm, first, owner[~of_many], level[~of_many], levels, common, dense, most * (1 + 1e-12), (pos + 1) / (pos + neg + 2))
+    owner, level, term = owner[~of_many], level[~of_many], term[~of_many]
+    often = levels[level] > 1
+    first_often = np.concatenate([[0], np.cumsum(np.bincount(term[often], minlength=len(terms)))])
+    return Model(
+        terms, weight, ids[by_norm], toxic[by_norm].astype(float), norm, first, owner, first_often, owner[often], levels[level[often]] - 1, levels, common, dense, most * (1 + 1e-12), (pos + 1) / (pos + neg + 2)
+    )
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
@@ -270,9 +332,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=COUNTED_BYTES):
                 codes, row, times, _, _ = row_terms(Words(part.column("text"), PARTS))
-                order = np.lexsort((codes, row))
+                order = by_row(codes, row)
                 codes, times = codes[order], times[order].astype(np.int32)
                 edges = np.searchsorted(row[order], np.arange(part.num_rows + 1)).tolist()
                 held = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in (codes, times)]

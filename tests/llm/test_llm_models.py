@@ -48,6 +48,40 @@ def test_search_is_exact():
             assert at.tolist() == order.tolist() and np.allclose(found, np.minimum(cosine[order], 1), rtol=0, atol=1e-12)
 
 
+def test_search_tells_neighbours_apart_below_single_precision():
+    rng = np.random.default_rng(3)
+    m, n = 400, 40
+    times = rng.integers(1, 4, (m, n)) * (rng.random((m, n)) < np.where(np.arange(n) < 20, 0.5, 0.08))
+    times[:, 0] = 1
+    times[50:350] = times[50]
+    times[50:350, 1] = 100_000 + np.arange(300)  # cosines that differ by less than 1e-7
+    rows, codes = np.nonzero(times)
+    model = toxicity.index(np.arange(m), rng.random(m) < 0.3, np.searchsorted(rows, np.arange(m + 1)), codes.astype(np.uint64), times[rows, codes].astype(np.int32))
+    dense = np.where(times > 0, 1 + np.log(np.maximum(times, 1)), 0) * model.weight
+    dense = dense[model.example_ids] / np.linalg.norm(dense[model.example_ids], axis=1, keepdims=True)
+    queries = [(np.flatnonzero(v), v[v > 0]) for v in dense[::7]]
+    assert model.shares.dtype == np.float32 and len(queries) > 50
+    for (at, found), v in zip(model.searches(queries), dense[::7], strict=True):
+        cosine = np.minimum(np.sort(dense @ v)[::-1][: toxicity.NEIGHBOURS], 1)
+        assert len(set(at.tolist())) == len(cosine) and np.allclose(found, cosine, rtol=0, atol=2e-12)
+        assert np.allclose(np.minimum(dense[at] @ v, 1), found, rtol=0, atol=2e-12)
+
+
+def test_terms_are_counted_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    texts = pa.array([" ".join(f"w{x:05d}e" for x in rng.integers(0, 3000, 300)) for _ in range(800)])
+    codes = np.arange(5, dtype=np.uint64)
+    model = toxicity.index(np.arange(5), np.arange(5) % 2 == 0, np.arange(6), codes, np.ones(5, np.int32))
+    tracemalloc.start()
+    try:
+        assert len(model.vectors(texts)) == 800
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
 def terms_of(text):
     """Times of each term by its definition, by regular expressions."""
     words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode() for w in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", text or "")]
