@@ -48,7 +48,7 @@ COUNTED_BYTES = 1 << 19
 #: Texts that are searched together, blocks that are opened together, and examples that are compared again together.
 TOGETHER, OPENED, AGAIN = 128, 64, 2048
 #: Longer posting lists are joined as they lie; of shorter ones the places are gathered.
-GATHERED = 64
+GATHERED = 192
 #: Votes of the base rate against those of the neighbours, and the distance of an equal.
 PRIOR_VOTES, LEAST_DISTANCE = 0.5, 0.1
 
@@ -150,14 +150,15 @@ class Model:
         found = np.bincount(at, np.repeat(value[order], length), minlength=len(self.labels))
         start, length = self.first_often[terms], self.first_often[terms + 1] - self.first_often[terms]
         at = gathered(start, length)
-        more = self.more.take(at)
+        more = self.more.take(at, mode="clip")
         more *= np.repeat(value, length)
-        found += np.bincount(self.often.take(at), more, minlength=len(self.labels))
+        found += np.bincount(self.often.take(at, mode="clip"), more, minlength=len(self.labels))
         return found
 
     def _searches(self, queries: list[tuple], k: int, leave: list[int | None] | None) -> list[tuple[np.ndarray, np.ndarray]]:
         count, blocks = len(self.labels), self.most.shape[1]
-        partial = np.full((len(queries), blocks * BLOCK), -np.inf)
+        partial = np.empty((len(queries), blocks * BLOCK))
+        partial[:, count:] = -np.inf
         of_common = np.zeros((len(queries), len(self.most)))
         for i, (terms, weights, *_) in enumerate(queries):
             value, column = weights * self.weight[terms], self.common[terms]
