@@ -1054,6 +1054,10 @@ def _lines_stream(t: Tables) -> DataFrame:
     return _deliveries(t, t.raw("lineitem"), part)
 
 
+def _busy(t: Tables) -> list[int]:
+    return live.busy_games(t.raw("lineitem").select(F.col("l_orderkey").alias("game_id")))
+
+
 def _readable(rows: DataFrame) -> DataFrame:
     return rows.filter("NOT is_spoilt").drop("is_spoilt")
 
@@ -1071,7 +1075,7 @@ def _(t):
 
 def _stream_states(t: Tables) -> DataFrame:
     told = landed.plays_of_raw_lines(_lines_stream(t))
-    return live.running_states(told, t.games, "4000 days")
+    return live.running_states(told, t.games, "4000 days", _busy(t))
 
 
 @query("stream_states")
@@ -1082,7 +1086,7 @@ def _(t):
 @query("stream_players")
 def _(t):
     told = landed.plays_of_raw_lines(_lines_stream(t))
-    current = live.running_players(told, t.games, "4000 days")
+    current = live.running_players(told, t.games, "4000 days", _busy(t))
     return live.published(t.spark, live.publish(current, "players"), "game_id", "side", "person_id")
 
 

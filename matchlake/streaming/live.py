@@ -22,6 +22,10 @@ from matchlake.sources.shared import materialized, new_folder
 from matchlake.sources.store import BUCKETS, DELTAS, BucketStore
 
 SALTS = 8
+#: Plays from which on a game is busy, and busy games at most: beyond that, a game needs more plays to be one.
+BUSY_PLAYS, BUSY_GAMES = 1 << 16, 4096
+#: Slots that games are counted in first.
+SLOTS = 1 << 16
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -60,29 +64,50 @@ def _newest_of(name: str):
     return F.coalesce(F.max(told).getField(name), F.lit(0))
 
 
-def with_schedule(plays: DataFrame, games: DataFrame, delay: str, salts: int = SALTS) -> DataFrame:
+def busy_games(landed: DataFrame, plays: int = BUSY_PLAYS, key: str = "game_id") -> list[int]:
+    """Games of at least ``plays`` of the landed rows, ``BUSY_GAMES`` at most.
+
+    Slots of games are counted first, in one small row per task and slot; games are
+    counted only in slots that hold as many rows.
+    """
+    plays = max(plays, -(-landed.count() // BUSY_GAMES))
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+    full = landed.groupBy(slot.alias("slot")).count().filter(F.col("count") >= plays)
+    slots = [r["slot"] for r in full.collect()]
+    if not slots:
+        return []
+    counts = landed.filter(slot.isin(slots)).groupBy(key).count()
+    return [r[key] for r in counts.filter((F.col("count") >= plays) & F.col(key).isNotNull()).collect()]
+
+
+def with_schedule(
+    plays: DataFrame, games: DataFrame, delay: str, salts: int = SALTS, busy: list[int] | None = None
+) -> DataFrame:
     """Plays with their game's teams and start, watermarked on the start.
 
     Stateful streams run without adaptive execution, so a busy game is spread by
-    a salt: each game is there once per salt.
+    a salt: it is there once per salt. ``busy`` names these games, see ``busy_games``;
+    without it, any game may be one, and all are there once per salt. The schedule is
+    never broadcast: its size is estimated from files, which tell nothing of the salts.
     """
+    spread = F.lit(True) if busy is None else F.col("game_id").isin(busy)
     info = games.select(
         "game_id",
         F.col("start").cast("timestamp").alias("start"),
         F.col("home_team").alias("home"),
         F.col("away_team").alias("away"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+        F.explode(F.sequence(F.lit(0), F.when(spread, F.lit(salts - 1)).otherwise(F.lit(0)))).alias("salt"),
     )
     salt = F.pmod(F.xxhash64("order_number", "action_id", "clock"), F.lit(salts)).cast("int")
     return (
-        plays.withColumn("salt", salt)
-        .join(info, ["game_id", "salt"])
+        plays.withColumn("salt", F.when(spread, salt).otherwise(F.lit(0)))
+        .join(info.hint("merge"), ["game_id", "salt"])
         .drop("salt")
         .withWatermark("start", delay)
     )
 
 
-def running_states(plays: DataFrame, games: DataFrame, delay: str) -> DataFrame:
+def running_states(plays: DataFrame, games: DataFrame, delay: str, busy: list[int] | None = None) -> DataFrame:
     """The state of each game after its last play so far.
 
     Plays meet the schedule first, so a state knows its teams. The state of a
@@ -99,7 +124,7 @@ def running_states(plays: DataFrame, games: DataFrame, delay: str) -> DataFrame:
     final = F.when(
         F.col("order_number").isNotNull(), F.col("description") == END_OF_GAME
     ).otherwise(F.coalesce(F.col("sub_type") == "end", F.lit(False)))
-    rows = with_schedule(plays, games, delay).select(
+    rows = with_schedule(plays, games, delay, busy=busy).select(
         "game_id",
         "start",
         "home",
@@ -137,7 +162,7 @@ def running_states(plays: DataFrame, games: DataFrame, delay: str) -> DataFrame:
     )
 
 
-def running_players(plays: DataFrame, games: DataFrame, delay: str) -> DataFrame:
+def running_players(plays: DataFrame, games: DataFrame, delay: str, busy: list[int] | None = None) -> DataFrame:
     """Each player's first seen name and latest points so far."""
     named = F.col("person_id").isNotNull() & F.col("player_name").isNotNull()
     usable = F.col("order_number").isNotNull() | (
@@ -148,7 +173,7 @@ def running_players(plays: DataFrame, games: DataFrame, delay: str) -> DataFrame
     )
     at_home = F.coalesce(F.col("team_tricode") == F.col("home"), F.lit(False))
     rows = with_schedule(
-        plays.filter(named & usable & F.col("description").isNotNull()), games, delay
+        plays.filter(named & usable & F.col("description").isNotNull()), games, delay, busy=busy
     ).select(
         "game_id",
         "start",

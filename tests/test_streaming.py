@@ -208,3 +208,25 @@ def test_the_store_is_empty_when_all_games_have_ended(spark, tmp_path):
     day = "2024-10-01 19:00:00"
     folder, left = closed(spark, tmp_path, [[(g, day, 1, None, "x", None) for g in range(9)], [(g, day, 2, None, "Game End", None) for g in range(9)]])
     assert left == [] and closing.closings(spark, folder).filter("is_final AND plays = 2").count() == 9
+
+
+def test_the_schedule_is_not_broadcast_and_only_busy_games_are_salted(spark, schedule):
+    """Its size is estimated from files: a small estimate brought all games, once per salt, to the driver."""
+    plays = spark.createDataFrame([running(1, n, 1, "PT12M00.00S", 0, 0) for n in range(40)] + [other(2, 1, 1, "PT12M00.00S", "2", "")], PLAY)
+    busy = live.busy_games(plays, plays=30)
+    assert busy == [1] and live.busy_games(plays, plays=41) == []
+    want = sorted(tuple(r) for r in live.with_schedule(plays, schedule, "1 day", salts=1).collect())
+    for known, copies in ((None, 4 * 8), (busy, 3 + 8), ([], 4)):
+        joined = live.with_schedule(plays, schedule, "1 day", busy=known)
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in joined.collect()) == want and len(want) == 41
+        made = [n for n in nodes(joined._jdf.queryExecution().executedPlan()) if n.nodeName() == "Generate"]
+        assert [n.metrics().apply("numOutputRows").value() for n in made] == [copies]
+
+
+def nodes(plan):
+    """The operators of a plan that has run."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    below = [plan.plan()] if plan.nodeName().endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return [plan, *[n for child in below for n in nodes(child)]]
