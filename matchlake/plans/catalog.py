@@ -1122,7 +1122,8 @@ def _(t):
     cuts = t.games.agg(F.percentile_approx(seconds, [k / DELIVERIES for k in range(1, DELIVERIES)])).first()[0]
     number = reduce(lambda n, c: n + (F.unix_timestamp("start") > c).cast("int"), cuts, F.lit(0))
     stream = _deliveries(t, materialized(told.withColumn("delivery", number), "rows"), F.col("delivery"))
-    folder = closing.close_games(stream, "closed", f"{LATE_DAYS} days", HOLD_DAYS * 86400)
+    keys = closing.keys_for(t.raw("orders").count())
+    folder = closing.close_games(stream, "closed", f"{LATE_DAYS} days", HOLD_DAYS * 86400, keys=keys)
     done = closing.finalized(t.games, closing.closings(t.spark, folder))
     return done.select("game_id", "game_data_finalized", "reason")
 

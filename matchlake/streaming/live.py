@@ -9,7 +9,8 @@ each game's newest batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,6 +200,30 @@ def running_predictions(states: DataFrame, predictions: DataFrame, predictor: st
     return live_predictions(readable.join(newest(predictions, predictor), "game_id"))
 
 
+_STATE = "spark.sql.streaming.stateStore"
+#: States lie in RocksDB, whose memory is bounded for all of an executor's stores together. A
+#: commit uploads what changed, and rows are not looked up only to be counted.
+_ROCKS = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}.rocksdb.trackTotalNumberOfRows": "false",
+}
+
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session stays as it was."""
+    before = {k: spark.conf.get(k, None) for k in _ROCKS}
+    for k, v in _ROCKS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def publish(
     stream: DataFrame,
     name: str,
@@ -310,14 +335,15 @@ def repaired(spark: SparkSession, store: BucketStore) -> DataFrame:
 
 
 def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    with _rocks(stream.sparkSession):
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(write)
+            .option("checkpointLocation", f"{folder}/progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
 
 
 def published(spark: SparkSession, folder: str, *keys: str) -> DataFrame:

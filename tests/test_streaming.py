@@ -1,5 +1,8 @@
 """Streams over several micro-batches equal the batch operators."""
 
+from datetime import datetime
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +233,54 @@ def nodes(plan):
         plan = plan.executedPlan()
     below = [plan.plan()] if plan.nodeName().endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
     return [plan, *[n for child in below for n in nodes(child)]]
+
+
+def test_games_that_share_a_key_close_as_alone(spark, tmp_path):
+    """Closings of each batch, whatever the number of keys; a call of the processor brings the games of a key."""
+    days = ["2024-10-01 19:00:00", "2024-10-01 19:00:01", "2024-10-02 18:59:59", "2024-10-07 19:00:00", "1969-05-01 10:00:00", None]
+    rng = np.random.default_rng(5)
+
+    def play(game, batch):
+        return (game, days[game % 6] if game % 11 else days[3], batch + 1, None, "Game End" if rng.random() < 0.15 else "x", None)
+
+    opened = [(None, days[0], 1, None, "x", None), (1 << 60, days[0], 1, None, "x", None), (-1, days[1], 1, None, "x", None)]
+    batches = [opened + [play(int(g), b) for g in rng.integers(0, 60, 150) if b < 2 or g > 40] for b in range(3)]
+    batches += [[(999, "2024-10-20 19:00:00", 1, None, "x", None)], [(1000, "2024-10-20 19:00:00", 1, None, "Game End", None)]]
+    schema = "game_id long, start string, order_number long, action_id long, description string, sub_type string"
+    path = landed(spark, tmp_path, batches, schema)
+    found = []
+    for keys in (1, 3, 40):
+        stream = live.read_stream(spark, path, 1).withColumn("start", F.col("start").cast("timestamp"))
+        folder = closing.close_games(stream, "t", "1 day", 5 * 86400, folder=str(tmp_path / f"out{keys}"), keys=keys)
+        rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*")
+        found.append(sorted((str(r.game_id), r.batch, r.reason, r.plays) for r in rows.collect()))
+        left = spark.read.format("statestore").option("stateVarName", "game").load(f"{folder}/progress").collect()
+        still = np.concatenate([np.frombuffer(bytes(r.value.games), "int64").reshape(-1, 5)[:, 0] for r in left])
+        assert len(left) <= keys and 999 in still and len(set(still)) == len(still)
+    want = closed_alone(batches, 86400, 5 * 86400)
+    assert found[0] == found[1] == found[2] == want
+
+
+def closed_alone(batches, delay, hold):
+    """The closings of each batch by a loop over games; the watermark begins at 1970."""
+    seconds = lambda text: None if text is None else int(datetime.fromisoformat(text + "+00:00").timestamp())
+    known, out, edge, highest = {}, [], 0, 0
+    for k, rows in enumerate([*batches, []]):
+        late, edge = edge, max(0, highest - delay)  # rows are late by the watermark of the batch before
+        games = {}
+        for game, start, _, _, text, _ in rows:
+            if start is None or seconds(start) > late:
+                games.setdefault(game, []).append((seconds(start), text))
+        for game, plays in games.items():
+            before, expiry = known.pop(game, (0, None))
+            if any(text == "Game End" for _, text in plays):
+                out.append((str(game), k, "final play", before + len(plays)))
+            else:
+                start = plays[0][0]
+                known[game] = (before + len(plays), expiry if before else start and start + hold)
+        for game, (plays, expiry) in list(known.items()):
+            if expiry is not None and expiry <= edge:
+                out.append((str(game), k, "timer", plays))
+                del known[game]
+        highest = max([highest, *[seconds(r[1]) for r in rows if r[1]]])
+    return sorted(out)
