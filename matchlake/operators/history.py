@@ -9,6 +9,8 @@ seconds, and in practice a team has a few hundred.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from matchlake.operators.scan import RANGE_ROWS, range_scan
 TEAM = ["season", "team"]
 #: Earlier games on one page of a list.
 PAGE_GAMES = 50
+#: Pages of a team's season that asked games meet at once.
+BLOCK_PAGES = 64
 
 
 def counted(games: DataFrame) -> Column:
@@ -119,15 +123,16 @@ def prior_lists(
     wanted: DataFrame,
     page_games: int = PAGE_GAMES,
     most: int = RANGE_ROWS,
+    shape: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """The earlier counted games of both sides of the wanted games, oldest first, in pages.
 
     One row per game, side and page: ``prior_ids`` (by start, then id) and ``missing_ids``
-    (those of them without a final state). A team's season is numbered and cut into pages
-    once. What a game asks for is a beginning of that numbering: whole pages, and a part
-    of the last one. So asked games join pages, on (season, team, page), each pair is a
-    row of the result, and a busy team is spread over its pages. Sides without earlier
-    games have no row.
+    (those of them without a final state), both as ``shape`` gives them. A team's season is
+    numbered and cut into pages once. What a game asks for is a beginning of that numbering:
+    whole pages, which are shaped once for all games, and a part of the last one. So asked
+    games join blocks of pages, on (season, team, block), each pair is a row of the result,
+    and a busy team is spread over its blocks. Sides without earlier games have no row.
     """
     known = finals.select(F.col("game_id").alias("prior_id"), F.lit(True).alias("has_final")).distinct()
     played = team_rows(games.filter(counted(games))).filter("season IS NOT NULL AND team IS NOT NULL AND start IS NOT NULL")
@@ -145,19 +150,24 @@ def prior_lists(
     marked = sums_per_start(played.select(*TEAM, "start", F.lit(1).alias("n")).unionByName(asked.select(*TEAM, "start", F.lit(0).alias("n"))), {"n": F.col("n")})
     earlier = Window.partitionBy(*TEAM).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     before = marked.select(*TEAM, "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("needed"))
-    last = F.floor((F.col("needed") - 1) / page_games)
-    reached = asked.join(before.filter("needed > 0"), [*TEAM, "start"]).withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    asked = asked.join(before.filter("needed > 0"), [*TEAM, "start"]).withColumn("last", F.floor((F.col("needed") - 1) / page_games))
+
+    def listed(entries: Column) -> list[Column]:
+        given = [F.transform(e, lambda x: x["prior_id"]) for e in (entries, F.filter(entries, lambda x: ~x["has_final"]))]
+        return [(e if shape is None else shape(e)).alias(n) for e, n in zip(given, ("prior_ids", "missing_ids"))]
+
+    shown = ["game_id", "side", "page", "prior_ids", "missing_ids"]
+    block = F.floor(F.col("page") / BLOCK_PAGES).alias("block")
+    whole = pages.select(*TEAM, block, "page", *listed(F.col("entries")))
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - 1) / BLOCK_PAGES))
+    reached = asked.filter("last > 0").withColumn("block", F.explode(blocks))
     inside = F.filter("entries", lambda e: e["prior_start"] < F.col("start"))
+    rest = asked.withColumnRenamed("last", "page").join(pages, [*TEAM, "page"])
     return (
-        reached.join(pages, [*TEAM, "page"])
-        .withColumn("entries", inside)
-        .select(
-            "game_id",
-            "side",
-            "page",
-            F.transform("entries", lambda e: e["prior_id"]).alias("prior_ids"),
-            F.transform(F.filter("entries", lambda e: ~e["has_final"]), lambda e: e["prior_id"]).alias("missing_ids"),
-        )
+        reached.join(whole, [*TEAM, "block"])
+        .filter("page < last")
+        .select(*shown)
+        .unionByName(rest.select("game_id", "side", "page", *listed(inside)))
     )
 
 

@@ -269,9 +269,10 @@ def _(t):
 
 @query("prior_lists")
 def _(t):
-    pages = history.prior_lists(t.games, t.finals, _wanted(t))
-    listed = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("prior_ids", "missing_ids")]
-    return pages.select("game_id", "side", "page", *listed)
+    def as_text(ids: Column) -> Column:
+        return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+
+    return history.prior_lists(t.games, t.finals, _wanted(t), shape=as_text)
 
 
 @query("prior_ids")

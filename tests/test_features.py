@@ -172,3 +172,23 @@ def test_misdated_game_gives_no_nan(spark, year):
     weights = typed.filter("Time_Decay_Home_PPG IS NOT NULL")
     assert weights.count() == typed.count() > 0
     assert weights.filter("Time_Decay_Home_PPG NOT BETWEEN 80 AND 99").count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 2, 64])
+def test_lists_take_their_shape_page_by_page(spark, monkeypatch, block):
+    """Whole pages are shaped before games meet them, in blocks; the rows are those of the unshaped lists."""
+    monkeypatch.setattr(history, "BLOCK_PAGES", block)
+    games, finals = loaded(spark, schedule(9))
+    text = lambda ids: F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+    shaped = history.prior_lists(games, finals, games, 3, 8, shape=text)
+    got = sorted(tuple(r) for r in shaped.collect())
+    want = {}
+    pdf = schedule(9)
+    for g in pdf.itertuples():
+        for side, team in (("home", g.home_team), ("away", g.away_team)):
+            ids = priors(pdf, g, team, False).sort_values(["start", "game_id"]).game_id.tolist()
+            for k in range(0, len(ids), 3):
+                want[g.game_id, side, k // 3] = ",".join(map(str, ids[k : k + 3]))
+    assert {r[:3]: r[3] for r in got} == want and len(got) == len(want)
+    has_final = {r.game_id for r in finals.collect()}
+    assert all(r[4] == ",".join(x for x in r[3].split(",") if int(x) not in has_final) for r in got)
