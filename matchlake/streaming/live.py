@@ -201,12 +201,13 @@ def running_predictions(states: DataFrame, predictions: DataFrame, predictor: st
 
 
 _STATE = "spark.sql.streaming.stateStore"
-#: States lie in RocksDB, whose memory is bounded for all of an executor's stores together. A
-#: commit uploads what changed, and rows are not looked up only to be counted.
+#: States lie in RocksDB, whose memory is bounded for all of an executor's stores together: a commit
+#: writes what a store holds in memory, and rows are not looked up only to be counted.
 _ROCKS = {
     f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
-    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "false",
     f"{_STATE}.rocksdb.trackTotalNumberOfRows": "false",
 }
 

@@ -284,3 +284,15 @@ def closed_alone(batches, delay, hold):
                 del known[game]
         highest = max([highest, *[seconds(r[1]) for r in rows if r[1]]])
     return sorted(out)
+
+
+def test_states_lie_outside_the_heap(spark, tmp_path, schedule):
+    """In RocksDB of bounded memory, as the checkpoint tells; the session stays as it was."""
+    before = {k: spark.conf.get(k, None) for k in live._ROCKS}
+    path = landed(spark, tmp_path, DELIVERIES)
+    folder = live.publish(live.running_states(live.read_stream(spark, path, 1), schedule, "30 days"), "t", folder=str(tmp_path / "out"))
+    assert list(tmp_path.glob("out/progress/state/0/*/*.zip")) and not list(tmp_path.glob("out/progress/state/0/*/*.delta"))
+    told = next(tmp_path.glob("out/progress/offsets/0")).read_text()
+    assert "RocksDBStateStoreProvider" in told
+    assert {k: spark.conf.get(k, None) for k in live._ROCKS} == before
+    assert live.published(spark, folder, "game_id").count() == 2
