@@ -1052,7 +1052,8 @@ def _deliveries(t: Tables, rows: DataFrame, number: Column) -> DataFrame:
 def _lines_stream(t: Tables) -> DataFrame:
     """Lines in several deliveries, one per micro-batch; most orders come in parts."""
     part = F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(DELIVERIES))
-    return _deliveries(t, t.raw("lineitem"), part)
+    shown = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    return _deliveries(t, t.raw("lineitem").select(*shown), part)
 
 
 def _busy(t: Tables) -> list[int]:

@@ -73,3 +73,8 @@ def test_no_task_writes_a_whole_delivery(spark, folder, monkeypatch):
     assert files == 7  # 400 rows in 3 deliveries
     rows = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
     assert len(rows) == 3 * files and max(r["count"] for r in rows) < 40
+
+
+def test_deliveries_hold_the_columns_that_streams_read(spark, folder):
+    told = catalog._lines_stream(catalog.Tables(spark, folder))
+    assert told.columns == ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
