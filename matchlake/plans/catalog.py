@@ -1049,11 +1049,17 @@ def _deliveries(t: Tables, rows: DataFrame, number: Column) -> DataFrame:
     return live.read_stream(t.spark, path, files_per_batch=files)
 
 
-def _lines_stream(t: Tables) -> DataFrame:
-    """Lines in several deliveries, one per micro-batch; most orders come in parts."""
+#: Columns of lines that plays show.
+_SHOWN = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+def _lines_stream(t: Tables, *columns: str) -> DataFrame:
+    """Lines in several deliveries, one per micro-batch; most orders come in parts.
+
+    The order of lines within a delivery follows from their columns, all without a choice.
+    """
     part = F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(DELIVERIES))
-    shown = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-    return _deliveries(t, t.raw("lineitem").select(*shown), part)
+    return _deliveries(t, t.raw("lineitem").select(*(columns or "*")), part)
 
 
 def _busy(t: Tables) -> list[int]:
@@ -1076,7 +1082,7 @@ def _(t):
 
 
 def _stream_states(t: Tables) -> DataFrame:
-    told = landed.plays_of_raw_lines(_lines_stream(t))
+    told = landed.plays_of_raw_lines(_lines_stream(t, *_SHOWN))
     return live.running_states(told, t.games, "4000 days", _busy(t))
 
 
@@ -1087,7 +1093,7 @@ def _(t):
 
 @query("stream_players")
 def _(t):
-    told = landed.plays_of_raw_lines(_lines_stream(t))
+    told = landed.plays_of_raw_lines(_lines_stream(t, *_SHOWN))
     current = live.running_players(told, t.games, "4000 days", _busy(t))
     return live.published(t.spark, live.publish(current, "players"), "game_id", "side", "person_id")
 
@@ -1104,7 +1110,7 @@ def _(t):
         told = contest.plays_of_lines(contest.keyed_lines(seen))
         return states.game_states(t.games, told).select(*_STATE)
 
-    folder = live.publish_whole(_lines_stream(t), "published", derive, ("l_orderkey",))
+    folder = live.publish_whole(_lines_stream(t, *_SHOWN), "published", derive, ("l_orderkey",))
     return live.published(t.spark, folder, "game_id")
 
 
